@@ -121,7 +121,7 @@ def sql_xai_items_rows(symptoms: str, age: str | None, items, key: str, source:
                for p, n, pts in items]
     entries.append(f"CASE WHEN {a} >= {K.RISK_AGE_CUT} THEN {{'name': 'Age (' || CAST({a} AS VARCHAR) || ')', "
                    f"'points': {K.XAI_AGE_POINTS}}} END")
-    arr = f"list_filter([{', '.join(entries)}], x -> x IS NOT NULL)"
+    arr = f"list_filter([{', '.join(entries)}], lambda x: x IS NOT NULL)"
     return (f"SELECT {key}, CAST(i AS INTEGER) AS item_ord, arr[i].name AS name, CAST(arr[i].points AS INTEGER) AS points "
             f"FROM (SELECT {key}, {arr} AS arr FROM {source}) s, range(1, len(arr) + 1) r(i)")
 
@@ -351,7 +351,7 @@ def sql_risk_attribution(text: str, age: str, bp: str, chol: str) -> str:
         f"CASE WHEN {chol} >= 200 THEN {{'name': 'High Cholesterol (' || CAST({chol} AS VARCHAR) || ')', "
         f"'points': CAST(least(floor(({chol} - 180) / 5), 12) AS INTEGER)}} END",
     ]
-    return f"list_slice(list_filter([{', '.join(entries)}], x -> x IS NOT NULL), 1, {K.ATTRIBUTION_LIMIT})"
+    return f"list_slice(list_filter([{', '.join(entries)}], lambda x: x IS NOT NULL), 1, {K.ATTRIBUTION_LIMIT})"
 
 
 # H23 ------------------------------------------------------------------------------

@@ -112,7 +112,7 @@ def sql_points(text: str, table: Sequence[tuple[Sequence[str], int]]) -> str:
 
 def sql_found(text: str, phrases: Sequence[str]) -> str:
     items = ", ".join(f"CASE WHEN contains({text}, {q(p)}) THEN {q(p)} END" for p in phrases)
-    return f"list_filter([{items}], x -> x IS NOT NULL)"
+    return f"list_filter([{items}], lambda x: x IS NOT NULL)"
 
 
 def sql_band(score: str, bands: Sequence[tuple], default, pick: int = 1) -> str:
