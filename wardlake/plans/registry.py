@@ -32,8 +32,13 @@ def register(name: str, sql: str | Callable[[], str] | None = None):
 
 
 def oracle_sql(name: str) -> str:
+    """Oracle text with the adapter views (and any query-specific CTEs,
+    when the registered SQL is a ``(sql, {name: cte_sql})`` pair) prepended."""
     sql = ORACLE[name]
-    return with_views(sql() if callable(sql) else sql)
+    sql = sql() if callable(sql) else sql
+    if isinstance(sql, tuple):
+        return with_views(sql[0], sql[1])
+    return with_views(sql)
 
 
 def load_all() -> None:
