@@ -295,7 +295,7 @@ def risk_feature_columns(text: Column, age, bp, hr, chol) -> list[Column]:
 def sql_risk_feature_columns(text: str, age: str, bp: str, hr: str, chol: str) -> list[str]:
     a, b, h, c = (f"CAST({age} AS DOUBLE)", f"CAST({bp} AS DOUBLE)", f"CAST({hr} AS DOUBLE)", f"CAST({chol} AS DOUBLE)")
     score = f"CAST({R.sql_points(text, [((k,), p) for k, p in K.ML_SYMPTOM_KEYWORDS])} AS DOUBLE)"
-    flag = lambda cond: f"(CASE WHEN {cond} THEN 1.0 ELSE 0.0 END)"
+    flag = lambda cond: f"CAST(CASE WHEN {cond} THEN 1 ELSE 0 END AS DOUBLE)"
     cols = [
         a, b, h, c, score,
         flag(f"contains({text}, 'chest pain')"),

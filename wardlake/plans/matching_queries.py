@@ -158,7 +158,7 @@ def urgency_bands(spark, sf):
 
 
 @register("uncertainty", lambda: (f"""SELECT case_id, confidence AS xai_confidence,
-    1 - posterior_risk AS bayesian_confidence, {K.FALLBACK_ML_CONFIDENCE} AS ml_confidence, combined_confidence,
+    1 - posterior_risk AS bayesian_confidence, CAST({K.FALLBACK_ML_CONFIDENCE} AS DOUBLE) AS ml_confidence, combined_confidence,
     {C.sql_uncertainty_level('combined_confidence')} AS uncertainty_level,
     {C.sql_treatment_recommendation('combined_confidence')} AS treatment_recommendation FROM risk_case""", _risk_ctes()))
 def uncertainty(spark, sf):
