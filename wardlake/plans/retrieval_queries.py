@@ -1 +1,134 @@
-"""Registered queries."""
+"""Retrieval queries: every benchmark item is a query against the whole
+document corpus; label centroids are vector queries against all embeddings."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardlake import constants as K
+from wardlake.functions.text import sql_whitespace_tokens, sql_word_tokens
+from wardlake.operators import retrieval as RT
+from wardlake.plans.registry import register
+from wardlake.sources.tables import table
+
+K3 = K.RETRIEVAL_TOP_K
+
+
+def _overlap_sql() -> tuple[str, dict]:
+    return (f"""SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM ov) x
+        WHERE rank <= {K.OVERLAP_TOP_K}""", {
+        "qtok": f"SELECT item_id, unnest({sql_whitespace_tokens('text')}) AS token FROM benchmark",
+        "dtok": f"SELECT doc_id, unnest({sql_whitespace_tokens('text')}) AS token FROM documents",
+        "ov": "SELECT item_id, doc_id, count(*) AS score FROM qtok JOIN dtok USING (token) GROUP BY 1, 2",
+    })
+
+
+@register("overlap_top3", _overlap_sql)
+def overlap_top3(spark, sf):
+    return RT.overlap_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), K.OVERLAP_TOP_K)
+
+
+def tfidf_ctes(query_sql: str, qid: str, k: int = K3) -> dict[str, str]:
+    """SQL form of tfidf_topk for queries given as SELECT {qid}, text."""
+    return {
+        "t_dt": f"""SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM (
+            SELECT doc_id, unnest({sql_word_tokens('text')}) AS term FROM documents) x GROUP BY 1, 2""",
+        "t_n": "SELECT CAST(count(*) AS DOUBLE) + 2 AS n2 FROM documents",
+        "t_df": "SELECT term, CAST(count(*) AS DOUBLE) AS df FROM t_dt GROUP BY term",
+        "t_dn": """SELECT doc_id, sum(tf * tf * pow(ln(n2 / (1 + df)) + 1, 2)) AS n0
+            FROM t_dt JOIN t_df USING (term) CROSS JOIN t_n GROUP BY doc_id""",
+        "t_q": query_sql,
+        "t_qt": f"""SELECT {qid}, term, CAST(count(*) AS DOUBLE) AS tfq FROM (
+            SELECT {qid}, unnest({sql_word_tokens('text')}) AS term FROM t_q) x GROUP BY 1, 2""",
+        "t_qx": f"""SELECT {qid}, term, tfq, ln(n2 / (2 + coalesce(df, 0))) + 1 AS idfq,
+            CASE WHEN df IS NOT NULL THEN ln(n2 / (1 + df)) + 1 END AS idf0
+            FROM t_qt LEFT JOIN t_df USING (term) CROSS JOIN t_n""",
+        "t_qn": f"SELECT {qid}, sum(tfq * tfq * idfq * idfq) AS qn FROM t_qx GROUP BY 1",
+        "t_pr": f"""SELECT {qid}, doc_id, sum(tfq * tf * idfq * idfq) AS dot,
+            sum(tf * tf * (idfq * idfq - idf0 * idf0)) AS delta
+            FROM t_qx JOIN t_dt USING (term) WHERE idf0 IS NOT NULL GROUP BY 1, 2""",
+        "t_sc": f"""SELECT {qid}, doc_id, dot / (sqrt(qn) * sqrt(n0 + delta)) AS score
+            FROM t_pr JOIN t_qn USING ({qid}) JOIN t_dn USING (doc_id)""",
+        "t_fill": f"""SELECT q.{qid}, d.doc_id, 0.0::DOUBLE AS score FROM (SELECT DISTINCT {qid} FROM t_q) q
+            CROSS JOIN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT {k}) d""",
+        "t_rank": f"""SELECT {qid}, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY {qid} ORDER BY round(score, {RT.RANK_DIGITS}) DESC, doc_id) AS rank
+            FROM (SELECT {qid}, doc_id, max(score) AS score FROM (
+                SELECT * FROM t_sc UNION ALL SELECT * FROM t_fill) u GROUP BY 1, 2) c) r WHERE rank <= {k}""",
+    }
+
+
+@register("tfidf_topk", lambda: ("SELECT item_id, rank, doc_id, round(score, 3) AS score FROM t_rank",
+                                 tfidf_ctes("SELECT item_id, text FROM benchmark", "item_id")))
+def tfidf_topk(spark, sf):
+    r = RT.tfidf_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), K3)
+    return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"))
+
+
+@register("retrieve_fallback", lambda: ("""SELECT item_id, rank, doc_id, round(score, 3) AS score, 'tfidf' AS method
+    FROM t_rank""", tfidf_ctes("SELECT item_id, text FROM benchmark", "item_id")))
+def retrieve_fallback(spark, sf):
+    """Per query: vector results if it has an embedding (benchmark items do
+    not), else TF-IDF, else token overlap."""
+    q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    r = RT.retrieve_with_fallback(("tfidf", RT.tfidf_topk(q, d, K3)), ("overlap", RT.overlap_topk(q, d, K3)))
+    return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"), "method")
+
+
+def _rag_query_text(symptoms, history):
+    return F.concat_ws(" ", F.split(F.coalesce(symptoms, F.lit("")), ", ", -1),
+                       F.split(F.coalesce(history, F.lit("")), ", ", -1))
+
+
+@register("rag_explanations", lambda: (f"""SELECT q.query, coalesce(e.explanation, '{K.NO_GUIDELINE}') AS explanation
+    FROM (SELECT DISTINCT query FROM rq) q LEFT JOIN (
+      SELECT query, string_agg('From ' || d.source || ': ' || substr(d.text, 1, {K.RETRIEVAL_TEXT_CHARS}), ' ' ORDER BY rank)
+        AS explanation FROM t_rank JOIN documents d USING (doc_id) GROUP BY query) e USING (query)""", {
+    "rq": """SELECT array_to_string(list_concat(string_split(coalesce(symptoms, ''), ', '),
+                                               string_split(coalesce(history, ''), ', ')), ' ') AS query FROM cases_v""",
+    **tfidf_ctes("SELECT DISTINCT query, query AS text FROM rq", "query")}))
+def rag_explanations(spark, sf):
+    """One explanation per distinct case query text (symptoms + history).
+    Distinct query texts are retrieved once and can be joined back to cases."""
+    from wardlake.sources import fixtures as V
+    c = V.cases_v(spark, sf)
+    qs = c.select(_rag_query_text(F.col("symptoms"), F.col("history")).alias("query")).distinct()
+    docs = table(spark, sf, "documents")
+    res = RT.tfidf_topk(qs.withColumn("text", F.col("query")), docs, K3, qid="query")
+    ex = RT.explanations(res, docs, "query")
+    return qs.join(ex, "query", "left").select(
+        "query", F.coalesce("explanation", F.lit(K.NO_GUIDELINE)).alias("explanation"))
+
+
+def _cos_sql() -> tuple[str, dict]:
+    return (f"""SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 3) AS score FROM (
+        SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, {RT.RANK_DIGITS}) DESC, vec_id) AS rank
+        FROM cs) x WHERE rank <= {K3}""", {
+        "cdim": """SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM (
+            SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) e GROUP BY 1, 2""",
+        "cent": "SELECT label, list(x ORDER BY i) AS qv FROM cdim GROUP BY label",
+        "evec": "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings",
+        "cs": """SELECT c.label, e.vec_id, list_dot_product(c.qv, e.v)
+                   / (sqrt(list_dot_product(c.qv, c.qv)) * sqrt(list_dot_product(e.v, e.v))) AS score
+                 FROM cent c CROSS JOIN evec e""",
+    })
+
+
+@register("cosine_topk", _cos_sql)
+def cosine_topk(spark, sf):
+    """Top 3 vectors nearest (cosine) to each label's centroid, searched over
+    the whole embedding table."""
+    emb = table(spark, sf, "embeddings")
+    r = RT.cosine_topk(RT.centroids(emb), emb, K3)
+    return r.select("label", "rank", "vec_id", F.round("score", 3).alias("score"))
+
+
+@register("index_new_docs", """SELECT d.doc_id, d.source FROM documents d
+    WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+def index_new_docs(spark, sf):
+    """Documents not yet in the index (the index holds the labelled
+    documents); each document is its own indexed item, keyed by doc_id."""
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    index = table(spark, sf, "labels").select("doc_id")
+    return RT.new_documents(docs, index, key="doc_id", order="doc_id").select("doc_id", "source")
