@@ -177,5 +177,6 @@ def new_documents(batch: DataFrame, index: DataFrame, key: str = "source", order
     """Rows of ``batch`` whose key is not yet in ``index``; one row per
     new key (the first in ``order``), so appending is idempotent."""
     new = batch.join(index.select(key).distinct(), key, "left_anti")
-    first = new.groupBy(key).agg(F.min(order).alias(order))
-    return new.join(first, [key, order])
+    rest = [c for c in new.columns if c not in (key, order)]
+    first = new.groupBy(key).agg(F.min(F.struct(*dict.fromkeys([order] + rest))).alias("f"))
+    return first.select(key, *[F.col(f"f.{c}").alias(c) for c in dict.fromkeys([order] + rest) if c != key])
