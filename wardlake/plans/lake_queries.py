@@ -1 +1,78 @@
-"""Registered queries."""
+"""Lake write-path queries: report enrichment, upserts, schema reconcile,
+export round trip (A3, A8, A10, A11, A13)."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from wardlake.functions import clinical as C
+from wardlake.plans.registry import register
+from wardlake.session import scratch_dir
+from wardlake.sources import fixtures as V
+from wardlake.sources import lake as L
+from wardlake.sources.tables import table
+
+
+@register("reports_enrich", lambda: f"""SELECT case_id, patient_id, hospital, symptoms, specialty,
+    {C.sql_infer_disease('symptoms', 'specialty')} AS disease, risk_score,
+    {C.sql_risk_priority('risk_score')} AS priority, {C.sql_risk_recommendation('risk_score')} AS recommendation,
+    to_json({{'source': 'batch', 'case_id': case_id}})::VARCHAR AS details,
+    strftime(reported_at, '%Y-%m-%dT%H:%M:%S') AS generated_at
+    FROM (SELECT *, {C.sql_choose_specialty('symptoms')} AS specialty, {C.sql_risk_score('symptoms', 'age')} AS risk_score
+          FROM cases_v) c""")
+def reports_enrich(spark, sf):
+    return L.enrich_reports(V.cases_v(spark, sf))
+
+
+@register("patients_upsert", ("""SELECT p.id, p.name, coalesce(nullif(u.u_loc, ''), p.location) AS location,
+           coalesce(nullif(u.u_hist, ''), p.medical_history) AS medical_history, false AS is_new
+    FROM patients_v p LEFT JOIN upd u USING (name)
+    UNION ALL
+    SELECT (SELECT max(id) FROM patients_v) + row_number() OVER (ORDER BY u.name) AS id, u.name, u.u_loc, u.u_hist, true
+    FROM upd u WHERE NOT EXISTS (SELECT 1 FROM patients_v p WHERE p.name = u.name)""", {
+    "upd": "SELECT name, max(location) AS u_loc, max(medical_history) AS u_hist FROM patient_updates_v GROUP BY name"}))
+def patients_upsert(spark, sf):
+    return L.upsert_patients(V.patients_v(spark, sf), V.patient_updates_v(spark, sf))
+
+
+def _doctor_updates(spark, sf):
+    """Refresh batch: every supplier re-sent under id 2*suppkey (even ids up
+    to the current maximum replace rows, larger ones are new), with one more
+    year of experience and availability reset."""
+    d = V.doctors_v(spark, sf)
+    return d.select((F.col("id") * 2).alias("id"), "name", "hospital", "specialty",
+                    (F.col("experience") + 1).alias("experience"), F.lit(True).alias("available"))
+
+
+@register("doctors_upsert", """SELECT * FROM doctors_v WHERE id NOT IN (SELECT id * 2 FROM doctors_v)
+    UNION ALL SELECT id * 2 AS id, name, hospital, specialty, experience + 1 AS experience, true AS available FROM doctors_v""")
+def doctors_upsert(spark, sf):
+    return L.upsert_by_key(V.doctors_v(spark, sf), _doctor_updates(spark, sf), "id")
+
+
+@register("schema_reconcile", """SELECT id, name, 'Texas Health Frisco' AS hospital, specialty, 5 AS experience,
+    CAST(NULL AS VARCHAR) AS available_time, true AS available FROM doctors_v""")
+def schema_reconcile(spark, sf):
+    """An older doctors table (id, name, specialty) brought to the current schema."""
+    old = V.doctors_v(spark, sf).select("id", "name", "specialty")
+    return L.reconcile(old, L.DOCTORS_SCHEMA, L.DOCTOR_DEFAULTS)
+
+
+@register("lake_roundtrip", """SELECT 'reports' AS "table", count(*) AS "rows" FROM reports_v
+    UNION ALL SELECT 'appointments', count(*) FROM appointments_v
+    UNION ALL SELECT 'doctors', count(*) FROM doctors_v""")
+def lake_roundtrip(spark, sf):
+    """Export reports, appointments and doctors as Parquet under the shared
+    checkpoint folder, read them back, and count the rows of each."""
+    base = scratch_dir(spark, f"export-{uuid.uuid4().hex}")
+    tables = {"reports": V.reports_v(spark, sf), "appointments": V.appointments_v(spark, sf),
+              "doctors": V.doctors_v(spark, sf)}
+    L.export_tables(tables, base)
+    parts = [spark.read.parquet(f"{base}/{n}").agg(F.count(F.lit(1)).alias("rows"))
+             .select(F.lit(n).alias("table"), "rows") for n in tables]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
