@@ -45,5 +45,5 @@ def load_all() -> None:
     """Import every module that registers queries."""
     from wardlake.plans import (  # noqa: F401
         dashboard_queries, rule_queries, matching_queries, scheduling_queries,
-        retrieval_queries, consensus_queries, chat_queries, lake_queries, ml_queries,
+        retrieval_queries, consensus_queries, chat_queries, lake_queries, ml_queries, case_queries,
     )
