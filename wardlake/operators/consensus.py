@@ -37,40 +37,47 @@ def _first_keyword(text_lower: Column, words: list[str]) -> Column:
     return expr
 
 
-def parse_reply(raw: Column, base_urgency: Column, base_specialty: Column) -> dict[str, Column]:
-    """Urgency, specialty and explanation out of a free-text model reply.
+def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: str) -> DataFrame:
+    """Add urgency, specialty and explanation parsed from the free-text
+    model reply in column ``raw``.
 
     The last valid 'urgency:' line and the last non-empty 'specialty:' line
     win; otherwise the first keyword found in the text; otherwise the
-    baseline.  Prefixed lines are removed from the explanation; a short
-    explanation falls back to the whole text or a referral sentence.
+    baseline columns.  Prefixed lines are removed from the explanation; a
+    short explanation falls back to the whole text or a referral sentence.
+    Each intermediate is its own projection, so the text is split and each
+    line classified exactly once.
     """
-    t0 = pystrip(F.coalesce(raw, F.lit("")))
-    think = t0.contains("<think>") & t0.contains("</think>")
-    parts = F.split(t0, "</think>", -1)
-    text = F.when(think, pystrip(F.element_at(parts, 2))).otherwise(t0)
-    lines = F.split(text, "\n", -1)
-
+    d = df.withColumn("_t0", pystrip(F.coalesce(F.col(raw), F.lit(""))))
+    think = F.col("_t0").contains("<think>") & F.col("_t0").contains("</think>")
+    d = d.withColumn("_text", F.when(think, pystrip(F.element_at(F.split(F.col("_t0"), "</think>", -1), 2)))
+                     .otherwise(F.col("_t0")))
+    # one (kind, line) struct per line: 1 urgency, 2 specialty, 3 explanation/reasoning, 0 other
     def kind(line):
         ll = F.lower(pystrip(line))
         return (F.when(ll.startswith("urgency:"), 1).when(ll.startswith("specialty:"), 2)
                 .when(ll.startswith("explanation:") | ll.startswith("reasoning:"), 3).otherwise(0))
 
-    urg_vals = F.filter(F.transform(F.filter(lines, lambda l: kind(l) == 1), lambda l: F.initcap(_clean(_after_colon(l)))),
-                        lambda v: v.isin(*K.URGENCY_RANK.keys()))
-    spec_vals = F.filter(F.transform(F.filter(lines, lambda l: kind(l) == 2), lambda l: _clean(_after_colon(l))),
-                         lambda v: v != "")
-    cleaned = F.filter(lines, lambda l: kind(l) == 0)
-    lower_text = F.lower(text)
-    urgency = F.coalesce(F.when(F.size(urg_vals) > 0, F.element_at(urg_vals, -1)),
-                         _first_keyword(lower_text, K.REPLY_URGENCY_KEYWORDS), base_urgency)
-    specialty = F.coalesce(F.when(F.size(spec_vals) > 0, F.initcap(F.element_at(spec_vals, -1))),
-                           _first_keyword(lower_text, K.REPLY_SPECIALTY_KEYWORDS), base_specialty)
-    expl = F.when(F.size(cleaned) > 0, pystrip(F.array_join(cleaned, "\n"))).otherwise(text)
-    expl = F.when(F.length(expl) < 10, F.when(F.length(text) > 10, text).otherwise(
-        F.concat(F.lit("Referral to "), specialty, F.lit(" under urgency category "), urgency, F.lit("."))
-    )).otherwise(expl)
-    return {"urgency": urgency, "specialty": specialty, "explanation": expl}
+    d = d.withColumn("_lines", F.transform(F.split(F.col("_text"), "\n", -1),
+                                           lambda l: F.struct(kind(l).alias("k"), l.alias("l"))))
+    d = d.withColumn("_uv", F.filter(F.transform(F.filter("_lines", lambda x: x["k"] == 1),
+                                                 lambda x: F.initcap(_clean(_after_colon(x["l"])))),
+                                     lambda v: v.isin(*K.URGENCY_RANK.keys())))
+    d = d.withColumn("_sv", F.filter(F.transform(F.filter("_lines", lambda x: x["k"] == 2),
+                                                 lambda x: _clean(_after_colon(x["l"]))), lambda v: v != ""))
+    d = d.withColumn("_kept", F.transform(F.filter("_lines", lambda x: x["k"] == 0), lambda x: x["l"]))
+    lower_text = F.lower(F.col("_text"))
+    d = d.withColumn("urgency", F.coalesce(F.when(F.size("_uv") > 0, F.element_at("_uv", -1)),
+                                           _first_keyword(lower_text, K.REPLY_URGENCY_KEYWORDS), F.col(base_urgency)))
+    d = d.withColumn("specialty", F.coalesce(F.when(F.size("_sv") > 0, F.initcap(F.element_at("_sv", -1))),
+                                             _first_keyword(lower_text, K.REPLY_SPECIALTY_KEYWORDS),
+                                             F.col(base_specialty)))
+    d = d.withColumn("_e0", F.when(F.size("_kept") > 0, pystrip(F.array_join("_kept", "\n"))).otherwise(F.col("_text")))
+    expl = F.when(F.length("_e0") < 10, F.when(F.length("_text") > 10, F.col("_text")).otherwise(
+        F.concat(F.lit("Referral to "), F.col("specialty"), F.lit(" under urgency category "), F.col("urgency"),
+                 F.lit(".")))).otherwise(F.col("_e0"))
+    d = d.withColumn("explanation", expl)
+    return d.drop("_t0", "_text", "_lines", "_uv", "_sv", "_kept", "_e0")
 
 
 def _rank_col(c: Column) -> Column:
@@ -89,6 +96,40 @@ def dedupe_votes(votes: DataFrame) -> DataFrame:
     return v.dropDuplicates(["case_id", "model"])
 
 
+def _per_case(votes: DataFrame, extra: list[str]) -> DataFrame:
+    """(case_id, vs): the case's votes in model order.  After de-duplication
+    a case holds at most one vote per model, so the list is bounded by the
+    number of models, whatever the number of cases or their skew."""
+    v = dedupe_votes(votes)
+    fields = ["model_ord", "model", "urgency", "specialty"] + [c for c in extra if c in v.columns]
+    return v.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("vs"))
+
+
+def _decide(df: DataFrame) -> DataFrame:
+    """Consensus urgency / specialty from the per-case vote list ``vs``."""
+    vs = F.col("vs")
+
+    def n_u(x):
+        return F.size(F.filter(vs, lambda y: y["urgency"] == x["urgency"]))
+
+    def n_s(x):
+        return F.size(F.filter(vs, lambda y: y["specialty"] == x["specialty"]))
+
+    d = df.withColumn("consensus_urgency", F.array_max(F.transform(
+        vs, lambda x: F.struct(n_u(x).alias("n"), _rank_col(x["urgency"]).alias("r"), x["urgency"].alias("u"))))["u"])
+    d = d.withColumn("_sc", F.transform(vs, lambda x: F.struct(n_s(x).alias("n"), x["specialty"].alias("s"),
+                                                               x["model_ord"].alias("o"), x["urgency"].alias("u"))))
+    d = d.withColumn("_mx", F.array_max(F.transform("_sc", lambda x: x["n"])))
+    d = d.withColumn("_win", F.array_distinct(F.transform(F.filter("_sc", lambda x: x["n"] == F.col("_mx")),
+                                                          lambda x: x["s"])))
+    # tie: most-voted specialty among models that voted the consensus urgency, earliest model first
+    tie = F.array_max(F.transform(F.filter("_sc", lambda x: x["u"] == F.col("consensus_urgency")),
+                                  lambda x: F.struct(x["n"].alias("n"), (-x["o"]).alias("o"), x["s"].alias("s"))))["s"]
+    d = d.withColumn("consensus_specialty", F.when(F.size("_win") == 1, F.element_at("_win", 1))
+                     .otherwise(F.coalesce(tie, F.element_at("_win", 1))))
+    return d.drop("_sc", "_mx", "_win")
+
+
 def consensus(votes: DataFrame) -> DataFrame:
     """Per case the consensus urgency and specialty.
 
@@ -96,52 +137,26 @@ def consensus(votes: DataFrame) -> DataFrame:
     votes; on a tie, the specialty with most votes among the models that
     voted the consensus urgency (earliest such model first).
     """
-    v = dedupe_votes(votes)
-    uv = v.groupBy("case_id", "urgency").agg(F.count(F.lit(1)).alias("n"))
-    cu = (uv.groupBy("case_id")
-          .agg(F.max(F.struct("n", _rank_col(F.col("urgency")).alias("r"), "urgency")).alias("b"))
-          .select("case_id", F.col("b.urgency").alias("consensus_urgency")))
-    sv = v.groupBy("case_id", "specialty").agg(F.count(F.lit(1)).alias("n"))
-    smax = sv.groupBy("case_id").agg(F.max("n").alias("mx"),
-                                     F.max(F.struct("n", F.lit(0).alias("z"), "specialty")).alias("top"))
-    ties = sv.join(smax, "case_id").filter(F.col("n") == F.col("mx")).groupBy("case_id").agg(
-        F.count(F.lit(1)).alias("n_win"))
-    # tie-break candidates: specialties of models that voted the consensus urgency
-    cand = (v.join(cu, "case_id").filter(F.col("urgency") == F.col("consensus_urgency"))
-            .groupBy("case_id", "specialty").agg(F.min("model_ord").alias("first_ord"))
-            .join(sv, ["case_id", "specialty"])
-            .groupBy("case_id").agg(F.max(F.struct("n", (-F.col("first_ord")).alias("o"), "specialty")).alias("c")))
-    out = (cu.join(smax, "case_id").join(ties, "case_id").join(cand, "case_id", "left")
-           .select("case_id", "consensus_urgency",
-                   F.when(F.col("n_win") == 1, F.col("top.specialty"))
-                    .otherwise(F.coalesce(F.col("c.specialty"), F.col("top.specialty"))).alias("consensus_specialty")))
-    return out
-
-
-def members(votes: DataFrame, decided: DataFrame, explanation: str | None = None) -> DataFrame:
-    """Models agreeing on both consensus values (else on urgency),
-    in model order, with live-model counts and the verified explanation."""
-    v = dedupe_votes(votes).join(decided, "case_id")
-    both = (F.col("urgency") == F.col("consensus_urgency")) & (F.col("specialty") == F.col("consensus_specialty"))
-    on_u = F.col("urgency") == F.col("consensus_urgency")
-    flags = v.groupBy("case_id").agg(F.max(both.cast("int")).alias("any_both"))
-    v = v.join(flags, "case_id")
-    is_member = F.when(F.col("any_both") == 1, both).otherwise(on_u)
-    label = F.upper("model")
-    part = (F.concat(F.lit("["), label, F.lit("]: "), F.coalesce(F.col(explanation), F.lit("None")))
-            if explanation else F.lit(None).cast("string"))
-    live = F.col("mode") == "live" if "mode" in v.columns else F.lit(False)
-    agg = v.groupBy("case_id").agg(
-        F.array_sort(F.collect_list(F.when(is_member, F.struct("model_ord", label.alias("m"), part.alias("p")))))
-        .alias("mem"),
-        F.count_if(live).alias("live_models_count"),
-    )
-    names = F.array_join(F.transform("mem", lambda x: x["m"]), ", ")
-    cols = [
-        "case_id", names.alias("consensus_models"), F.col("live_models_count").cast("int").alias("live_models_count"),
-        (F.col("live_models_count") > 0).alias("live_mode"),
-    ]
+    return _decide(_per_case(votes, [])).select("case_id", "consensus_urgency", "consensus_specialty")
+
+
+def members(votes: DataFrame, explanation: str | None = None) -> DataFrame:
+    """Consensus plus the models agreeing on both values (else on
+    the urgency) in model order, live-model count and, when an explanation
+    column is given, the verified explanation text."""
+    d = _decide(_per_case(votes, ["mode"] + ([explanation] if explanation else [])))
+    both = F.filter("vs", lambda x: (x["urgency"] == F.col("consensus_urgency"))
+                    & (x["specialty"] == F.col("consensus_specialty")))
+    on_u = F.filter("vs", lambda x: x["urgency"] == F.col("consensus_urgency"))
+    d = d.withColumn("_mem", F.when(F.size(both) > 0, both).otherwise(on_u))
+    names = F.array_join(F.transform("_mem", lambda x: F.upper(x["model"])), ", ")
+    has_mode = "mode" in votes.columns
+    live = F.size(F.filter("vs", lambda x: x["mode"] == "live")) if has_mode else F.lit(0)
+    cols = ["case_id", "consensus_urgency", "consensus_specialty", names.alias("consensus_models"),
+            live.cast("int").alias("live_models_count"), (live > 0).alias("live_mode")]
     if explanation:
+        parts = F.transform("_mem", lambda x: F.concat(F.lit("["), F.upper(x["model"]), F.lit("]: "),
+                                                      F.coalesce(x[explanation], F.lit("None"))))
         cols.append(F.concat(F.lit("Consensus achieved by "), names, F.lit(".\n\n"),
-                             F.array_join(F.transform("mem", lambda x: x["p"]), "\n\n")).alias("verified_explanation"))
-    return agg.select(*cols)
+                             F.array_join(parts, "\n\n")).alias("verified_explanation"))
+    return d.select(*cols)

@@ -55,8 +55,7 @@ def vote_consensus(spark, sf):
     count(*) FILTER (WHERE mode = 'live') > 0 AS live_mode
     FROM mv GROUP BY case_id""", _vote_ctes("votes_v")))
 def vote_members(spark, sf):
-    votes = V.votes_v(spark, sf)
-    return CS.members(votes, CS.consensus(votes))
+    return CS.members(V.votes_v(spark, sf)).select("case_id", "consensus_models", "live_models_count", "live_mode")
 
 
 # --- reply parsing -----------------------------------------------------------------
@@ -119,9 +118,9 @@ def parsed_replies(spark, sf):
     r = V.replies_v(spark, sf)
     c = V.cases_v(spark, sf).select("case_id", "symptoms")
     bu, bs = C.clinical_baseline(F.col("symptoms"))
-    j = r.join(c, "case_id")
-    p = CS.parse_reply(F.col("raw_text"), bu, bs)
-    return j.select("case_id", "model", "model_ord", *[v.alias(k) for k, v in p.items()])
+    j = r.join(c.select("case_id", bu.alias("base_urgency"), bs.alias("base_specialty")), "case_id")
+    p = CS.parse_replies(j, "raw_text", "base_urgency", "base_specialty")
+    return p.select("case_id", "model", "model_ord", "urgency", "specialty", "explanation")
 
 
 @register("parse_replies", lambda: ("SELECT case_id, model, urgency, specialty, explanation FROM parsed", _parse_sql()))
@@ -141,8 +140,5 @@ def parse_replies(spark, sf):
 def reply_consensus(spark, sf):
     """K6: parse every model reply, then vote per case; the verified
     explanation quotes the agreeing models."""
-    p = parsed_replies(spark, sf)
-    d = CS.consensus(p)
-    m = CS.members(p, d, explanation="explanation")
-    return d.join(m, "case_id").select("case_id", "consensus_urgency", "consensus_specialty", "consensus_models",
-                                       "verified_explanation")
+    m = CS.members(parsed_replies(spark, sf), explanation="explanation")
+    return m.select("case_id", "consensus_urgency", "consensus_specialty", "consensus_models", "verified_explanation")
