@@ -35,3 +35,4 @@ def sql_whitespace_tokens(text: str) -> str:
 
 def sql_word_tokens(text: str) -> str:
     return f"regexp_extract_all(lower(coalesce({text}, '')), '{WORD}')"
+

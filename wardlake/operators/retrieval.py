@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from wardlake import constants as K
 from wardlake.functions.text import whitespace_tokens, word_tokens
+from wardlake.session import ensure_checkpoint_dir
+from wardlake.sources.tables import spread
 
 RANK_DIGITS = 9
 MAX_INLINE_QUERIES = 256
@@ -43,7 +45,7 @@ def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = K.OVERLAP_TOP_K
                  did: str = "doc_id", text: str = "text") -> DataFrame:
     """(qid, rank, did, score): top k documents per query with score > 0."""
     qt = queries.select(qid, F.explode(whitespace_tokens(F.col(text))).alias("token"))
-    dt = corpus.select(did, F.explode(whitespace_tokens(F.col(text))).alias("token"))
+    dt = spread(corpus.select(did, text)).select(did, F.explode(whitespace_tokens(F.col(text))).alias("token"))
     scores = dt.join(qt, "token").groupBy(qid, did).agg(F.count(F.lit(1)).alias("score"))
     return _rank(scores, qid, did, k).select(qid, "rank", did, "score")
 
@@ -71,8 +73,12 @@ def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K
     n = corpus.select(did).count()
     n2 = F.lit(float(n + 2))
 
-    d_terms = (corpus.select(did, F.explode(word_tokens(F.col(text))).alias("term"))
+    d_terms = (spread(corpus.select(did, text)).select(did, F.explode(word_tokens(F.col(text))).alias("term"))
                .groupBy(did, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
+    # Used three times below (document frequency, base norms, pair scores):
+    # tokenise the corpus once and cut the lineage in the shared checkpoint dir.
+    ensure_checkpoint_dir(spark)
+    d_terms = d_terms.checkpoint(eager=True)
     dfreq = d_terms.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     idf0 = F.log(n2 / (1 + F.col("df"))) + 1
     # Base squared norm of every document (IDF fitted without any query term).
@@ -102,7 +108,6 @@ def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K
                           F.lit(0.0).alias("score")) if first_docs else None
     cand = best if fill is None else best.unionByName(fill)
     cand = cand.groupBy(qid, did).agg(F.max("score").alias("score"))
-    del spark
     return _rank(cand, qid, did, k).select(qid, "rank", did, "score")
 
 
@@ -152,16 +157,21 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_
 
 # --- J4 / J5 / A7 --------------------------------------------------------------------
 
-def retrieve_with_fallback(*ranked: tuple[str, DataFrame], qid: str = "item_id") -> DataFrame:
-    """Per query, the result list of the first method (in the order
-    given) that returned anything; adds a ``method`` column."""
-    parts = [df.withColumn("method", F.lit(name)).withColumn("method_ord", F.lit(i))
-             for i, (name, df) in enumerate(ranked)]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    best = u.groupBy(qid).agg(F.min("method_ord").alias("method_ord"))
-    return u.join(best, [qid, "method_ord"]).drop("method_ord")
+def retrieve_with_fallback(queries: DataFrame, methods, qid: str = "item_id") -> DataFrame:
+    """Per query, the results of the first method (in the order given)
+    that returns anything for it; adds a ``method`` column.
+
+    ``methods`` is a list of (name, fn) with fn(queries) -> ranked results.
+    Each method only receives the queries that the previous ones left
+    unanswered; when none are left, AQE sees the empty query side at run
+    time and drops the corpus side of that join entirely.
+    """
+    out, pending = None, queries
+    for name, fn in methods:
+        res = fn(pending).withColumn("method", F.lit(name))
+        out = res if out is None else out.unionByName(res)
+        pending = pending.join(res.select(qid).distinct(), qid, "left_anti")
+    return out
 
 
 def explanations(results: DataFrame, docs: DataFrame, qid: str, did: str = "doc_id",

@@ -72,7 +72,8 @@ def retrieve_fallback(spark, sf):
     """Per query: vector results if it has an embedding (benchmark items do
     not), else TF-IDF, else token overlap."""
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    r = RT.retrieve_with_fallback(("tfidf", RT.tfidf_topk(q, d, K3)), ("overlap", RT.overlap_topk(q, d, K3)))
+    r = RT.retrieve_with_fallback(q, [("tfidf", lambda qs: RT.tfidf_topk(qs, d, K3)),
+                                      ("overlap", lambda qs: RT.overlap_topk(qs, d, K3))])
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"), "method")
 
 
