@@ -262,7 +262,7 @@ CLASS_SCORE_CUT = 0.60
 
 # Spark ML risk model.
 SPARK_ML_FEATURES = ["age", "chest_pain", "diabetes", "hypertension", "shortness_of_breath", "blood_pressure"]
-SPARK_ML_LABELS = {0: "Low", 1: "Medium", 2: "High", 3: "Critical"}
+SPARK_ML_LABELS = {0: "Low Risk", 1: "Medium Risk", 2: "High Risk", 3: "Emergency"}
 RF_TREES, RF_DEPTH, RF_SEED = 50, 5, 42
 SPLIT_TRAIN_FRACTION = 0.8
 

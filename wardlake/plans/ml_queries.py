@@ -1 +1,89 @@
-"""Registered queries."""
+"""Model-input and model queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wardlake.functions import clinical as C
+from wardlake.operators import ml as ML
+from wardlake.plans.registry import register
+from wardlake.sources import fixtures as V
+
+_FEATS13 = C.FEATURE_NAMES
+
+
+def model_inputs(spark, sf):
+    """cases_v as the 6-feature model input with its rule-derived risk label."""
+    c = V.cases_v(spark, sf)
+    text = C.list_text(F.concat_ws(", ", F.col("symptoms"), F.col("history")))
+    flags = ML.clinical_flags(text)
+    return c.select("case_id", F.col("age"), *[v.alias(k) for k, v in flags.items()],
+                    F.col("bp").alias("blood_pressure"),
+                    C.risk_label(C.risk_score(F.col("symptoms"), F.col("age"))).alias("risk"))
+
+
+def _sql_inputs() -> str:
+    text = C.sql_list_text("concat_ws(', ', symptoms, history)")
+    return (f"""SELECT case_id, age, CAST(contains({text}, 'chest pain') AS INTEGER) AS chest_pain,
+        CAST(contains({text}, 'diabetes') AS INTEGER) AS diabetes,
+        CAST(contains({text}, 'hypertension') OR contains({text}, 'high blood pressure') AS INTEGER) AS hypertension,
+        CAST(contains({text}, 'shortness of breath') OR contains({text}, 'breathing') AS INTEGER) AS shortness_of_breath,
+        bp AS blood_pressure, {C.sql_risk_label(C.sql_risk_score('symptoms', 'age'))} AS risk FROM cases_v""")
+
+
+@register("ml_features_clean", lambda: ("""SELECT TRY_CAST(age AS DOUBLE) AS age, TRY_CAST(chest_pain AS DOUBLE) AS chest_pain,
+    TRY_CAST(diabetes AS DOUBLE) AS diabetes, TRY_CAST(hypertension AS DOUBLE) AS hypertension,
+    TRY_CAST(shortness_of_breath AS DOUBLE) AS shortness_of_breath, TRY_CAST(blood_pressure AS DOUBLE) AS blood_pressure,
+    TRY_CAST(risk AS DOUBLE) AS risk FROM mi
+    WHERE age IS NOT NULL AND chest_pain IS NOT NULL AND diabetes IS NOT NULL AND hypertension IS NOT NULL
+      AND shortness_of_breath IS NOT NULL AND blood_pressure IS NOT NULL AND risk IS NOT NULL""", {"mi": _sql_inputs()}))
+def ml_features_clean(spark, sf):
+    return ML.training_frame(model_inputs(spark, sf))
+
+
+@register("coerce_features", lambda: ("""SELECT case_id, risk, CAST(coalesce(age, 55) AS INTEGER) AS age,
+    CAST(coalesce(chest_pain <> 0, false) AS INTEGER) AS chest_pain, CAST(coalesce(diabetes <> 0, false) AS INTEGER) AS diabetes,
+    CAST(coalesce(hypertension <> 0, false) AS INTEGER) AS hypertension,
+    CAST(coalesce(shortness_of_breath <> 0, false) AS INTEGER) AS shortness_of_breath,
+    CAST(coalesce(blood_pressure, 120) AS INTEGER) AS blood_pressure FROM mi""", {"mi": _sql_inputs()}))
+def coerce_features(spark, sf):
+    return ML.coerce_features(model_inputs(spark, sf))
+
+
+@register("train_test_split", lambda: f"""SELECT case_id,
+    CASE WHEN {ML.sql_split_bucket('case_id')} < 80 THEN 'train' ELSE 'test' END AS split FROM cases_v""")
+def train_test_split(spark, sf):
+    return ML.hash_split(V.cases_v(spark, sf).select("case_id"), "case_id")
+
+
+def _std_sql() -> tuple[str, dict]:
+    from wardlake.plans.rule_queries import _sql_features_text
+    feats = C.sql_risk_feature_columns(_sql_features_text(), "age", "bp", "heart_rate", "cholesterol")
+    stats = ", ".join(f"avg({n}) AS m_{n}, stddev_pop({n}) AS s_{n}" for n in _FEATS13)
+    cols = ", ".join(f"round((f.{n} - s.m_{n}) / CASE WHEN coalesce(s.s_{n}, 0) = 0 THEN 1 ELSE s.s_{n} END, 6) AS {n}"
+                     for n in _FEATS13)
+    return (f"SELECT f.case_id, {cols} FROM feats f CROSS JOIN fstats s",
+            {"feats": f"SELECT case_id, {', '.join(feats)} FROM cases_v", "fstats": f"SELECT {stats} FROM feats"})
+
+
+@register("standardize", _std_sql)
+def standardize(spark, sf):
+    """The 13 risk features standardised with the population std (rounded
+    to 6 decimals for comparison)."""
+    from wardlake.plans.rule_queries import _features_text
+    c = V.cases_v(spark, sf)
+    f = c.select("case_id", *C.risk_feature_columns(_features_text(), "age", "bp", "heart_rate", "cholesterol"))
+    z = ML.standardize(f, _FEATS13, "case_id")
+    return z.select("case_id", *[F.round(n, 6).alias(n) for n in _FEATS13])
+
+
+@register("ml_predictions")
+def ml_predictions(spark, sf):
+    """Random-forest risk model trained on the 80 % split of all cases and
+    applied to the other 20 %: label name, probability map, expected risk.
+    (A fitted model, so there is no SQL twin; the driver checks row counts.)"""
+    data = model_inputs(spark, sf)
+    model, _ = ML.train_risk_model(data, "risk", ML.FEATURES, split_key="case_id")
+    test = ML.hash_split(data, "case_id").filter(F.col("split") == "test").drop("split")
+    return ML.predict_risk(model, test).select(
+        "case_id", "risk", "prediction_label", "risk_score")
