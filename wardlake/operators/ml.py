@@ -140,9 +140,9 @@ def standardize(df: DataFrame, cols: list[str], key: str) -> DataFrame:
     return df.select(key, *out)
 
 
-def boosted_model(df: DataFrame, features: list[str], label: str = "label") -> PipelineModel:
+def boosted_model(df: DataFrame, features: list[str], label: str = "label", max_iter: int = 100) -> PipelineModel:
     """Three risk classes with gradient-boosted trees.  Spark's GBT is
     binary, so one-vs-rest over 100-tree, depth-4 binary GBTs."""
-    gbt = GBTClassifier(maxIter=100, maxDepth=4, seed=K.RF_SEED)
+    gbt = GBTClassifier(maxIter=max_iter, maxDepth=4, seed=K.RF_SEED)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
                             OneVsRest(classifier=gbt, labelCol=label, featuresCol="features")]).fit(df)
