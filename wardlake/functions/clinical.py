@@ -414,6 +414,17 @@ def image_confidence(brightness) -> Column:
     return F.least(F.lit(K.IMAGE_CONF_BASE) + F.abs(b - 128) / K.IMAGE_CONF_SCALE, F.lit(K.IMAGE_CONF_CAP))
 
 
+def class_decision(normal, abnormal, inconclusive, cut=None) -> tuple[Column, Column]:
+    """(max score, decision): argmax of the three class scores (first
+    class wins ties); below ``cut`` the result is 'inconclusive'."""
+    cut = K.CLASS_SCORE_CUT if cut is None else cut
+    n, a, i = _c(normal), _c(abnormal), _c(inconclusive)
+    mx = F.greatest(n, a, i)
+    dec = (F.when(mx < cut, "inconclusive").when(n == mx, "normal").when(a == mx, "abnormal")
+           .otherwise("inconclusive"))
+    return mx, dec
+
+
 # H36 ------------------------------------------------------------------------------
 def final_risk(crew_risk, rule_risk) -> Column:
     """crew risk, or the rule risk when the crew risk is 0 or missing; cap 100; truncated."""

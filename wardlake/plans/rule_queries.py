@@ -191,13 +191,8 @@ def score_decision(spark, sf):
     the case is inconclusive.  Scores are integers in thousandths."""
     m = V.image_metrics_v(spark, sf)
     n, a = F.col("normal_milli"), F.col("abnormal_milli")
-    inc = F.greatest(F.lit(0), 1000 - n - a)
-    mx = F.greatest(n, a, inc)
-    return m.select(
-        "image_id", mx.alias("max_milli"),
-        F.when(mx < _CUT_MILLI, "inconclusive").when(n == mx, "normal").when(a == mx, "abnormal")
-         .otherwise("inconclusive").alias("decision"),
-    )
+    mx, dec = C.class_decision(n, a, F.greatest(F.lit(0), 1000 - n - a), _CUT_MILLI)
+    return m.select("image_id", mx.alias("max_milli"), dec.alias("decision"))
 
 
 @register("split_symptoms", """
