@@ -26,7 +26,7 @@ def report_stream(spark: SparkSession, folder: str, schema: T.StructType = REPOR
 
 
 def emergency_trend_stream(reports: DataFrame, watermark: str = "1 day") -> DataFrame:
-    ts = F.to_timestamp(F.substring("generated_at", 1, 10), "yyyy-MM-dd")
+    ts = F.try_to_timestamp(F.substring("generated_at", 1, 10), F.lit("yyyy-MM-dd"))
     return (reports.filter(F.col("priority").isin(*EMERGENCY_LEVELS))
             .withColumn("event_time", ts).filter(F.col("event_time").isNotNull())
             .withWatermark("event_time", watermark)
