@@ -24,9 +24,14 @@ METRICS_SCHEMA = "origin string, width int, height int, brightness double, contr
 def read_images(spark: SparkSession, path: str, max_bytes: int = K.IMAGE_MAX_BYTES) -> DataFrame:
     """Decodable images under ``path`` no larger than ``max_bytes``."""
     sizes = (spark.read.format("binaryFile").load(path)
-             .filter(F.col("length") <= max_bytes).select(F.col("path").alias("origin")))
+             .filter(F.col("length") <= max_bytes).select(_uri(F.col("path")).alias("_u")))
     img = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
-    return img.join(sizes, "origin", "left_semi")
+    return img.join(sizes, _uri(F.col("origin")) == F.col("_u"), "left_semi")
+
+
+def _uri(c):
+    """One spelling for local file URIs (file:/x and file:///x)."""
+    return F.regexp_replace(c, "^file:/+", "file:///")
 
 
 def _metrics(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
