@@ -87,3 +87,36 @@ def ml_predictions(spark, sf):
     test = ML.hash_split(data, "case_id").filter(F.col("split") == "test").drop("split")
     return ML.predict_risk(model, test).select(
         "case_id", "risk", "prediction_label", "risk_score")
+
+
+@register("accuracy")
+def accuracy(spark, sf):
+    """Rows used and accuracy of the random-forest risk model on its
+    held-out 20 % (a fitted model: rows-only check)."""
+    data = model_inputs(spark, sf)
+    model, metrics = ML.train_risk_model(data, "risk", ML.FEATURES, split_key="case_id")
+    test = ML.hash_split(data, "case_id").filter(F.col("split") == "test")
+    scored = model.transform(test)
+    return scored.agg(F.count(F.lit(1)).alias("test_rows"),
+                      F.avg((F.col("prediction") == F.col("risk")).cast("double")).alias("accuracy"))
+
+
+@register("weighted_risk")
+def weighted_risk(spark, sf):
+    """Three-class risk model on the 13 risk features (labels by
+    the 0-100 rule score: >=70 High, >=40 Medium, else Low), standardised
+    with the population std; per held-out case the predicted class,
+    confidence, uncertainty and weighted risk percentage."""
+    from pyspark.ml.functions import vector_to_array
+
+    from wardlake.plans.rule_queries import _features_text
+    c = V.cases_v(spark, sf)
+    f = c.select("case_id", *C.risk_feature_columns(_features_text(), "age", "bp", "heart_rate", "cholesterol"),
+                 C.risk_label(C.risk_score(F.col("symptoms"), F.col("age"))).cast("double").alias("label"))
+    z = ML.standardize(f, _FEATS13, "case_id").join(f.select("case_id", "label"), "case_id")
+    model, _ = ML.train_risk_model(z, "label", _FEATS13, split_key="case_id")
+    test = ML.hash_split(z, "case_id").filter(F.col("split") == "test")
+    p = model.transform(test).withColumn("p", vector_to_array("probability"))
+    p = p.withColumn("p", F.concat("p", F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), 3 - F.size("p")))))
+    w = ML.weighted_risk(F.col("p"))
+    return p.select("case_id", *[v.alias(k) for k, v in w.items()])
