@@ -98,37 +98,37 @@ def test_slots_doctors_hospitals(spark, seeds):
 
 
 def _rule_case(spark, symptoms, history):
-    df = spark.createDataFrame([(symptoms, history)], "symptoms string, history string")
+    df = spark.createDataFrame([(1, symptoms, history)], "k int, symptoms string, history string")
     st, ht = M.case_texts(F.col("symptoms"), F.col("history"))
-    df = df.withColumn("m", M.matched_rules(st, ht))
-    return df.select(F.transform("m", lambda x: x["rule_id"]).alias("ids"),
-                     *[v.alias(k) for k, v in M.score_matches(F.col("m")).items()]).first()
+    ids = [r.rule_id for r in M.rule_match_rows(df, "k", st, ht).collect()]
+    return ids, M.with_rule_scores(df, st, ht).first()
 
 
 def test_rule_agent_and_bayes(spark):
-    r = _rule_case(spark, "chest pain", "diabetes")
-    assert r.ids == [1, 4]
+    ids, r = _rule_case(spark, "chest pain", "diabetes")
+    assert ids == [1, 4]
     assert (r.risk_score, r.recommended_specialty, r.priority) == (60, "Cardiology", "High")
     assert r.confidence == pytest.approx(0.60)
     assert (r.posterior_risk, r.risk_percentage) == (0.54, 54.0)
-    r = _rule_case(spark, "", "")
+    ids, r = _rule_case(spark, "", "")
+    assert ids == []
     assert (r.recommended_specialty, r.priority, r.risk_score, r.confidence) == ("General Physician", "Normal", 10, 0.10)
     assert r.posterior_risk == 0.10
 
 
 def _kg(spark, symptoms, history=""):
-    df = spark.createDataFrame([(symptoms, history)], "s string, h string")
-    df = df.withColumn("kg", M.kg_matched(M.kg_text(F.col("s"), F.col("h"))))
-    return df.select("kg", *[v.alias(k) for k, v in M.kg_scores(F.col("kg")).items()]).first()
+    df = spark.createDataFrame([(1, symptoms, history)], "k int, s string, h string")
+    text = M.kg_text(F.col("s"), F.col("h"))
+    return M.kg_match_rows(df, "k", text).collect(), M.with_kg_scores(df, text).first()
 
 
 def test_knowledge_graph(spark):
-    r = _kg(spark, "chest pain, diabetes")
-    assert [(e.symptom, e.specialty, e.weight) for e in r.kg] == [("chest pain", "Cardiology", 40),
-                                                                   ("diabetes", "Endocrinology", 20)]
+    edges, r = _kg(spark, "chest pain, diabetes")
+    assert [(e.symptom, e.specialty, e.weight) for e in edges] == [("chest pain", "Cardiology", 40),
+                                                                    ("diabetes", "Endocrinology", 20)]
     assert (r.kg_specialty, r.kg_risk_score) == ("Cardiology", 60)
     assert r.relationships.split(" | ")[0] == "Chest Pain → Cardiology (+40)"
-    assert _kg(spark, "cough, headache").kg_specialty == "Neurology"
+    assert _kg(spark, "cough, headache")[1].kg_specialty == "Neurology"
     assert M.kg_nodes_frame(spark).count() == 28
     assert M.kg_edges_frame(spark).count() == 22
 

@@ -109,8 +109,7 @@ def test_consensus_is_row_order_free(spark):
 def test_inline_rule_matcher_equals_qgram_join(spark):
     c = V.cases_v(spark, SF_SMALL)
     st, ht = M.case_texts(F.col("symptoms"), F.col("history"))
-    inline = (c.select("case_id", F.explode(M.matched_rules(st, ht)).alias("r"))
-              .select("case_id", "r.rule_id"))
+    inline = M.rule_match_rows(c, "case_id", st, ht).select("case_id", "rule_id")
     joined = M.match_rules_join(c, "case_id", st, ht, M.rules_frame(spark)).select("case_id", "rule_id")
     assert sorted(rows(inline)) == sorted(rows(joined))
 

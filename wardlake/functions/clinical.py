@@ -190,6 +190,17 @@ def severity_lists(symptoms, history) -> dict[str, Column]:
     return {"critical": crit, "high": high, "medium": med, "severity": sev}
 
 
+def severity_text(symptoms, history) -> dict[str, Column]:
+    """H13 without arrays: each list as ', '-joined text (concat_ws skips the
+    phrases not found) and the severity as one CASE."""
+    text = R.lower_join(symptoms, history)
+    joined = {k: F.concat_ws(", ", *[F.when(text.contains(p), F.lit(p)) for p in lst])
+              for k, lst in (("critical", K.SEVERITY_CRITICAL), ("high", K.SEVERITY_HIGH), ("medium", K.SEVERITY_MEDIUM))}
+    sev = (F.when(R.any_contains(text, K.SEVERITY_CRITICAL), "Critical").when(R.any_contains(text, K.SEVERITY_HIGH), "High")
+           .when(R.any_contains(text, K.SEVERITY_MEDIUM), "Medium").otherwise("Low"))
+    return {**joined, "severity": sev}
+
+
 def sql_severity_lists(symptoms: str, history: str) -> dict[str, str]:
     text = R.sql_lower_join(symptoms, history)
     crit, high, med = (R.sql_found(text, K.SEVERITY_CRITICAL), R.sql_found(text, K.SEVERITY_HIGH),

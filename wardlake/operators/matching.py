@@ -2,12 +2,16 @@
 (C5, C6, D15-D20, D17, H15, H17-H19, H31, G-4).
 
 A case matches a rule when the rule keyword is a substring of the case text.
-The rule table is a small dimension, so the default matcher turns it into
-one generated expression that yields, per case row, the array of matched
-rules in rule order.  All per-case answers (score, priority, argmax specialty
-with first-seen tie-break, Bayesian product) are then higher-order functions
-over that array: the whole job is map-only, no join and no shuffle, whatever
-the number of cases or the skew of their content.
+The rule table is a small dimension, so the default matcher turns it into one
+boolean column per rule.  All per-case answers are then plain CASE
+arithmetic over those flags, inside whole-stage codegen:
+- score, count and the Bayesian product are sums and products of CASE terms;
+- the priority is a greatest() of ranks;
+- the specialty is a greatest() over (score, first rule, name) structs, which
+  gives the first-seen tie-break;
+- explanation lists are concat_ws of CASE strings.
+The job is map-only (no join, no shuffle), whatever the number of cases or
+the skew of their content.
 
 For a rule table too large to inline (above ``MAX_INLINE_RULES``, checked
 with a bounded count) ``match_rules_join`` gives the exact same matches with
@@ -80,45 +84,85 @@ def _mult10(m: float) -> int:
     return int(v)
 
 
-def matched_rules(symptom_text: Column, history_text: Column, rules=K.HEALTH_RULES) -> Column:
-    """array<struct> of matched rules in rule order."""
-    entries = []
-    for rid, kw, cat, spec, prio, pts, mult, expl in _rule_rows(rules):
-        src = symptom_text if cat == "symptom" else history_text
-        entries.append(F.when(src.contains(kw.lower()), F.struct(
-            F.lit(rid).alias("rule_id"), F.lit(kw).alias("keyword"), F.lit(cat).alias("category"),
-            F.lit(spec).alias("specialty"), F.lit(prio).alias("priority"),
-            F.lit(K.PRIORITY_RANK[prio]).alias("prank"), F.lit(pts).alias("points"),
-            F.lit(_mult10(mult)).cast("long").alias("mult10"), F.lit(expl).alias("explanation"))))
-    return F.filter(F.array(*entries), lambda x: x.isNotNull())
-
-
-def score_matches(m: Column) -> dict[str, Column]:
-    """Per-case answers from the matched-rule array."""
-    n = F.size(m)
-    score = F.aggregate(m, F.lit(0), lambda acc, x: acc + x["points"])
-
-    def spec_key(x):
-        same = F.filter(m, lambda y: y["specialty"] == x["specialty"])
-        return F.struct(
-            F.aggregate(same, F.lit(0), lambda acc, y: acc + y["points"]).alias("s"),
-            (-F.array_min(F.transform(same, lambda y: y["rule_id"]))).alias("first"),
-            x["specialty"].alias("specialty"))
-
-    best_spec = F.array_max(F.transform(m, spec_key))["specialty"]
-    best_prio = F.array_max(F.transform(m, lambda x: F.struct(x["prank"].alias("r"), x["priority"].alias("p"))))["p"]
-    prod10 = F.aggregate(m, F.lit(1).cast("long"), lambda acc, x: acc * x["mult10"])
-    has = n > 0
+def with_rule_flags(df: DataFrame, symptom_text: Column, history_text: Column,
+                    rules=K.HEALTH_RULES) -> tuple[DataFrame, list[tuple[tuple, Column]]]:
+    """Add one boolean column per rule (keyword found in the text its
+    category reads).  The two texts are computed once; every flag is read by
+    the score columns, so Catalyst keeps them as one projection."""
+    rows = _rule_rows(rules)
+    d = df.select("*", symptom_text.alias("_st"), history_text.alias("_ht"))
+    d = d.select("*", *[(F.col("_st") if cat == "symptom" else F.col("_ht")).contains(kw.lower()).alias(f"_rule_{rid}")
+                        for rid, kw, cat, *_ in rows])
+    return d, [(r, F.col(f"_rule_{r[0]}")) for r in rows]
+
+
+def matched_rule_array(flags: list[tuple[tuple, Column]]) -> Column:
+    """array of matched-rule structs with NULLs for rules that did not match
+    (explode it and drop the NULLs to get one row per match, in rule order)."""
+    return F.array(*[F.when(f, F.struct(
+        F.lit(rid).alias("rule_id"), F.lit(kw).alias("keyword"), F.lit(cat).alias("category"),
+        F.lit(spec).alias("specialty"), F.lit(prio).alias("priority"), F.lit(pts).alias("points"),
+        F.lit(mult).alias("multiplier"), F.lit(expl).alias("explanation")))
+        for (rid, kw, cat, spec, prio, pts, mult, expl), f in flags])
+
+
+def _sum(terms: list[Column]) -> Column:
+    total = F.lit(0)
+    for t in terms:
+        total = total + t
+    return total
+
+
+def _any(flags: list[Column]) -> Column:
+    out = F.lit(False)
+    for f in flags:
+        out = out | f
+    return out
+
+
+def _argmax(groups: dict[str, list[tuple[Column, int, int]]]) -> Column:
+    """groups: name -> [(flag, order, weight)] in order.  The name with the
+    highest summed weight of its matched items; ties go to the name whose
+    first matched item comes first (insertion order of a running dict)."""
+    cands = []
+    for name, items in groups.items():
+        score = _sum([F.when(f, F.lit(w)).otherwise(F.lit(0)) for f, _, w in items])
+        first = None
+        for f, o, _ in items:
+            first = F.when(f, F.lit(-o)) if first is None else first.when(f, F.lit(-o))
+        cands.append(F.when(_any([f for f, _, _ in items]),
+                            F.struct(score.alias("s"), first.alias("f"), F.lit(name).alias("n"))))
+    best = cands[0] if len(cands) == 1 else F.greatest(*cands)
+    return best["n"]
+
+
+def rule_score_columns(flags: list[tuple[tuple, Column]]) -> dict[str, Column]:
+    """Per-case answers from the rule flags (D15, D16, D18-D20, H19, D17):
+    sums and products of CASE terms and a greatest() over specialties."""
+    fl = [f for _, f in flags]
+    has = _any(fl)
+    n = _sum([F.when(f, F.lit(1)).otherwise(F.lit(0)) for f in fl])
+    score = _sum([F.when(f, F.lit(r[5])).otherwise(F.lit(0)) for r, f in flags])
+    groups: dict[str, list] = {}
+    for r, f in flags:
+        groups.setdefault(r[3], []).append((f, r[0], r[5]))
+    prank = F.greatest(*[F.when(f, F.lit(K.PRIORITY_RANK[r[4]])) for r, f in flags], F.lit(None).cast("int"))
+    prio = None
+    for name, rank in K.PRIORITY_RANK.items():
+        prio = F.when(prank == rank, F.lit(name)) if prio is None else prio.when(prank == rank, F.lit(name))
+    prod10 = F.lit(1).cast("long")
+    for r, f in flags:
+        prod10 = prod10 * F.when(f, F.lit(_mult10(r[6]))).otherwise(F.lit(1)).cast("long")
     posterior = F.least(prod10.cast("double") / F.pow(F.lit(10.0), n + 1), F.lit(K.BAYES_CAP))
     pct = F.least(prod10.cast("double") / F.pow(F.lit(10.0), n - 1), F.lit(K.BAYES_CAP * 100))
     return {
         "n_rules": n,
-        "recommended_specialty": F.when(has, best_spec).otherwise(F.lit(K.NO_RULE_DEFAULT[0])),
-        "priority": F.when(has, best_prio).otherwise(F.lit(K.NO_RULE_DEFAULT[1])),
+        "recommended_specialty": F.when(has, _argmax(groups)).otherwise(F.lit(K.NO_RULE_DEFAULT[0])),
+        "priority": F.when(has, prio).otherwise(F.lit(K.NO_RULE_DEFAULT[1])),
         "risk_score": F.when(has, score).otherwise(F.lit(K.NO_RULE_DEFAULT[2])),
         "confidence": F.when(has, F.least(score / 100.0, F.lit(K.RULE_CONFIDENCE_CAP)))
                        .otherwise(F.lit(K.NO_RULE_DEFAULT[3])),
-        "explanation": F.when(has, F.array_join(F.transform(m, lambda x: x["explanation"]), " | "))
+        "explanation": F.when(has, F.concat_ws(" | ", *[F.when(f, F.lit(r[7])) for r, f in flags]))
                         .otherwise(F.lit(K.NO_RULE_EXPLANATION)),
         # Bayesian-style update: prior 0.10 times every matched multiplier, capped.
         "posterior_risk": F.round(F.when(has, posterior).otherwise(F.lit(K.BAYES_PRIOR)), 2),
@@ -126,6 +170,25 @@ def score_matches(m: Column) -> dict[str, Column]:
     }
 
 
+def with_rule_scores(df: DataFrame, symptom_text: Column, history_text: Column, rules=K.HEALTH_RULES,
+                     keep_flags: bool = False) -> DataFrame:
+    """``df`` plus the rule answers (n_rules, recommended_specialty, priority,
+    risk_score, confidence, explanation, posterior_risk, risk_percentage)."""
+    d, flags = with_rule_flags(df, symptom_text, history_text, rules)
+    d = d.select("*", *[v.alias(k) for k, v in rule_score_columns(flags).items()])
+    if keep_flags:
+        return d
+    return d.drop("_st", "_ht", *[f"_rule_{r[0]}" for r, _ in flags])
+
+
+def rule_match_rows(df: DataFrame, key: str, symptom_text: Column, history_text: Column,
+                    rules=K.HEALTH_RULES) -> DataFrame:
+    """One row per (case, matched rule), in rule order."""
+    d, flags = with_rule_flags(df.select(key, "symptoms", "history"), symptom_text, history_text, rules)
+    return (d.select(key, F.explode(matched_rule_array(flags)).alias("r"))
+            .filter(F.col("r").isNotNull()).select(key, "r.*"))
+
+
 def match_rules_join(cases: DataFrame, key: str, symptom_text: Column, history_text: Column,
                      rules: DataFrame) -> DataFrame:
     """Exact substring matches for a rule table of any size, as an equi-join.
@@ -189,32 +252,51 @@ def sql_kg_text(symptoms: str, history: str) -> str:
     return f"lower(coalesce({symptoms}, '') || ' ' || coalesce({history}, ''))"
 
 
-def kg_matched(text: Column) -> Column:
-    entries = [F.when(text.contains(s), F.struct(
+def with_kg_flags(df: DataFrame, text: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """One boolean column per symptom node found in the (lowered) text."""
+    nodes = list(dict.fromkeys(s for _, s, _, _, _ in kg_edge_rows()))
+    d = df.select("*", text.alias("_kt"))
+    d = d.select("*", *[F.col("_kt").contains(n).alias(f"_kg_{i}") for i, n in enumerate(nodes)])
+    return d, {n: F.col(f"_kg_{i}") for i, n in enumerate(nodes)}
+
+
+def kg_match_array(node_flags: dict[str, Column]) -> Column:
+    """array of out-edge structs of every matched node (NULL otherwise), in
+    traversal order."""
+    return F.array(*[F.when(node_flags[s], F.struct(
         F.lit(o).alias("edge_ord"), F.lit(s).alias("symptom"), F.lit(sp).alias("specialty"),
         F.lit(w).alias("weight"), F.lit(r).alias("risk"),
-        F.lit(f"{s.title()} → {sp} (+{w})").alias("relationship"))) for o, s, sp, w, r in kg_edge_rows()]
-    return F.filter(F.array(*entries), lambda x: x.isNotNull())
+        F.lit(f"{s.title()} → {sp} (+{w})").alias("relationship"))) for o, s, sp, w, r in kg_edge_rows()])
 
 
-def kg_scores(m: Column) -> dict[str, Column]:
-    def spec_key(x):
-        same = F.filter(m, lambda y: y["specialty"] == x["specialty"])
-        return F.struct(
-            F.aggregate(same, F.lit(0), lambda acc, y: acc + y["weight"]).alias("s"),
-            (-F.array_min(F.transform(same, lambda y: y["edge_ord"]))).alias("first"),
-            x["specialty"].alias("specialty"))
-
-    has = F.size(m) > 0
+def kg_score_columns(node_flags: dict[str, Column]) -> dict[str, Column]:
+    edges = kg_edge_rows()
+    has = _any(list(node_flags.values()))
+    groups: dict[str, list] = {}
+    for o, s, sp, w, _ in edges:
+        groups.setdefault(sp, []).append((node_flags[s], o, w))
+    total = _sum([F.when(node_flags[s], F.lit(w)).otherwise(F.lit(0)) for _, s, _, w, _ in edges])
+    rel = F.concat_ws(" | ", *[F.when(node_flags[s], F.lit(f"{s.title()} → {sp} (+{w})")) for _, s, sp, w, _ in edges])
     return {
-        "kg_specialty": F.when(has, F.array_max(F.transform(m, spec_key))["specialty"]).otherwise(F.lit(K.KG_DEFAULT[0])),
-        "kg_risk_score": F.when(has, F.aggregate(m, F.lit(0), lambda acc, x: acc + x["weight"]))
-                          .otherwise(F.lit(K.KG_DEFAULT[1])),
-        "relationships": F.when(has, F.array_join(F.transform(m, lambda x: x["relationship"]), " | "))
-                          .otherwise(F.lit(K.KG_NO_MATCH)),
+        "kg_specialty": F.when(has, _argmax(groups)).otherwise(F.lit(K.KG_DEFAULT[0])),
+        "kg_risk_score": F.when(has, total).otherwise(F.lit(K.KG_DEFAULT[1])),
+        "relationships": F.when(has, rel).otherwise(F.lit(K.KG_NO_MATCH)),
     }
 
 
+def with_kg_scores(df: DataFrame, text: Column) -> DataFrame:
+    d, flags = with_kg_flags(df, text)
+    d = d.select("*", *[v.alias(k) for k, v in kg_score_columns(flags).items()])
+    return d.drop("_kt", *[c for c in d.columns if c.startswith("_kg_")])
+
+
+def kg_match_rows(df: DataFrame, key: str, text: Column) -> DataFrame:
+    """One row per (case, out-edge of a matched symptom node)."""
+    d, flags = with_kg_flags(df, text)
+    return (d.select(key, F.explode(kg_match_array(flags)).alias("e"))
+            .filter(F.col("e").isNotNull()).select(key, "e.*"))
+
+
 # --- SQL twins -----------------------------------------------------------------------
 
 def sql_rules_values(rules: Sequence[tuple] = K.HEALTH_RULES) -> str:

@@ -20,22 +20,20 @@ from wardlake.sources import fixtures as V
 
 def case_report_df(spark, sf):
     r = risk_cases(spark, sf)
-    sev = C.severity_lists(F.col("symptoms"), F.col("history"))
-    # materialise the arrays once; the scores below are functions of the columns
+    sev = C.severity_text(F.col("symptoms"), F.col("history"))
     r = r.withColumn("_crit", sev["critical"]).withColumn("_sev", sev["severity"])
-    r = r.withColumn("_kg", M.kg_matched(M.kg_text(F.col("symptoms"), F.col("history"))))
-    kg = M.kg_scores(F.col("_kg"))
+    r = M.with_kg_scores(r, M.kg_text(F.col("symptoms"), F.col("history")))
     slots = (S.top_slots(V.slots_v(spark, sf), V.doctors_v(spark, sf), 3)
              .groupBy(F.col("specialty").alias("recommended_specialty"))
              .agg(F.count(F.lit(1)).cast("int").alias("n_doctors"), F.min("slot_id").alias("first_slot_id")))
     rule_risk = C.risk_score(F.col("symptoms"), F.col("age"))
     final = C.final_risk(F.col("combined_risk"), rule_risk)
     rep = r.select(
-        "case_id", F.col("_sev").alias("severity"), F.array_join("_crit", ", ").alias("critical_symptoms"),
+        "case_id", F.col("_sev").alias("severity"), F.col("_crit").alias("critical_symptoms"),
         F.col("combined_risk").alias("risk_score"), "risk_level",
         C.report_urgency(F.col("combined_risk")).alias("urgency"),
         C.report_recommendation(F.col("combined_risk")).alias("recommendation"),
-        "recommended_specialty", kg["kg_specialty"].alias("kg_specialty"), kg["kg_risk_score"].alias("kg_risk_score"),
+        "recommended_specialty", "kg_specialty", "kg_risk_score",
         "posterior_risk", "ml_risk_pct", final.alias("final_risk"), C.risk_priority(final).alias("final_priority"),
     )
     j = rep.join(slots, "recommended_specialty", "left")

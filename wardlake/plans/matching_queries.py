@@ -19,9 +19,7 @@ def scored_cases(spark, sf) -> DataFrame:
     """cases_v + rule-match array + per-case rule scores + Bayesian risk."""
     c = V.cases_v(spark, sf)
     st, ht = M.case_texts(F.col("symptoms"), F.col("history"))
-    c = c.withColumn("matched", M.matched_rules(st, ht))
-    s = M.score_matches(F.col("matched"))
-    return c.select("*", *[v.alias(k) for k, v in s.items()])
+    return M.with_rule_scores(c, st, ht)
 
 
 def _rule_ctes() -> dict[str, str]:
@@ -52,9 +50,9 @@ def _rule_ctes() -> dict[str, str]:
 
 @register("rule_matches", lambda: ("SELECT case_id, rule_id, keyword, specialty, points FROM rule_hits", _rule_ctes()))
 def rule_matches(spark, sf):
-    c = scored_cases(spark, sf)
-    return (c.select("case_id", F.explode("matched").alias("r"))
-            .select("case_id", "r.rule_id", "r.keyword", "r.specialty", "r.points"))
+    c = V.cases_v(spark, sf)
+    st, ht = M.case_texts(F.col("symptoms"), F.col("history"))
+    return M.rule_match_rows(c, "case_id", st, ht).select("case_id", "rule_id", "keyword", "specialty", "points")
 
 
 @register("rule_scores", lambda: ("""SELECT case_id, n_rules, recommended_specialty, priority, risk_score, confidence
@@ -78,8 +76,7 @@ def bayes_risk(spark, sf):
 
 def kg_cases(spark, sf) -> DataFrame:
     c = V.cases_v(spark, sf)
-    c = c.withColumn("kg", M.kg_matched(M.kg_text(F.col("symptoms"), F.col("history"))))
-    return c.select("*", *[v.alias(k) for k, v in M.kg_scores(F.col("kg")).items()])
+    return M.with_kg_scores(c, M.kg_text(F.col("symptoms"), F.col("history")))
 
 
 def _kg_ctes() -> dict[str, str]:
@@ -102,9 +99,9 @@ def _kg_ctes() -> dict[str, str]:
 
 @register("kg_matches", lambda: ("SELECT case_id, edge_ord, symptom, specialty, weight, risk FROM kg_hits", _kg_ctes()))
 def kg_matches(spark, sf):
-    c = kg_cases(spark, sf)
-    return (c.select("case_id", F.explode("kg").alias("e"))
-            .select("case_id", "e.edge_ord", "e.symptom", "e.specialty", "e.weight", "e.risk"))
+    c = V.cases_v(spark, sf)
+    return (M.kg_match_rows(c, "case_id", M.kg_text(F.col("symptoms"), F.col("history")))
+            .select("case_id", "edge_ord", "symptom", "specialty", "weight", "risk"))
 
 
 @register("kg_scores", lambda: ("SELECT case_id, kg_specialty, kg_risk_score FROM kg_case", _kg_ctes()))

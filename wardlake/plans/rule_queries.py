@@ -96,9 +96,8 @@ def _sev_sql():
 @register("symptom_severity", _sev_sql)
 def symptom_severity(spark, sf):
     c = V.cases_v(spark, sf)
-    s = C.severity_lists(F.col("symptoms"), F.col("history"))
-    return c.select("case_id", s["severity"].alias("severity"), F.array_join(s["critical"], ", ").alias("critical"),
-                    F.array_join(s["high"], ", ").alias("high"), F.array_join(s["medium"], ", ").alias("medium"))
+    s = C.severity_text(F.col("symptoms"), F.col("history"))
+    return c.select("case_id", *[s[k].alias(k) for k in ("severity", "critical", "high", "medium")])
 
 
 @register("risk_score_fallback", lambda: f"""
