@@ -119,3 +119,30 @@ def test_weighted_risk_and_boosted(spark):
     data = model_inputs(spark, SF_SMALL).withColumn("label", F.col("risk").cast("double"))
     m = ML.boosted_model(data, ML.FEATURES, "label", max_iter=3)
     assert m.transform(data).select("prediction").distinct().count() >= 1
+
+
+def test_seed_if_empty_and_upload_validation(spark):
+    from wardlake.operators import matching as M
+    seed = M.rules_frame(spark)
+    empty = spark.createDataFrame([], seed.schema)
+    assert L.seed_if_empty(empty, seed).count() == 9
+    one = seed.limit(1)
+    assert L.seed_if_empty(one, seed).count() == 1
+    ups = spark.createDataFrame([("a", "image/PNG", 10), ("b", "application/pdf", 10), ("c", None, 10),
+                                 ("d", "image/jpeg", 30 * 1024 * 1024)], "name string, content_type string, length long")
+    assert sorted(r.name for r in L.valid_uploads(ups).collect()) == ["a", "c"]
+
+
+def test_cosine_blocked_equals_inline(spark):
+    from tests.conftest import SF_SMALL
+    from wardlake.sources.tables import table
+    emb = table(spark, SF_SMALL, "embeddings")
+    qs = emb.select(F.col("vec_id").alias("label"), "embedding")  # every vector is a query here
+    inline = RT.cosine_topk(RT.centroids(emb), emb, 3)
+    blocked = RT.cosine_topk_blocked(RT.centroids(emb), emb, 3, block_size=3)
+    def r9(df):
+        return sorted((a, b, c, round(d, 9)) for a, b, c, d in rows(df))
+    assert r9(inline) == r9(blocked)
+    big = RT.cosine_topk_blocked(qs, emb, 2, block_size=64)
+    assert big.count() == 2 * qs.count()
+    assert big.filter("rank = 1").filter(F.abs(F.col("score") - 1.0) > 1e-9).count() == 0  # nearest is itself

@@ -32,6 +32,7 @@ from wardlake.sources.tables import spread
 
 RANK_DIGITS = 9
 MAX_INLINE_QUERIES = 256
+MAX_INLINE_BATCH = 10 * MAX_INLINE_QUERIES
 
 
 def _rank(df: DataFrame, qid: str, did: str, k: int) -> DataFrame:
@@ -130,12 +131,14 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_
                 did: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(qid, rank, did, score) by exact cosine similarity, n = min(k, corpus size).
 
-    The query batch is size-checked and inlined in chunks of at most
-    MAX_INLINE_QUERIES; each chunk is one map-only projection over the corpus.
+    A query batch of up to MAX_INLINE_BATCH rows (checked with a bounded
+    count) is inlined in chunks of MAX_INLINE_QUERIES: each chunk is one
+    map-only projection over the corpus scan.  A larger batch goes through
+    ``cosine_topk_blocked`` (an equi-join on query blocks), equally exact.
     """
-    rows = queries.select(qid, vec).limit(10 * MAX_INLINE_QUERIES + 1).collect()
-    if len(rows) > 10 * MAX_INLINE_QUERIES:
-        raise ValueError("query batch too large; split it into batches")
+    rows = queries.select(qid, vec).limit(MAX_INLINE_BATCH + 1).collect()
+    if len(rows) > MAX_INLINE_BATCH:
+        return cosine_topk_blocked(queries, corpus, k, qid, did, vec)
     cvec = F.transform(F.col(vec), lambda x: x.cast("double"))
     cnorm = F.sqrt(_dot(cvec, cvec))
     base = corpus.select(did, cvec.alias("v"), cnorm.alias("vn"))
@@ -155,6 +158,26 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_
     return _rank(out, qid, did, k).select(qid, "rank", did, "score")
 
 
+def cosine_topk_blocked(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "label",
+                        did: str = "vec_id", vec: str = "embedding", block_size: int = MAX_INLINE_QUERIES) -> DataFrame:
+    """Exact cosine top k for a query batch of any size, without the driver.
+
+    Queries are hashed into B = ceil(Q / block_size) blocks and every corpus
+    row is replicated once per block, so the equi-join on the block id forms
+    each (query, document) pair exactly once, spread over B join keys; the
+    partial top k per query runs before the final shuffle.
+    """
+    n_q = queries.select(qid).distinct().count()
+    blocks = max(1, -(-n_q // block_size))
+    dbl = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
+    q = queries.select(qid, dbl(vec).alias("qv"), F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("_b"))
+    q = q.withColumn("qn", F.sqrt(_dot(F.col("qv"), F.col("qv"))))
+    d = corpus.select(did, dbl(vec).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
+    d = d.withColumn("vn", F.sqrt(_dot(F.col("v"), F.col("v"))))
+    scored = q.join(d, "_b").select(qid, did, (_dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn"))).alias("score"))
+    return _rank(scored, qid, did, k).select(qid, "rank", did, "score")
+
+
 # --- J4 / J5 / A7 --------------------------------------------------------------------
 
 def retrieve_with_fallback(queries: DataFrame, methods, qid: str = "item_id") -> DataFrame:

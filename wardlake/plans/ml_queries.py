@@ -94,11 +94,9 @@ def accuracy(spark, sf):
     """Rows used and accuracy of the random-forest risk model on its
     held-out 20 % (a fitted model: rows-only check)."""
     data = model_inputs(spark, sf)
-    model, metrics = ML.train_risk_model(data, "risk", ML.FEATURES, split_key="case_id")
-    test = ML.hash_split(data, "case_id").filter(F.col("split") == "test")
-    scored = model.transform(test)
-    return scored.agg(F.count(F.lit(1)).alias("test_rows"),
-                      F.avg((F.col("prediction") == F.col("risk")).cast("double")).alias("accuracy"))
+    _, metrics = ML.train_risk_model(data, "risk", ML.FEATURES, split_key="case_id")
+    # the evaluator already scored the held-out split during training
+    return spark.createDataFrame([(metrics["rows"], metrics["accuracy"])], "rows long, accuracy double")
 
 
 @register("weighted_risk")

@@ -92,6 +92,24 @@ def require_columns(df: DataFrame, columns: list[str], empty_schema: str) -> Dat
     return df.sparkSession.createDataFrame([], empty_schema)
 
 
+def seed_if_empty(existing: DataFrame, seed: DataFrame) -> DataFrame:
+    """The seed rows when the table has none, else the table as is
+    (``isEmpty`` reads at most one row)."""
+    return seed if existing.isEmpty() else existing
+
+
+def valid_uploads(uploads: DataFrame, type_col: str = "content_type", size_col: str = "length",
+                  allowed=None, max_bytes: int | None = None) -> DataFrame:
+    """Uploads with an allowed content type (case-insensitive; a missing
+    type is accepted, as the upload check does) and at most ``max_bytes``."""
+    from wardlake import constants as K
+
+    allowed = allowed or K.IMAGE_TYPES
+    max_bytes = K.IMAGE_MAX_BYTES if max_bytes is None else max_bytes
+    t = F.col(type_col)
+    return uploads.filter((t.isNull() | F.lower(t).isin(*allowed)) & (F.col(size_col) <= max_bytes))
+
+
 def upsert_by_key(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
     """A11 (SCD1): rows of ``updates`` replace base rows with the same key;
     new keys are inserted; other base rows are kept."""
