@@ -19,13 +19,19 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+# FIXED VALUES: the characters Python's str.strip() removes by default.
+PY_WHITESPACE = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+                 "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def pystrip(c: Column) -> Column:
-    """Trim leading/trailing whitespace (any kind, like Python's str.strip)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Trim leading/trailing whitespace like Python's str.strip() (a
+    character-set trim, no regular expression)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def sql_pystrip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({c}, '{PY_WHITESPACE}')"
 
 
 def nonblank(c: Column) -> Column:

@@ -45,39 +45,40 @@ def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: st
     win; otherwise the first keyword found in the text; otherwise the
     baseline columns.  Prefixed lines are removed from the explanation; a
     short explanation falls back to the whole text or a referral sentence.
-    Each intermediate is its own projection, so the text is split and each
-    line classified exactly once.
+    Prefixed lines are found with whole-text regular expressions (no
+    per-line lambdas); each intermediate is its own projection, so nothing
+    is recomputed.
     """
     d = df.withColumn("_t0", pystrip(F.coalesce(F.col(raw), F.lit(""))))
     think = F.col("_t0").contains("<think>") & F.col("_t0").contains("</think>")
     d = d.withColumn("_text", F.when(think, pystrip(F.element_at(F.split(F.col("_t0"), "</think>", -1), 2)))
                      .otherwise(F.col("_t0")))
-    # one (kind, line) struct per line: 1 urgency, 2 specialty, 3 explanation/reasoning, 0 other
-    def kind(line):
-        ll = F.lower(pystrip(line))
-        return (F.when(ll.startswith("urgency:"), 1).when(ll.startswith("specialty:"), 2)
-                .when(ll.startswith("explanation:") | ll.startswith("reasoning:"), 3).otherwise(0))
-
-    d = d.withColumn("_lines", F.transform(F.split(F.col("_text"), "\n", -1),
-                                           lambda l: F.struct(kind(l).alias("k"), l.alias("l"))))
-    d = d.withColumn("_uv", F.filter(F.transform(F.filter("_lines", lambda x: x["k"] == 1),
-                                                 lambda x: F.initcap(_clean(_after_colon(x["l"])))),
+    # Line prefixes, matched on the whole text in UNIX-lines multiline mode
+    # (only \n ends a line, as with split('\n')); leading blanks are allowed.
+    def prefixed(names: str, value: bool) -> str:
+        return rf"(?dmi)^[^\S\n]*(?:{names}):" + ("(.*)$" if value else "")
+
+    d = d.withColumn("_uv", F.filter(F.transform(F.regexp_extract_all("_text", F.lit(prefixed("urgency", True)), 1),
+                                                 lambda v: F.initcap(_clean(v))),
                                      lambda v: v.isin(*K.URGENCY_RANK.keys())))
-    d = d.withColumn("_sv", F.filter(F.transform(F.filter("_lines", lambda x: x["k"] == 2),
-                                                 lambda x: _clean(_after_colon(x["l"]))), lambda v: v != ""))
-    d = d.withColumn("_kept", F.transform(F.filter("_lines", lambda x: x["k"] == 0), lambda x: x["l"]))
+    d = d.withColumn("_sv", F.filter(F.transform(F.regexp_extract_all("_text", F.lit(prefixed("specialty", True)), 1),
+                                                 _clean), lambda v: v != ""))
+    any_prefix = prefixed("urgency|specialty|explanation|reasoning", False)
+    n_lines = F.size(F.split(F.col("_text"), "\n", -1))
+    n_prefixed = F.size(F.regexp_extract_all("_text", F.lit(any_prefix), 0))
+    kept = pystrip(F.regexp_replace("_text", any_prefix + r".*(?:\n|$)", ""))
+    d = d.withColumn("_e0", F.when(n_prefixed < n_lines, kept).otherwise(F.col("_text")))
     lower_text = F.lower(F.col("_text"))
     d = d.withColumn("urgency", F.coalesce(F.when(F.size("_uv") > 0, F.element_at("_uv", -1)),
                                            _first_keyword(lower_text, K.REPLY_URGENCY_KEYWORDS), F.col(base_urgency)))
     d = d.withColumn("specialty", F.coalesce(F.when(F.size("_sv") > 0, F.initcap(F.element_at("_sv", -1))),
                                              _first_keyword(lower_text, K.REPLY_SPECIALTY_KEYWORDS),
                                              F.col(base_specialty)))
-    d = d.withColumn("_e0", F.when(F.size("_kept") > 0, pystrip(F.array_join("_kept", "\n"))).otherwise(F.col("_text")))
     expl = F.when(F.length("_e0") < 10, F.when(F.length("_text") > 10, F.col("_text")).otherwise(
         F.concat(F.lit("Referral to "), F.col("specialty"), F.lit(" under urgency category "), F.col("urgency"),
                  F.lit(".")))).otherwise(F.col("_e0"))
     d = d.withColumn("explanation", expl)
-    return d.drop("_t0", "_text", "_lines", "_uv", "_sv", "_kept", "_e0")
+    return d.drop("_t0", "_text", "_uv", "_sv", "_e0")
 
 
 def _rank_col(c: Column) -> Column:

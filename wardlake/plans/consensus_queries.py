@@ -61,7 +61,7 @@ def vote_members(spark, sf):
 # --- reply parsing -----------------------------------------------------------------
 
 def _s(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return C.sql_pystrip(x)
 
 
 def _title(x: str) -> str:
