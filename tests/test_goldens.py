@@ -80,7 +80,7 @@ def test_chat_rules(spark):
                   C.infer_disease(F.col("s"), spec).alias("disease"),
                   RT.kb_overlap(F.col("s")).alias("kb")).first()
     assert (r.score, r.spec, r.prio, r.disease) == (65, "Cardiology", "High", "Cardiovascular Risk")
-    assert r.kb == [K.KB_SENTENCES[0], K.KB_SENTENCES[1], K.KB_SENTENCES[4]]
+    assert r.kb == " | ".join([K.KB_SENTENCES[0], K.KB_SENTENCES[1], K.KB_SENTENCES[4]])
 
 
 def test_slots_doctors_hospitals(spark, seeds):

@@ -20,7 +20,7 @@ WORD = r"[\p{L}\p{N}_]{2,}"
 def whitespace_tokens(text: Column) -> Column:
     """Distinct lower-cased whitespace tokens (no empty strings)."""
     parts = F.split(F.lower(F.coalesce(text, F.lit(""))), WHITESPACE, -1)
-    return F.array_distinct(F.filter(parts, lambda t: t != ""))
+    return F.array_distinct(F.array_remove(parts, ""))
 
 
 def word_tokens(text: Column) -> Column:

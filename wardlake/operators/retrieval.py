@@ -52,16 +52,28 @@ def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = K.OVERLAP_TOP_K
 
 
 def kb_overlap(text: Column, sentences: list[str] = K.KB_SENTENCES, k: int = K.OVERLAP_TOP_K) -> Column:
-    """J1 against a small fixed list of sentences, per row: array of the top
-    k sentences (score > 0, ties in list order).  Pure expression."""
+    """J1 against a small fixed list of sentences, per row: the top k
+    sentences (score > 0, ties in list order) joined with ' | '.
+
+    Scores are sums of ``array_contains`` over each sentence's distinct
+    tokens; the (-score, position) structs are sorted with ``sort_array``
+    (unmatched ones are NULL and sort first) and the best k are picked by
+    position: all codegen'd array functions, no per-element lambdas.
+    """
     q = whitespace_tokens(text)
     entries = []
     for i, s in enumerate(sentences):
-        toks = sorted(set(s.lower().split()))
-        score = F.size(F.array_intersect(q, F.array(*[F.lit(t) for t in toks])))
-        entries.append(F.struct((-score).alias("neg"), F.lit(i).alias("i"), F.lit(s).alias("s")))
-    ranked = F.array_sort(F.filter(F.array(*entries), lambda e: e["neg"] < 0))
-    return F.transform(F.slice(ranked, 1, k), lambda e: e["s"])
+        score = F.lit(0)
+        for t in sorted(set(s.lower().split())):
+            score = score + F.array_contains(q, F.lit(t)).cast("int")
+        entries.append((score, F.when(score > 0, F.struct((-score).alias("neg"), F.lit(i).alias("i"),
+                                                          F.lit(s).alias("s")))))
+    ranked = F.sort_array(F.array(*[e for _, e in entries]))
+    skipped = F.lit(0)
+    for score, _ in entries:
+        skipped = skipped + (score == 0).cast("int")
+    picks = [F.try_element_at(ranked, skipped + j)["s"] for j in range(1, k + 1)]
+    return F.concat_ws(" | ", *picks)
 
 
 # --- J2 -----------------------------------------------------------------------------

@@ -91,4 +91,4 @@ def case_analysis(spark, sf):
     return c.select("case_id", score.alias("risk_score"), C.risk_priority(score).alias("priority"),
                     C.choose_specialty(F.col("symptoms")).alias("recommended_specialty"),
                     C.risk_recommendation(score).alias("recommendation"),
-                    F.array_join(RT.kb_overlap(F.col("symptoms")), " | ").alias("rag_medical_context"))
+                    RT.kb_overlap(F.col("symptoms")).alias("rag_medical_context"))
