@@ -14,9 +14,9 @@ from wardlake.streaming.trends import REPORT_STREAM_SCHEMA, emergency_trend_stre
 
 
 def _run(df, mode, tmp_dir, name):
-    q = (df.writeStream.format("memory").queryName(name).outputMode(mode)
-         .option("checkpointLocation", os.path.join(tmp_dir, "ckpt-" + name))
-         .trigger(availableNow=True).start())
+    from wardlake.streaming.runner import start
+
+    q = start(df, "memory", mode, name=name, checkpoint=os.path.join(tmp_dir, "ckpt-" + name))
     q.awaitTermination(600)
     return df.sparkSession.table(name)
 
