@@ -160,12 +160,15 @@ def book(requests: DataFrame, slots: DataFrame, doctors: DataFrame) -> dict[str,
     (the slot table with won slots closed).
     """
     o = open_slots(slots, doctors)
-    winners = (requests.join(o.select("slot_id"), "slot_id")
-               .groupBy("slot_id")
+    # One aggregation per open slot that has requests: the earliest request
+    # wins; the slot's details are functionally dependent on slot_id, so they
+    # ride along as grouping keys instead of being joined back afterwards.
+    detail = ["slot_id", "doctor_name", "hospital", "specialty", "date", "time"]
+    winners = (requests.join(o, "slot_id")
+               .groupBy(*detail)
                .agg(F.min(F.struct("requested_at", "request_id", "patient_id")).alias("w"))
-               .select("slot_id", F.col("w.request_id").alias("request_id"), F.col("w.patient_id").alias("patient_id"),
-                       F.col("w.requested_at").alias("requested_at")))
-    accepted = winners.join(o, "slot_id").select(
+               .select(*detail, F.col("w.request_id").alias("request_id"), F.col("w.patient_id").alias("patient_id")))
+    accepted = winners.select(
         "request_id", "slot_id", "patient_id", "doctor_name", "hospital", "specialty",
         F.col("date").alias("appointment_date"), F.col("time").alias("appointment_time"),
         F.lit("Scheduled").alias("urgency"), F.lit("Confirmed").alias("status"))
