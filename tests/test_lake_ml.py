@@ -146,3 +146,33 @@ def test_cosine_blocked_equals_inline(spark):
     big = RT.cosine_topk_blocked(qs, emb, 2, block_size=64)
     assert big.count() == 2 * qs.count()
     assert big.filter("rank = 1").filter(F.abs(F.col("score") - 1.0) > 1e-9).count() == 0  # nearest is itself
+
+
+def test_append_reports_partitioned_and_rules_projection(spark, tmp_dir):
+    from wardlake.operators import matching as M
+    from wardlake.sources import fixtures as V
+    rep = L.enrich_reports(V.cases_v(spark, SF_SMALL))
+    path = os.path.join(tmp_dir, "reports")
+    L.append_reports(rep, path)
+    L.append_reports(rep, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 2 * rep.count()
+    days = back.select("day").distinct().count()
+    assert days == rep.select(F.substring("generated_at", 1, 10)).distinct().count()
+    one_day = back.filter(F.col("day") == back.first()["day"])
+    assert "PartitionFilters" in one_day._jdf.queryExecution().executedPlan().toString()
+    proj = M.rules_projection(M.rules_frame(spark))
+    assert "id" not in proj.columns and proj.count() == 9
+
+
+def test_split_date_time_and_dashboard_bundle(spark):
+    from wardlake.functions import timefn as T
+    from wardlake.operators import dashboard as D
+    from wardlake.sources import fixtures as V
+    df = spark.createDataFrame([("2026-06-20 2:00 PM",), ("2026-06-21",)], "t string")
+    d, t = T.split_date_time(F.col("t"))
+    assert rows(df.select(d, t)) == [("2026-06-20", "2:00 PM"), ("2026-06-21", "10:00 AM")]
+    b = D.dashboard_bundle(V.reports_v(spark, SF_SMALL), V.appointments_v(spark, SF_SMALL),
+                           V.patients_v(spark, SF_SMALL), V.doctors_v(spark, SF_SMALL))
+    assert set(b) == {"most_common_disease", "most_busy_doctor", "hospital_load", "emergency_trends", "totals"}
+    assert b["totals"].count() == 1

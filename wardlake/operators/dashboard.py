@@ -76,3 +76,16 @@ def totals(patients: DataFrame, doctors: DataFrame, appointments: DataFrame, rep
             .unionByName(metric(reports, "reports"))
             .unionByName(metric(reports, "emergency_reports", F.col("priority") == "Emergency")))
     return long.groupBy().pivot("metric", list(TOTAL_METRICS)).agg(F.first("value")).select(*TOTAL_METRICS)
+
+
+def dashboard_bundle(reports: DataFrame, appointments: DataFrame, patients: DataFrame,
+                     doctors: DataFrame) -> dict[str, DataFrame]:
+    """K7: the dashboard's four questions and totals, one lazy DataFrame each
+    (SQL flavour).  The caller runs them; nothing is collected here."""
+    return {
+        "most_common_disease": common_diseases(reports, 10, keep_null=False),
+        "most_busy_doctor": busy_doctors(appointments, 10, keep_null=False),
+        "hospital_load": hospital_load(appointments, keep_null=False),
+        "emergency_trends": emergency_trends(reports, blank_day="unknown"),
+        "totals": totals(patients, doctors, appointments, reports),
+    }

@@ -51,6 +51,11 @@ def rules_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(K.HEALTH_RULES, RULE_SCHEMA)
 
 
+def rules_projection(rules: DataFrame) -> DataFrame:
+    """Every rule without its id (the rule-listing tool)."""
+    return rules.select(*[c for c in rules.columns if c != "id"])
+
+
 def _rule_rows(rules) -> list[tuple]:
     """Rule rows from a list or a (size-checked) DataFrame, in id order."""
     if isinstance(rules, DataFrame):

@@ -51,6 +51,22 @@ def read_text_corpus(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("source"), F.col("value").alias("text"))
 
 
+def read_jdbc(spark: SparkSession, url: str, table: str, partition_column: str, lower: int, upper: int,
+              num_partitions: int, properties: dict | None = None) -> DataFrame:
+    """A4: a relational table read in parallel slices of ``partition_column``
+    (one query per slice, run by the executors), instead of one driver-side
+    read of the whole table."""
+    return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower, upperBound=upper,
+                           numPartitions=num_partitions, properties=properties or {})
+
+
+def append_reports(reports: DataFrame, path: str) -> str:
+    """A8 sink: append report rows partitioned by report day, so trend
+    queries and the report stream read only the days they need."""
+    day = F.coalesce(F.substring("generated_at", 1, 10), F.lit("unknown"))
+    return write_table(reports.withColumn("day", F.when(day == "", "unknown").otherwise(day)), path, "append", ["day"])
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None) -> str:
     """Parquet sink; optionally partitioned (e.g. by report day)."""
     w = df.write.mode(mode)
