@@ -80,7 +80,7 @@ def test_csv_typed_and_bad_values(spark, tmp_dir):
     path = os.path.join(tmp_dir, "patients.csv")
     with open(path, "w") as f:
         f.write("patient,age,chest_pain,diabetes,hypertension,shortness_of_breath,blood_pressure,risk\n"
-                "Harshit,64,1,1,1,1,158,3\nMaya,58,0,1,1,0,148,2\nBad,x,0,0,0,0,120,1\n")
+                "Ravi,64,1,1,1,1,158,3\nMaya,58,0,1,1,0,148,2\nBad,x,0,0,0,0,120,1\n")
     raw = spark.read.option("header", True).csv(path)  # strings: one bad number
     clean = ML.training_frame(raw)
     assert clean.count() == 2  # the bad row becomes NULL and is dropped, no ANSI failure
