@@ -68,7 +68,8 @@ def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: st
     n_prefixed = F.size(F.regexp_extract_all("_text", F.lit(any_prefix), 0))
     kept = pystrip(F.regexp_replace("_text", any_prefix + r".*(?:\n|$)", ""))
     d = d.withColumn("_e0", F.when(n_prefixed < n_lines, kept).otherwise(F.col("_text")))
-    lower_text = F.lower(F.col("_text"))
+    d = d.withColumn("_lt", F.lower(F.col("_text")))
+    lower_text = F.col("_lt")
     d = d.withColumn("urgency", F.coalesce(F.when(F.size("_uv") > 0, F.element_at("_uv", -1)),
                                            _first_keyword(lower_text, K.REPLY_URGENCY_KEYWORDS), F.col(base_urgency)))
     d = d.withColumn("specialty", F.coalesce(F.when(F.size("_sv") > 0, F.initcap(F.element_at("_sv", -1))),
@@ -78,7 +79,7 @@ def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: st
         F.concat(F.lit("Referral to "), F.col("specialty"), F.lit(" under urgency category "), F.col("urgency"),
                  F.lit(".")))).otherwise(F.col("_e0"))
     d = d.withColumn("explanation", expl)
-    return d.drop("_t0", "_text", "_uv", "_sv", "_e0")
+    return d.drop("_t0", "_text", "_lt", "_uv", "_sv", "_e0")
 
 
 def _rank_col(c: Column) -> Column:
