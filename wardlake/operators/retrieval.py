@@ -22,6 +22,8 @@ summation order, keep the corpus order.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,45 +80,65 @@ def kb_overlap(text: Column, sentences: list[str] = K.KB_SENTENCES, k: int = K.O
 
 # --- J2 -----------------------------------------------------------------------------
 
-def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "item_id",
-               did: str = "doc_id", text: str = "text") -> DataFrame:
-    """(qid, rank, did, score) with exact smooth-IDF, L2-normalised cosine."""
+@dataclass
+class TfidfIndex:
+    """The query-independent half of TF-IDF search over one corpus: per
+    (document, term) counts, document frequencies and each document's base
+    squared norm, materialised once in the shared checkpoint dir and then
+    searched by any number of query batches."""
+
+    corpus: DataFrame
+    did: str
+    n_docs: int
+    d_terms: DataFrame   # (did, term, tf)
+    dfreq: DataFrame     # (term, df)
+    d_norm0: DataFrame   # (did, n0)
+
+
+def build_tfidf_index(corpus: DataFrame, did: str = "doc_id", text: str = "text") -> TfidfIndex:
     spark = corpus.sparkSession
+    ensure_checkpoint_dir(spark)
     # Corpus size: one count action (served from Parquet metadata), used as a literal.
     n = corpus.select(did).count()
     n2 = F.lit(float(n + 2))
-
     d_terms = (spread(corpus.select(did, text)).select(did, F.explode(word_tokens(F.col(text))).alias("term"))
-               .groupBy(did, "term").agg(F.count(F.lit(1)).cast("double").alias("tf")))
-    # Used three times below (document frequency, base norms, pair scores):
-    # tokenise the corpus once and cut the lineage in the shared checkpoint dir.
-    ensure_checkpoint_dir(spark)
-    d_terms = d_terms.checkpoint(eager=True)
-    dfreq = d_terms.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+               .groupBy(did, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
+               .checkpoint(eager=True))
+    dfreq = d_terms.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).checkpoint(eager=True)
     idf0 = F.log(n2 / (1 + F.col("df"))) + 1
-    # Base squared norm of every document (IDF fitted without any query term).
+    # base squared norm of every document (IDF fitted without any query term)
     d_norm0 = (d_terms.join(dfreq, "term")
-               .groupBy(did).agg(F.sum(F.col("tf") * F.col("tf") * idf0 * idf0).alias("n0")))
+               .groupBy(did).agg(F.sum(F.col("tf") * F.col("tf") * idf0 * idf0).alias("n0"))
+               .checkpoint(eager=True))
+    return TfidfIndex(corpus, did, n, d_terms, dfreq, d_norm0)
+
 
+def tfidf_search(index: TfidfIndex, queries: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "item_id",
+                 text: str = "text") -> DataFrame:
+    """(qid, rank, did, score) with exact smooth-IDF, L2-normalised cosine,
+    the query counted as one more document when the IDF is fitted."""
+    did = index.did
+    n2 = F.lit(float(index.n_docs + 2))
+    idf0 = F.log(n2 / (1 + F.col("df"))) + 1
     q_terms = (queries.select(qid, F.explode(word_tokens(F.col(text))).alias("term"))
                .groupBy(qid, "term").agg(F.count(F.lit(1)).cast("double").alias("tfq")))
-    qx = (q_terms.join(dfreq, "term", "left")
+    qx = (q_terms.join(index.dfreq, "term", "left")
           .select(qid, "term", "tfq",
                   (F.log(n2 / (2 + F.coalesce(F.col("df"), F.lit(0.0)))) + 1).alias("idfq"),
                   F.when(F.col("df").isNotNull(), idf0).alias("idf0")))
     q_norm = qx.groupBy(qid).agg(F.sum(F.col("tfq") * F.col("tfq") * F.col("idfq") * F.col("idfq")).alias("qn"))
 
-    pairs = (d_terms.join(qx.filter(F.col("idf0").isNotNull()), "term")
+    pairs = (index.d_terms.join(qx.filter(F.col("idf0").isNotNull()), "term")
              .groupBy(qid, did).agg(
                  F.sum(F.col("tfq") * F.col("tf") * F.col("idfq") * F.col("idfq")).alias("dot"),
                  F.sum(F.col("tf") * F.col("tf") * (F.col("idfq") * F.col("idfq") - F.col("idf0") * F.col("idf0")))
                  .alias("delta")))
-    scored = (pairs.join(q_norm, qid).join(d_norm0, did)
+    scored = (pairs.join(q_norm, qid).join(index.d_norm0, did)
               .select(qid, did, (F.col("dot") / (F.sqrt("qn") * F.sqrt(F.col("n0") + F.col("delta")))).alias("score")))
     best = _rank(scored, qid, did, k).select(qid, did, "score")
 
     # Zero-score fill: the first k documents in corpus order, for every query.
-    first_docs = [r[0] for r in corpus.select(did).orderBy(did).limit(k).collect()]
+    first_docs = [r[0] for r in index.corpus.select(did).orderBy(did).limit(k).collect()]
     fill = queries.select(qid, F.explode(F.array(*[F.lit(d) for d in first_docs])).alias(did),
                           F.lit(0.0).alias("score")) if first_docs else None
     cand = best if fill is None else best.unionByName(fill)
@@ -124,6 +146,13 @@ def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K
     return _rank(cand, qid, did, k).select(qid, "rank", did, "score")
 
 
+def tfidf_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "item_id",
+               did: str = "doc_id", text: str = "text", index: TfidfIndex | None = None) -> DataFrame:
+    """Build (or reuse) the corpus index and search it with ``queries``."""
+    index = index or build_tfidf_index(corpus, did, text)
+    return tfidf_search(index, queries, k, qid, text)
+
+
 # --- J3 -----------------------------------------------------------------------------
 
 def centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") -> DataFrame:

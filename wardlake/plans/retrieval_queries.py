@@ -13,6 +13,18 @@ from wardlake.sources.tables import table
 
 K3 = K.RETRIEVAL_TOP_K
 
+_INDEXES: dict = {}
+
+
+def corpus_index(spark, sf) -> RT.TfidfIndex:
+    """The TF-IDF index of the document corpus, built once per session and
+    dataset and searched by every TF-IDF query (as the guideline index is
+    built once and queried per request)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = RT.build_tfidf_index(table(spark, sf, "documents"))
+    return _INDEXES[key]
+
 
 def _overlap_sql() -> tuple[str, dict]:
     return (f"""SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
@@ -62,7 +74,7 @@ def tfidf_ctes(query_sql: str, qid: str, k: int = K3) -> dict[str, str]:
 @register("tfidf_topk", lambda: ("SELECT item_id, rank, doc_id, round(score, 3) AS score FROM t_rank",
                                  tfidf_ctes("SELECT item_id, text FROM benchmark", "item_id")))
 def tfidf_topk(spark, sf):
-    r = RT.tfidf_topk(table(spark, sf, "benchmark"), table(spark, sf, "documents"), K3)
+    r = RT.tfidf_search(corpus_index(spark, sf), table(spark, sf, "benchmark"), K3)
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"))
 
 
@@ -72,7 +84,8 @@ def retrieve_fallback(spark, sf):
     """Per query: vector results if it has an embedding (benchmark items do
     not), else TF-IDF, else token overlap."""
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
-    r = RT.retrieve_with_fallback(q, [("tfidf", lambda qs: RT.tfidf_topk(qs, d, K3)),
+    idx = corpus_index(spark, sf)
+    r = RT.retrieve_with_fallback(q, [("tfidf", lambda qs: RT.tfidf_search(idx, qs, K3)),
                                       ("overlap", lambda qs: RT.overlap_topk(qs, d, K3))])
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"), "method")
 
@@ -96,7 +109,7 @@ def rag_explanations(spark, sf):
     c = V.cases_v(spark, sf)
     qs = c.select(_rag_query_text(F.col("symptoms"), F.col("history")).alias("query")).distinct()
     docs = table(spark, sf, "documents")
-    res = RT.tfidf_topk(qs.withColumn("text", F.col("query")), docs, K3, qid="query")
+    res = RT.tfidf_search(corpus_index(spark, sf), qs.withColumn("text", F.col("query")), K3, qid="query")
     ex = RT.explanations(res, docs, "query")
     return qs.join(ex, "query", "left").select(
         "query", F.coalesce("explanation", F.lit(K.NO_GUIDELINE)).alias("explanation"))
