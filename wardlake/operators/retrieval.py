@@ -230,9 +230,12 @@ def retrieve_with_fallback(queries: DataFrame, methods, qid: str = "item_id") ->
     unanswered; when none are left, AQE sees the empty query side at run
     time and drops the corpus side of that join entirely.
     """
+    ensure_checkpoint_dir(queries.sparkSession)
     out, pending = None, queries
     for name, fn in methods:
-        res = fn(pending).withColumn("method", F.lit(name))
+        # at most k rows per query: materialised once, then both returned and
+        # used to find the queries still unanswered
+        res = fn(pending).withColumn("method", F.lit(name)).checkpoint(eager=True)
         out = res if out is None else out.unionByName(res)
         pending = pending.join(res.select(qid).distinct(), qid, "left_anti")
     return out
