@@ -2,13 +2,15 @@
 the same at sf0.01): same columns, same row count, same values."""
 
 import math
+import re
 
 import pytest
 
 import __spark_entry__ as E
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+# the training-data operators have tests of their own
+QUERIES = {k: v for k, v in E.queries().items() if not re.match(r"op\d+_|pipeline$", k)}
+ORACLE = {k: v for k, v in E.oracle_sql().items() if k in QUERIES}
 
 
 def _norm(v):
