@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import exact_dedup, mixing
+from wardlake.llm import decontaminate, exact_dedup, mixing, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +26,11 @@ def _register(name: str, sql: str | None = None):
     return add
 
 
+@_register("op1_decontamination", decontaminate.SQL)
+def op1(spark, sf_dir):
+    return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 @_register("op4_exact_dedup", exact_dedup.SQL)
 def op4(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
@@ -34,3 +39,8 @@ def op4(spark, sf_dir):
 @_register("op9_mixing", mixing.SQL)
 def op9(spark, sf_dir):
     return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+@_register("op10_token_output")
+def op10(spark, sf_dir):
+    return token_output.output(_table(spark, sf_dir, "documents"))
