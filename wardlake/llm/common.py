@@ -83,11 +83,20 @@ def runs(mask: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     if not len(mask):
         none = np.zeros(0, np.int64)
         return none, none, none
-    first = np.zeros(len(mask) + 1, bool)
-    first[offsets] = True  # a row begins here
-    starts = np.flatnonzero(mask & (first[:-1] | np.concatenate(([True], ~mask[:-1]))))
-    ends = np.flatnonzero(mask & (first[1:] | np.concatenate((~mask[1:], [True])))) + 1
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
+    edge = np.zeros(len(mask) + 1, bool)
+    edge[offsets] = True  # a row begins here
+    begins, closes = edge[:-1].copy(), edge[1:].copy()
+    begins[1:] |= ~mask[:-1]
+    closes[:-1] |= ~mask[1:]
+    begins &= mask
+    starts = np.flatnonzero(begins)
+    return starts, np.flatnonzero(closes & mask) + 1, row_of(starts, offsets)
+
+
+def row_of(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The row of each of the ascending positions ``at``."""
+    before = np.searchsorted(at, offsets)
+    return np.repeat(np.arange(len(offsets) - 1), np.diff(before))
 
 
 def annotate(docs: DataFrame, keep: list[str], make, extra: str) -> DataFrame:

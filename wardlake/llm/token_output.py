@@ -18,9 +18,12 @@ writes will do):
 Documents are in ascending doc_id order (shard, then place in the shard).  Ids are
 those of the tokenizer without special tokens, then the end id.
 
-Tokenizing: no pre-token spans ASCII white space, so a text's ids are those of its
-pieces between white space in turn; each distinct piece of a slice of text goes
-through the tokenizer once.
+Tokenizing: this tokenizer's pre-tokens never span ASCII white space, nor the border
+between an ASCII letter and another ASCII sign than an apostrophe, and it ignores case.
+So a text's ids are those of the pieces between such borders in turn, and each distinct
+piece of a slice of text goes through the tokenizer once.  (Capitals before a non-ASCII
+character stay, as a mark may join them; text that spells a special token is cut at
+white space only.)
 
 Defined cases: null and blank texts have the end id only; a null doc_id comes first;
 rows that repeat a doc_id are written one after the other, in the order of a hash of
@@ -33,6 +36,7 @@ import os
 import uuid
 import zlib
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardlake.llm.common import SPACES, runs, stage, text_slices
+from wardlake.llm.common import SPACES, row_of, runs, stage, text_slices
 from wardlake.session import scratch_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,7 +55,7 @@ LANES = 512
 BLOCK_IDS = 1 << 19
 CHECK_STEPS = 512
 #: Pieces of text whose ids a Python worker remembers.
-CACHED_PIECES = 300_000
+CACHED_PIECES = 600_000
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 _WORD_MASK = np.uint64((1 << 32) - 1)
@@ -59,7 +63,20 @@ _SCALE = np.uint64(SCALE_BITS)
 _SLOT_MASK = np.uint64((1 << SCALE_BITS) - 1)
 _SPACE_BYTES = SPACES.encode()
 _IS_SPACE = np.array([b in _SPACE_BYTES for b in range(256)])
-_LOADED: dict = {}
+#: 0 white space, 1 ASCII letter, 2 ASCII sign but the apostrophe, 3 other: a text may be cut between 1 and 2.
+_KIND = np.array([0 if b in _SPACE_BYTES else 3 if b == 39 or b > 127 else 1 if chr(b).isalpha() else 2 for b in range(256)], np.uint8)
+#: Byte-level tokenizers write printable Latin-1 bytes as themselves, others in order from U+0100.
+_PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_ALPHABET = {b: chr(b) for b in _PLAIN_BYTES} | {
+    b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN_BYTES)))}
+
+
+def _is_word(piece: bytes) -> bool:
+    """Small Latin letters below U+0180 only, in composed form."""
+    if piece.isascii():
+        return piece.isalpha() and piece.islower()
+    text = piece.decode()
+    return text.isalpha() and max(text) < "\u0180" and text.lower() == text and is_normalized("NFC", text)
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -69,44 +86,96 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Tokenize:
-    """(bytes, offsets) -> ids of all rows, each row closed by the end id; rows' id counts."""
+    """(bytes, offsets) -> ids of all rows, each row closed by the end id; rows' id counts.
+
+    Pieces of small Latin letters alone are one pre-token each, so they go to the
+    tokenizer's model as ready words (their bytes spelled in its byte alphabet), and the
+    ids that end a word part them again."""
 
     def __init__(self, path: str, end_id: int = END_ID):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        if path not in _LOADED:
-            _LOADED[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = _LOADED[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        suffix = self.tokenizer.model.end_of_word_suffix
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.plain_words = bool(suffix) and all(c in vocabulary and c + suffix in vocabulary for c in _BYTE_ALPHABET.values())
         self.end_id = end_id
+        self.forget()
 
-    def pieces(self, texts: list[bytes]) -> list[list[int]]:
-        if len(self.known) + len(texts) > CACHED_PIECES:
-            self.known.clear()
-        new = [t for t in texts if t not in self.known]
-        for t, e in zip(new, self.tokenizer.encode_batch_fast([t.decode() for t in new], add_special_tokens=False), strict=True):
-            self.known[t] = e.ids
-        return [self.known[t] for t in texts]
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.first, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def remember(self, pieces: list[bytes], flat: np.ndarray, lengths: np.ndarray) -> None:
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate((self.flat[:self.used], flat, np.zeros(self.used + len(flat), np.int32)))
+        else:
+            self.flat[self.used:self.used + len(flat)] = flat
+        first = self.used + np.cumsum(lengths) - lengths
+        self.first, self.length = np.concatenate((self.first, first)), np.concatenate((self.length, lengths))
+        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces)), strict=True))
+        self.used += len(flat)
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Where each piece's ids stand in ``first`` and ``length``."""
+        if len(self.known) + len(pieces) > CACHED_PIECES:
+            self.forget()
+        new = [t for t in pieces if t not in self.known]
+        words = [t for t in new if _is_word(t)] if self.plain_words else []
+        if words:
+            flat = np.array(self.words.encode_batch_fast(
+                [[t.decode("latin-1").translate(_BYTE_ALPHABET) for t in words]],
+                is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[flat]) + 1
+            self.remember(words, flat, np.diff(ends, prepend=0))
+        rest = [t for t in new if t not in self.known]
+        if rest:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in rest], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.remember(rest, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
+        return np.array([self.known[t] for t in pieces], np.int64)
+
+    def cut(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """Starts, ends and rows of the pieces, and the text with its case levelled."""
+        raw = np.frombuffer(data, np.uint8)
+        if len(raw) < 2 or any(t in data for t in self.special):
+            return *runs(~_IS_SPACE[raw], offsets), data
+        kind = _KIND[raw]
+        border = kind[1:] * kind[:-1] == 2
+        border |= kind[1:] * kind[:-1] == 0
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offsets] = True
+        edge[1:-1] |= border
+        some = kind != 0
+        starts = np.flatnonzero(some & edge[:-1])
+        ends = np.flatnonzero(some & edge[1:]) + 1
+        low = np.frombuffer(bytearray(data.lower()), np.uint8)
+        kept = np.flatnonzero(raw[1:] >= 128)
+        kept = kept[low[kept] != raw[kept]]
+        low[kept] = raw[kept]
+        return starts, ends, row_of(starts, offsets), low.tobytes()
 
     def __call__(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = len(offsets) - 1
-        starts, ends, row = runs(~_IS_SPACE[np.frombuffer(data, np.uint8)], offsets)
+        starts, ends, row, data = self.cut(data, offsets)
         bounds = np.concatenate(([0], np.cumsum(ends - starts)))
         words = pa.Array.from_buffers(pa.large_binary(), len(starts), [
             None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data.translate(None, _SPACE_BYTES))])
         coded = words.dictionary_encode()
-        ids = self.pieces(coded.dictionary.to_pylist())
-        place = np.asarray(coded.indices)
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum()))
-        first = np.cumsum(lengths) - lengths
-        count = lengths[place]
+        place = self.places(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        count = self.length[place]
         before = np.cumsum(count) - count
         of_row = np.bincount(row, weights=count, minlength=rows).astype(np.int64) + 1
         out = np.full(int(of_row.sum()), self.end_id, np.int32)
-        # a word's ids go to where they stand among all ids, plus an end id per earlier row
+        # a piece's ids go to where they stand among all ids, plus an end id per earlier row
         step = np.arange(int(count.sum()))
-        out[step + np.repeat(row, count)] = flat[step + np.repeat(first[place] - before, count)]
+        out[step + np.repeat(row, count)] = self.flat[step + np.repeat(self.first[place] - before, count)]
         return out, of_row
 
 
@@ -178,10 +247,27 @@ def scaled(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+_READY: dict[tuple[str, int], Tokenize] = {}
+
+
+def tokenize(path: str, end_id: int) -> Tokenize:
+    """One per Python worker, with the pieces that it knows already."""
+    if (path, end_id) not in _READY:
+        _READY[path, end_id] = Tokenize(path, end_id)
+    return _READY[path, end_id]
+
+
+def id_kind(path: str | None = None) -> str:
+    from tokenizers import Tokenizer
+
+    return "<u2" if Tokenizer.from_file(path or tokenizer_path()).get_vocab_size() <= 1 << 16 else "<u4"
+
+
 def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(shard, place, doc_id, n_tokens, ids as little-endian 32-bit integers),
+    """(shard, place, doc_id, n_tokens, ids as little-endian 16- or 32-bit integers),
     sharded and sorted by ascending doc_id, then a hash of the text."""
     path = path or tokenizer_path()
+    kind = id_kind(path)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
@@ -191,27 +277,27 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
 
     def run(batches):
         shard, place = TaskContext.get().partitionId(), 0
-        tokenize = Tokenize(path, end_id)
+        encode = tokenize(path, end_id)
         for batch in batches:
             for part, data, offsets in text_slices(batch):
-                ids, counts = tokenize(data, offsets)
+                ids, counts = encode(data, offsets)
                 n = len(counts)
-                ends = np.concatenate(([0], np.cumsum(counts) * 4)).astype(np.int32)
+                ends = np.concatenate(([0], np.cumsum(counts) * np.dtype(kind).itemsize)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.full(n, shard, np.int32)), pa.array(np.arange(place, place + n)), part.column(0),
                     pa.array(counts), pa.Array.from_buffers(pa.binary(), n, [
-                        None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4").tobytes())])], names=names)
+                        None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind).tobytes())])], names=names)
                 place += n
 
     return rows.mapInArrow(run, schema)
 
 
-def _counted(tokens: DataFrame) -> DataFrame:
+def _counted(tokens: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
             for ids in batch.column(0):
-                found = np.bincount(np.frombuffer(ids.as_buffer(), "<u4"))
+                found = np.bincount(np.frombuffer(ids.as_buffer(), kind))
                 if len(found) > len(total):
                     total = np.concatenate((total, np.zeros(len(found) - len(total), np.int64)))
                 total[:len(found)] += found
@@ -224,9 +310,10 @@ def _counted(tokens: DataFrame) -> DataFrame:
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Write the ids of every text of ``docs`` under ``folder`` in the format above."""
     spark = docs.sparkSession
+    kind = id_kind(path)
     tokens = stage(tokenized(docs, path, end_id), "tokens")
     # at most one row per id of the vocabulary
-    table = sorted((r["id"], r["n"]) for r in _counted(tokens).collect())
+    table = sorted((r["id"], r["n"]) for r in _counted(tokens, kind).collect())
     ids = np.array([i for i, _ in table], np.int64)
     frequencies = scaled(ids, np.array([n for _, n in table], np.int64)) if table else ids
     (spark.createDataFrame(list(zip(ids.tolist(), frequencies.tolist(), strict=True)), "id int, frequency int")
@@ -245,12 +332,12 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None, end_id:
         size = 0
 
         def block():
-            joined = b"".join(h[4] for h in held)
-            words, states, checkpoints = coder.encode(np.frombuffer(joined, "<u4"))
+            ids = np.frombuffer(b"".join(h[4] for h in held), kind)
+            words, states, checkpoints = coder.encode(ids)
             return pa.RecordBatch.from_pylist([{
                 "shard": held[0][0], "place": held[0][1], "n_ids": size, "doc_ids": [h[2] for h in held],
                 "n_tokens": [h[3] for h in held], "words": words, "states": states, "checkpoints": checkpoints,
-                "words_crc32": zlib.crc32(words), "ids_crc32": zlib.crc32(joined)}], schema=target)
+                "words_crc32": zlib.crc32(words), "ids_crc32": zlib.crc32(ids.astype("<u4").tobytes())}], schema=target)
 
         target = None
         for batch in batches:
