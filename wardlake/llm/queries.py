@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, exact_dedup, language_id, mixing, token_output
+from wardlake.llm import decontaminate, exact_dedup, language_id, mixing, suffix_dedup, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +36,11 @@ def op2(spark, sf_dir):
     return language_id.digest(_table(spark, sf_dir, "documents"))
 
 
+@_register("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return suffix_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 @_register("op4_exact_dedup", exact_dedup.SQL)
 def op4(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
