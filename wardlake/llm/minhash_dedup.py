@@ -13,9 +13,13 @@ connected component.
 3. Each node compares its classes with one pivot, another one in each tree.  Links are
    confirmed on full sets, and components formed.
 4. A class that is in its node's largest component needs no comparison with the rest of
-   it.  All others are compared with every class of their node that is in another
-   component, none left out.  So a large group of near copies costs a few comparisons per
-   member, and all pairs of a node that could join two components have been confirmed.
+   it.  The others are *open*.  A node with at most ``small`` open classes is compared in
+   full: each open class with every class of another component.  A node with more branches
+   further, two levels at a time, until its nodes are small (or ``rounds`` are over; then
+   they are compared in full at any size).  So texts that share a passage part quickly, a
+   large group of near copies costs a few comparisons per member, and no node is cut.
+   Pairs whose sets must differ too much are left out by an exact bound: with BITS parity
+   bits per set, the bits that differ are at most the tokens that differ.
 5. Components are formed anew by the large-star small-star steps.
 
 Nothing is collected: classes, links and components stay in tables.
@@ -40,6 +44,9 @@ WORDS = 5
 PERCENT = 80
 TREES = 20
 DEPTH = 4
+SMALL = 32
+ROUNDS = 6
+BITS = 1024
 _IS_SPACE = np.array([b in SPACES.encode() for b in range(256)])
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -73,24 +80,33 @@ def signature(tokens: np.ndarray) -> bytes:
     return np.array([np.bitwise_xor.reduce(mixed(tokens)), np.sum(mixed(tokens * _ODD))], "<u8").tobytes()
 
 
-def paths(tokens: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """The node that the set reaches in each tree."""
-    node = mixed(np.arange(1, trees + 1, dtype=np.uint64) * _ODD)
+def roots(trees: int) -> np.ndarray:
+    return mixed(np.arange(1, trees + 1, dtype=np.uint64) * _ODD)
+
+
+def paths(tokens: np.ndarray, node: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes that the set reaches from the given ones, ``depth`` levels down."""
     for _ in range(depth):
         least = ((tokens[None, :] ^ node[:, None]) * _ODD).argmin(axis=1)
         node = mixed(node * _ODD + tokens[least])
     return node.view(np.int64)
 
 
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """For each of BITS hash values, whether an odd number of tokens has it."""
+    odd = np.bincount((tokens & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _identified(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select("doc_id", F.xxhash64(text).alias("hash"), text.alias("text"))
 
 
 def _signed(texts: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
-    """(doc_id, hash, n_shingles, sig, nodes); sig and nodes are null without words."""
+    """(doc_id, hash, n_shingles, sig, nodes, bits); the last three are null without words."""
     schema = T.StructType([texts.schema["doc_id"], texts.schema["hash"],
-                           *T._parse_datatype_string("n_shingles bigint, sig binary, nodes array<bigint>").fields])
+                           *T._parse_datatype_string("n_shingles bigint, sig binary, nodes array<bigint>, bits array<bigint>").fields])
 
     def run(batches):
         for batch in batches:
@@ -99,7 +115,8 @@ def _signed(texts: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([signature(s) if len(s) else None for s in sets], pa.binary()),
-                    pa.array([paths(s, trees, depth) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=schema.names)
+                    pa.array([paths(s, roots(trees), depth) if len(s) else None for s in sets], pa.list_(pa.int64())),
+                    pa.array([parities(s) if len(s) else None for s in sets], pa.list_(pa.int64()))], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 
@@ -116,6 +133,19 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("sig", "text").mapInArrow(run, "sig binary, tokens binary")
 
 
+def _deeper(rows: DataFrame, sets: DataFrame, levels: int) -> DataFrame:
+    """(node, sig) some levels further down."""
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                node = np.asarray(batch.column(1)[i].values).view(np.uint64)
+                down = paths(np.frombuffer(batch.column(2)[i].as_buffer(), "<u8"), node, levels)
+                yield pa.RecordBatch.from_arrays([pa.array(down), pa.repeat(batch.column(0)[i], len(down))], names=["node", "sig"])
+
+    nodes = rows.groupBy("sig").agg(F.collect_set("node").alias("nodes"))
+    return nodes.join(sets, "sig").select("sig", "nodes", "tokens").mapInArrow(run, "node bigint, sig binary")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) that are linked on full sets."""
     left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x"))
@@ -154,14 +184,15 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
 
 
-def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES, depth: int = DEPTH,
+           small: int = SMALL, rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: doc_id, hash (of the text), n_shingles, component_id and
     ``first`` (doc_id and hash of the one row that stays for the group)."""
     texts = _identified(docs)
     signed = stage(_signed(texts, words, trees, depth), "signed")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash")
-    classes = stage(signed.filter("sig is not null").groupBy("sig").agg(F.min(F.struct(order.alias("of"), "nodes")).alias("x"))
-                    .select("sig", "x.of", "x.nodes"), "classes")
+    classes = stage(signed.filter("sig is not null").groupBy("sig").agg(F.min(F.struct(order.alias("of"), "n_shingles", "nodes", "bits")).alias("x"))
+                    .select("sig", "x.*"), "classes")
     placed = classes.select("sig", F.explode("nodes").alias("node"))
     pivot = F.min(F.struct(F.xxhash64("node", "sig").alias("h"), "sig")).alias("pivot")
     shared = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), pivot).filter("n > 1").select("node", "pivot.sig")
@@ -173,15 +204,24 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: i
     sets = stage(_sets(found.dropDuplicates(["sig"]), words), "sets")
     links = stage(_confirmed(first, sets, percent), "links")
 
-    # classes outside their node's largest component, with all others there
     comps = components(links)
-    labelled = stage(members.select("node", "sig").join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "labelled")
-    sizes = labelled.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("x")).filter("comps > 1")
-    split = labelled.join(top.select("node", F.col("x.comp").alias("top")), "node")
-    rest = split.filter("comp != top").select("node", F.col("sig").alias("rest"), F.col("comp").alias("rest_comp"))
-    cross = split.join(rest, "node").filter("comp != rest_comp")
-    second = stage(pairs(cross, "sig", "rest").join(first, ["a", "b"], "left_anti"), "pairs")
+    marks = classes.select("sig", F.col("n_shingles").alias("n"), "bits")
+    rows, found = members.select("node", "sig"), None
+    for left in range(rounds, -1, -1):
+        rows = stage(rows.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig")), "labelled")
+        sizes = rows.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("n"))
+        nodes = (sizes.groupBy("node").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("x"))
+                 .select("node", F.col("x.comp").alias("top"), (F.col("n") - F.col("x.n")).alias("open")).filter("open > 0"))
+        full = rows.join(nodes.filter(F.col("open") <= small) if left else nodes, "node").join(marks, "sig")
+        rest = full.filter("comp != top").select("node", *(F.col(c).alias(f"rest_{c}") for c in ("sig", "comp", "n", "bits")))
+        differ = sum(F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("rest_bits", F.lit(i)))) for i in range(BITS // 64))
+        near = (100 + percent) * differ <= (100 - percent) * (F.col("n") + F.col("rest_n"))
+        cross = pairs(full.join(rest, "node").filter(F.col("comp") != F.col("rest_comp")).filter(near), "sig", "rest_sig")
+        found = cross if found is None else found.unionByName(cross)
+        if not left or (large := nodes.filter(F.col("open") > small)).isEmpty():
+            break
+        rows = _deeper(rows.join(large.select("node"), "node", "left_semi").select("node", "sig"), sets, 2)
+    second = stage(found.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(stage(_confirmed(second, sets, percent), "links"))
         comps = components(links)
