@@ -16,7 +16,7 @@ from wardlake.session import scratch_dir
 #: ASCII white space of the contracts: ``[\x20\x09-\x0D]``.
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of text that a Python task works on at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -127,11 +127,11 @@ class Model:
         if not self.languages:
             has[:] = False
         margins, n = np.zeros((rows, len(self.weights))), np.zeros(rows)
-        for buckets, first in grams(data, offsets):
-            n += np.diff(first)
-            for b, w in enumerate(self.weights):
-                sums = np.concatenate(([0], np.cumsum(w[buckets], dtype=np.float64)))
-                margins[:, b] += np.diff(sums[first])
+        found = grams(data, offsets)
+        for i in range(rows):
+            parts = [buckets[first[i]:first[i + 1]] for buckets, first in found]
+            n[i] = sum(map(len, parts))
+            margins[i] = self.weights @ np.bincount(np.concatenate(parts), minlength=BUCKETS).astype(np.float32)
         margins *= (MARGIN / np.maximum(n, 1))[:, None]
         loss = np.logaddexp(0, -margins[:, None, :] * self.codes[None]) @ self.apart
         if not self.languages:

@@ -15,7 +15,7 @@ connected component.
 4. A class that is in its node's largest component needs no comparison with the rest of
    it.  The others are *open*.  A node with at most ``small`` open classes is compared in
    full: each open class with every class of another component.  A node with more branches
-   further, two levels at a time, until its nodes are small (or ``rounds`` are over; then
+   further, some levels at a time, until its nodes are small (or ``rounds`` are over; then
    they are compared in full at any size).  So texts that share a passage part quickly, a
    large group of near copies costs a few comparisons per member, and no node is cut.
    Pairs whose sets must differ too much are left out by an exact bound: with BITS parity
@@ -44,8 +44,10 @@ WORDS = 5
 PERCENT = 80
 TREES = 20
 DEPTH = 4
-SMALL = 32
-ROUNDS = 6
+SMALL = 256
+ROUNDS = 3
+#: Levels that a large node branches further in a round.
+LEVELS = 4
 BITS = 1024
 _IS_SPACE = np.array([b in SPACES.encode() for b in range(256)])
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -165,22 +167,24 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(sig, comp) of every end of a link (a, b): comp is the least sig of its component."""
-    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
-    while True:
-        # large star: each end's larger neighbours go to its least one; small star: so do its smaller ones
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    """(sig, comp) of every end of a link (a, b): comp is the least sig of its component.
+
+    Large star: the larger neighbours of each end go to its least one.  Small star: so do
+    the smaller ones.  Done when the edges, as a whole, stay the same."""
+    def known(edges: DataFrame):
+        return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+
+    edges = stage(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v"), "links")
+    was = None
+    while was != (now := known(edges)):
+        was = now
+        both = edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        new = stage(small, "links")
-        same = edges.join(new, ["u", "v"], "left_anti").isEmpty() and new.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = new
-        if same:
-            break
-    return edges.select(F.col("u").alias("sig"), F.col("v").alias("comp")).unionByName(
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = stage(small.distinct(), "links")
+    return edges.groupBy(F.col("u").alias("sig")).agg(F.min("v").alias("comp")).unionByName(
         edges.select(F.col("v").alias("sig"), F.col("v").alias("comp")).distinct())
 
 
@@ -220,7 +224,7 @@ def groups(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: i
         found = cross if found is None else found.unionByName(cross)
         if not left or (large := nodes.filter(F.col("open") > small)).isEmpty():
             break
-        rows = _deeper(rows.join(large.select("node"), "node", "left_semi").select("node", "sig"), sets, 2)
+        rows = _deeper(rows.join(large.select("node"), "node", "left_semi").select("node", "sig"), sets, LEVELS)
     second = stage(found.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
         links = links.unionByName(stage(_confirmed(second, sets, percent), "links"))
