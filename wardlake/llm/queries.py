@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, exact_dedup, language_id, minhash_dedup, mixing, suffix_dedup, token_output
+from wardlake.llm import decontaminate, exact_dedup, language_id, license_scan, minhash_dedup, mixing, suffix_dedup, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -46,11 +46,21 @@ def op4(spark, sf_dir):
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+@_register("op5_token_counts")
+def op5(spark, sf_dir):
+    return token_counts.digest(_table(spark, sf_dir, "documents"))
+
+
 @_register("op6_minhash_dedup", minhash_dedup.SQL)
 def op6(spark, sf_dir):
     return minhash_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+@_register("op8_license_scan")
+def op8(spark, sf_dir):
+    return license_scan.digest(_table(spark, sf_dir, "documents"), license_scan.template_table(spark))
+
+
 @_register("op9_mixing", mixing.SQL)
 def op9(spark, sf_dir):
     return mixing.taken(_table(spark, sf_dir, "documents"))
