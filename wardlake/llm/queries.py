@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, exact_dedup, language_id, license_scan, minhash_dedup, mixing, suffix_dedup, token_counts, token_output
+from wardlake.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing, suffix_dedup, token_counts, token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,6 +56,11 @@ def op6(spark, sf_dir):
     return minhash_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+@_register("op7_line_dedup")
+def op7(spark, sf_dir):
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 @_register("op8_license_scan")
 def op8(spark, sf_dir):
     return license_scan.digest(_table(spark, sf_dir, "documents"), license_scan.template_table(spark))
