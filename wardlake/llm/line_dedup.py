@@ -67,7 +67,7 @@ def line_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, edits: i
     bits = []
     for word in (0, 64):
         odd = np.where((pairs >= word) & (pairs < word + 64), np.uint64(1) << (pairs & np.uint64(63)), 0).astype(np.uint64)
-        upto = np.concatenate(([0], np.bitwise_xor.accumulate(odd))).astype(np.uint64)
+        upto = np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(odd)))
         bits.append(upto[np.maximum(ends - 1, starts)] ^ upto[starts])
     return ids, index, probes, bits
 
