@@ -176,3 +176,21 @@ def test_split_date_time_and_dashboard_bundle(spark):
                            V.patients_v(spark, SF_SMALL), V.doctors_v(spark, SF_SMALL))
     assert set(b) == {"most_common_disease", "most_busy_doctor", "hospital_load", "emergency_trends", "totals"}
     assert b["totals"].count() == 1
+
+
+def test_last_update_wins(spark):
+    base = spark.createDataFrame([(1, "a")], "id long, v string")
+    up = spark.createDataFrame([(1, "z", 1), (1, "b", 2), (2, "c", 1)], "id long, v string, seq int")
+    assert sorted(rows(L.upsert_by_key(base, up, order="seq"))) == [(1, "b"), (2, "c")]
+    pats = spark.createDataFrame([(1, "P", "Here", None)], "id long, name string, location string, medical_history string")
+    upd = spark.createDataFrame([("P", "Plano", "", 1), ("P", "Allen", None, 2), ("P", "", "x", 3)],
+                                "name string, location string, medical_history string, seq int")
+    got = L.upsert_patients(pats, upd, "seq").first()
+    assert (got.location, got.medical_history) == ("Allen", "x")
+
+
+def test_every_order_has_an_appointment(spark):
+    from tests.conftest import SF_SMALL
+    from wardlake.sources import fixtures as V
+
+    assert V.appointments_v(spark, SF_SMALL).count() == spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()

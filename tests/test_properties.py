@@ -1,6 +1,8 @@
 """Property test: the column expressions equal a plain-Python model of the
 per-request rules on random symptom/history lists (hypothesis)."""
 
+import math
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -15,33 +17,25 @@ phrase_lists = st.lists(st.sampled_from(VOCAB), min_size=0, max_size=4)
 cases = st.lists(st.tuples(phrase_lists, phrase_lists, st.integers(18, 90)), min_size=1, max_size=25)
 
 
+def best_total(pairs, default):
+    """The name with the greatest total; of equal ones that met first."""
+    names = [name for name, _ in pairs]
+    totals = {n: sum(v for name, v in pairs if name == n) for n in names}
+    return min(totals, key=lambda n: (-totals[n], names.index(n))) if totals else default
+
+
 def py_rule_agent(symptoms, history):
-    s = " ".join(symptoms or ["general"]).lower()
-    h = " ".join(history).lower()
-    per_spec, score, prio, mult, n = {}, 0, "Normal", 1.0, 0
-    for rid, kw, cat, spec, pr, pts, m, _ in K.HEALTH_RULES:
-        if kw in (s if cat == "symptom" else h):
-            n += 1
-            score += pts
-            per_spec[spec] = per_spec.get(spec, 0) + pts
-            if K.PRIORITY_RANK[pr] > K.PRIORITY_RANK[prio]:
-                prio = pr
-            mult *= m
-    if not n:
+    texts = {"symptom": " ".join(symptoms or ["general"]).lower()}
+    met = [r for r in K.HEALTH_RULES if r[1] in texts.get(r[2], " ".join(history).lower())]
+    if not met:
         return "General Physician", "Normal", 10, 0.10
-    return max(per_spec, key=per_spec.get), prio, score, round(min(0.10 * mult, 0.95), 2)
+    return (best_total([(r[3], r[5]) for r in met], None), max((r[4] for r in met), key=K.PRIORITY_RANK.get),
+            sum(r[5] for r in met), round(min(0.10 * math.prod(r[6] for r in met), 0.95), 2))
 
 
 def py_kg(text):
-    scores = {}
-    for node in K.KG_SYMPTOMS:
-        if node in text:
-            for s, sp, w, _ in K.KG_EDGES:
-                if s == node:
-                    scores[sp] = scores.get(sp, 0) + w
-    if not scores:
-        return "General Physician", 10
-    return max(scores, key=scores.get), sum(scores.values())
+    met = [(e[1], e[2]) for node in K.KG_SYMPTOMS if node in text for e in K.KG_EDGES if e[0] == node]
+    return best_total(met, "General Physician"), sum(w for _, w in met) if met else 10
 
 
 def py_risk(text, age):

@@ -90,12 +90,15 @@ def _rank_col(c: Column) -> Column:
 
 
 def dedupe_votes(votes: DataFrame) -> DataFrame:
-    """One prediction per (case, model): missing fields take the defaults."""
+    """One prediction per (case, model), the last by ``seq`` if there is such a
+    column, else the greatest row: missing fields take the defaults."""
     v = votes.select("case_id", "model", "model_ord",
                      F.coalesce("urgency", F.lit(K.MISSING_VOTE[0])).alias("urgency"),
                      F.coalesce("specialty", F.lit(K.MISSING_VOTE[1])).alias("specialty"),
                      *[c for c in votes.columns if c not in ("case_id", "model", "model_ord", "urgency", "specialty")])
-    return v.dropDuplicates(["case_id", "model"])
+    row = F.struct(*v.columns)
+    rank = F.struct("seq", row) if "seq" in v.columns else row
+    return v.groupBy("case_id", "model").agg(F.max_by(row, rank).alias("_row")).select("_row.*")
 
 
 def _per_case(votes: DataFrame, extra: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def hospital_load(appointments: DataFrame, keep_null: bool = False) -> DataFrame
 
 
 def emergency_trends(reports: DataFrame, blank_day: str | None = "unknown") -> DataFrame:
-    """Counts of Emergency/High reports per (day, priority).
+    """Counts of Emergency/High reports per (day, priority), in that order.
 
     blank_day='unknown' (SQL flavour): a null or blank timestamp becomes
     'unknown'.  blank_day=None (lake flavour): the first 10 characters as is.
@@ -50,7 +50,7 @@ def emergency_trends(reports: DataFrame, blank_day: str | None = "unknown") -> D
         day = F.coalesce(nonblank(day), F.lit(blank_day))
     return (reports.filter(F.col("priority").isin(*EMERGENCY_LEVELS))
             .groupBy(day.alias("date"), F.col("priority"))
-            .agg(F.count(F.lit(1)).alias("count")))
+            .agg(F.count(F.lit(1)).alias("count")).orderBy("date", "priority"))
 
 
 def emergency_count(df: DataFrame, column: str = "priority") -> DataFrame:

@@ -155,11 +155,11 @@ def rule_score_columns(flags: list[tuple[tuple, Column]]) -> dict[str, Column]:
     prio = None
     for name, rank in K.PRIORITY_RANK.items():
         prio = F.when(prank == rank, F.lit(name)) if prio is None else prio.when(prank == rank, F.lit(name))
-    prod10 = F.lit(1).cast("long")
+    prod10 = F.lit(1.0)  # tenths: exact below 2^53, no overflow above, any multiplier
     for r, f in flags:
-        prod10 = prod10 * F.when(f, F.lit(_mult10(r[6]))).otherwise(F.lit(1)).cast("long")
-    posterior = F.least(prod10.cast("double") / F.pow(F.lit(10.0), n + 1), F.lit(K.BAYES_CAP))
-    pct = F.least(prod10.cast("double") / F.pow(F.lit(10.0), n - 1), F.lit(K.BAYES_CAP * 100))
+        prod10 = prod10 * F.when(f, F.lit(round(r[6] * 10.0, 9))).otherwise(F.lit(1.0))
+    posterior = F.least(prod10 / F.pow(F.lit(10.0), n + 1), F.lit(K.BAYES_CAP))
+    pct = F.least(prod10 / F.pow(F.lit(10.0), n - 1), F.lit(K.BAYES_CAP * 100))
     return {
         "n_rules": n,
         "recommended_specialty": F.when(has, _argmax(groups)).otherwise(F.lit(K.NO_RULE_DEFAULT[0])),

@@ -28,9 +28,8 @@ def count_top(df: DataFrame, keys: Sequence[str], n: int | None = None, keep_nul
     if not keep_null:
         src = src.filter(F.col(keys[0]).isNotNull())
     out = src.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
-    if n is not None:
-        out = out.orderBy(F.desc(count_name), *[F.asc_nulls_first(k) for k in keys]).limit(n)
-    return out
+    out = out.orderBy(F.desc(count_name), *[F.asc_nulls_first(k) for k in keys])
+    return out if n is None else out.limit(n)
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,

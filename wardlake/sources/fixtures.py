@@ -116,8 +116,9 @@ def requests_v(spark: SparkSession, sf: str) -> DataFrame:
 def appointments_v(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     s = table(spark, sf, "supplier").select("s_suppkey", "s_name")
-    ok, sk = F.col("o_orderkey"), F.col("s_suppkey")
-    return o.join(s, sk == F.col("o_custkey") % 100).select(
+    # every order keeps its row, also where its doctor's number has no supplier
+    ok, sk = F.col("o_orderkey"), F.col("o_custkey") % F.lit(max(1, s.count()))
+    return o.join(s, F.col("s_suppkey") == sk, "left").select(
         ok.alias("id"), F.col("o_custkey").alias("patient_id"),
         F.when(ok % 53 == 0, F.lit(None).cast("string")).otherwise(F.col("s_name")).alias("doctor_name"),
         _case(sk % 7, _SPEC7, "General Physician").alias("specialty"),
@@ -279,12 +280,12 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "appointments_v": f"""
 SELECT o_orderkey AS id, o_custkey AS patient_id,
        CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE s_name END AS doctor_name,
-       {_S7.format(k='s_suppkey % 7')} AS specialty,
+       {_S7.format(k='o_custkey % n % 7')} AS specialty,
        CASE WHEN o_orderkey % 47 = 0 THEN NULL
-            ELSE {_H6.format(k='s_suppkey % 5', d="'Children''s Medical Center Plano'")} END AS hospital,
+            ELSE {_H6.format(k='o_custkey % n % 5', d="'Children''s Medical Center Plano'")} END AS hospital,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'Emergency' WHEN '2-HIGH' THEN 'Urgent'
             WHEN '3-MEDIUM' THEN 'Soon' ELSE 'Routine' END AS urgency
-FROM orders JOIN supplier ON s_suppkey = o_custkey % 100""",
+FROM orders CROSS JOIN (SELECT greatest(count(*), 1) AS n FROM supplier) LEFT JOIN supplier ON s_suppkey = o_custkey % n""",
     "patients_v": """
 SELECT c_custkey AS id, c_name AS name, n_name AS location,
        CASE WHEN c_custkey % 4 = 0 THEN 'diabetes' ELSE NULL END AS medical_history

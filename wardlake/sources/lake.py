@@ -126,11 +126,15 @@ def valid_uploads(uploads: DataFrame, type_col: str = "content_type", size_col:
     return uploads.filter((t.isNull() | F.lower(t).isin(*allowed)) & (F.col(size_col) <= max_bytes))
 
 
-def upsert_by_key(base: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
+def upsert_by_key(base: DataFrame, updates: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """A11 (SCD1): rows of ``updates`` replace base rows with the same key;
-    new keys are inserted; other base rows are kept."""
+    new keys are inserted; other base rows are kept.  Of several updates with
+    one key the last by ``order`` counts (without it, the greatest row)."""
     kept = base.join(updates.select(key), key, "left_anti")
-    return kept.unionByName(updates.select(*base.columns))
+    row = F.struct(*[F.col(c) for c in base.columns])
+    rank = F.struct(F.col(order), row) if order else row
+    last = updates.groupBy(F.col(key).alias("_key")).agg(F.max_by(row, rank).alias("_row")).select("_row.*")
+    return kept.unionByName(last)
 
 
 def _dense_index(df: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
@@ -159,11 +163,17 @@ def _dense_index(df: DataFrame, order: list[str], name: str, start: int) -> Data
     return tagged.withColumn(name, (F.element_at(omap, F.col("_pid")) + local + 1).cast("long")).drop("_pid", "_mid")
 
 
-def upsert_patients(base: DataFrame, updates: DataFrame) -> DataFrame:
+def upsert_patients(base: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
     """A10: match on name.  Existing patients get only the non-empty new
-    fields; unknown names are inserted with new ids after the current
+    fields, of several updates the last non-empty one by ``order`` (without it
+    the greatest); unknown names are inserted with new ids after the current
     maximum (in name order).  Output: id, name, location, medical_history, is_new."""
-    u = updates.groupBy("name").agg(F.max("location").alias("u_loc"), F.max("medical_history").alias("u_hist"))
+    def last(column: str):
+        full = C.nonblank(F.col(column)).isNotNull()
+        rank = F.struct(F.col(order), F.col(column)) if order else F.col(column)
+        return F.coalesce(F.max_by(F.when(full, F.col(column)), F.when(full, rank)), F.max(column))
+
+    u = updates.groupBy("name").agg(last("location").alias("u_loc"), last("medical_history").alias("u_hist"))
     matched = base.join(u, "name", "left").select(
         "id", "name",
         F.coalesce(C.nonblank(F.col("u_loc")), F.col("location")).alias("location"),

@@ -3,12 +3,16 @@
 Routing and signal features are plain column expressions evaluated before
 the stateful step; the per-session step is a small state machine run by
 ``applyInPandasWithState`` (one state row per session, kept in the state
-store, so sessions can span any number of micro-batches).  Its output equals
-the batch replay ``wardlake.operators.chat.session_states``.
+store, so sessions can span any number of micro-batches).  The state holds the
+signals of the session's turns; a turn that arrives after later ones is put in
+its place, and the turns that it changes are given out again with a higher
+``revision``.  The last revision of each turn equals the batch replay
+``wardlake.operators.chat.session_states``.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,8 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from wardlake.operators.chat import STATES, message_features
 
-OUTPUT_SCHEMA = "session_id long, turn long, state string"
-STATE_SCHEMA = "state string, last_turn long"
+OUTPUT_SCHEMA = "session_id long, turn long, state string, revision long"
+STATE_SCHEMA = "turns string, revision long"
 
 
 def next_state(state: str, is_health: bool, is_list: bool, has_signal: bool, hospital: str | None) -> str:
@@ -36,19 +40,23 @@ def next_state(state: str, is_health: bool, is_list: bool, has_signal: bool, hos
 
 
 def _step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    current, last = (state.get if state.exists else (STATES[0], -1))
-    pdf = pd.concat(list(batches), ignore_index=True).sort_values("turn")
-    out_turns, out_states = [], []
-    for row in pdf.itertuples(index=False):
-        if row.turn <= last:
-            continue
-        hosp = None if pd.isna(row.hospital_name) else row.hospital_name
-        current = next_state(current, bool(row.is_health), bool(row.is_list), bool(row.has_signal), hosp)
-        last = int(row.turn)
-        out_turns.append(last)
-        out_states.append(current)
-    state.update((current, last))
-    yield pd.DataFrame({"session_id": [key[0]] * len(out_turns), "turn": out_turns, "state": out_states})
+    """Merge the new turns with those known, replay, and give the turns whose
+    state is new or has changed, with the number of this revision."""
+    known, revision = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, 0)
+    for pdf in batches:
+        for row in pdf.itertuples(index=False):
+            hospital = None if pd.isna(row.hospital_name) else row.hospital_name
+            known.setdefault(str(row.turn), [bool(row.is_health), bool(row.is_list), bool(row.has_signal), hospital, None])
+    current, revision, changed = STATES[0], revision + 1, []
+    for turn in sorted(map(int, known)):
+        *signals, was = known[str(turn)]
+        current = next_state(current, *signals)
+        if current != was:
+            known[str(turn)][-1] = current
+            changed.append((turn, current))
+    state.update((json.dumps(known), revision))
+    yield pd.DataFrame({"session_id": [key[0]] * len(changed), "turn": [t for t, _ in changed],
+                        "state": [s for _, s in changed], "revision": [revision] * len(changed)})
 
 
 def session_state_stream(messages: DataFrame) -> DataFrame:

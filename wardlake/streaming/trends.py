@@ -1,9 +1,9 @@
 """L2: emergency trend over report files appended to a folder.
 
-``readStream`` over the report folder, event time from ``generated_at``, a
-1-day watermark, counts per (day window, priority).  Run with
-``trigger(availableNow=True)`` it gives the batch ``emergency_trends``
-answer for every report that has a timestamp.
+``readStream`` over the report folder, counts per (day, priority) in update or
+complete mode.  The state has one row per day and priority, so there is no
+watermark: late reports count, and undated ones count under 'unknown', as in the
+batch ``emergency_trends``.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardlake.functions.clinical import nonblank
 from wardlake.operators.dashboard import EMERGENCY_LEVELS
 
 REPORT_STREAM_SCHEMA = T.StructType([
@@ -25,10 +26,7 @@ def report_stream(spark: SparkSession, folder: str, schema: T.StructType = REPOR
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
-def emergency_trend_stream(reports: DataFrame, watermark: str = "1 day") -> DataFrame:
-    ts = F.try_to_timestamp(F.substring("generated_at", 1, 10), F.lit("yyyy-MM-dd"))
+def emergency_trend_stream(reports: DataFrame) -> DataFrame:
+    day = F.coalesce(nonblank(F.substring("generated_at", 1, 10)), F.lit("unknown"))
     return (reports.filter(F.col("priority").isin(*EMERGENCY_LEVELS))
-            .withColumn("event_time", ts).filter(F.col("event_time").isNotNull())
-            .withWatermark("event_time", watermark)
-            .groupBy(F.window("event_time", "1 day"), "priority").count()
-            .select(F.date_format("window.start", "yyyy-MM-dd").alias("date"), "priority", "count"))
+            .groupBy(day.alias("date"), "priority").count())
