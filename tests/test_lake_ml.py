@@ -133,17 +133,21 @@ def test_seed_if_empty_and_upload_validation(spark):
     assert sorted(r.name for r in L.valid_uploads(ups).collect()) == ["a", "c"]
 
 
-def test_cosine_blocked_equals_inline(spark):
+def test_cosine_is_the_same_in_any_number_of_blocks(spark, monkeypatch):
     from tests.conftest import SF_SMALL
+    from wardlake.operators import blocks
     from wardlake.sources.tables import table
     emb = table(spark, SF_SMALL, "embeddings")
     qs = emb.select(F.col("vec_id").alias("label"), "embedding")  # every vector is a query here
-    inline = RT.cosine_topk(RT.centroids(emb), emb, 3)
-    blocked = RT.cosine_topk_blocked(RT.centroids(emb), emb, 3, block_size=3)
+    width = len(emb.first().embedding)
     def r9(df):
         return sorted((a, b, c, round(d, 9)) for a, b, c, d in rows(df))
-    assert r9(inline) == r9(blocked)
-    big = RT.cosine_topk_blocked(qs, emb, 2, block_size=64)
+    one = r9(RT.cosine_topk(RT.centroids(emb), emb, 3))
+    monkeypatch.setattr(blocks, "CELLS", 3 * width)
+    assert len(list(RT._vector_blocks(RT.centroids(emb).toLocalIterator(), "label", "embedding"))) > 2
+    assert r9(RT.cosine_topk(RT.centroids(emb), emb, 3)) == one
+    monkeypatch.setattr(blocks, "CELLS", 64 * width)
+    big = RT.cosine_topk(qs, emb, 2)
     assert big.count() == 2 * qs.count()
     assert big.filter("rank = 1").filter(F.abs(F.col("score") - 1.0) > 1e-9).count() == 0  # nearest is itself
 

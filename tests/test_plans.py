@@ -36,6 +36,35 @@ def test_topk_limits_before_shuffle(spark, name):
     assert "WindowGroupLimit" in p and "Partial" in p
 
 
+@pytest.mark.parametrize("name", ["overlap_top3", "tfidf_topk", "cosine_topk"])
+def test_retrieval_shuffles_only_the_best_of_each_task(spark, name):
+    p = _plan(Q[name](spark, SF_SMALL)).split("== Initial Plan ==")[0]
+    for line in p.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "token" not in line and "term" not in line
+            assert "hashpartitioning(item_id" in line or "hashpartitioning(label" in line
+
+
+def test_fallback_uses_vectors_then_tfidf(spark):
+    methods = {r.method for r in Q["retrieve_fallback"](spark, SF_SMALL).select("method").distinct().collect()}
+    assert methods == {"vector", "tfidf"}
+
+
+def test_session_replay_bounds_shuffles_and_scans(spark):
+    p = _plan(Q["session_states"](spark, SF_SMALL)).split("== Initial Plan ==")[0]
+    assert p.count("Exchange hashpartitioning") <= 6
+    assert p.count("FileScan parquet") <= 4
+
+
+@pytest.mark.parametrize("output", ["accepted", "rejected", "slots_after"])
+def test_booking_aggregates_requests_before_joining(spark, output):
+    p = S.book(V.requests_v(spark, SF_SMALL), V.slots_v(spark, SF_SMALL), V.doctors_v(spark, SF_SMALL))[output]
+    tree = p._jdf.queryExecution().optimizedPlan().toString()
+    first = next(i for i, line in enumerate(tree.splitlines()) if "Aggregate [slot_id" in line and ", " not in
+                 line.split("Aggregate [slot_id")[1].split("]")[0])
+    assert any("Join" in line for line in tree.splitlines()[:first])
+
+
 def test_booking_winner_is_partial_aggregate(spark):
     p = _plan(Q["book_slots"](spark, SF_SMALL))
     assert "partial_min" in p

@@ -6,9 +6,11 @@ Session replay (K2) is closed-form: with
        after hc or carries a symptom signal,
   h  = first turn > s that is not a list request and names a known hospital,
 the state after turn t is general (t < hc), ask_symptoms (hc <= t < s),
-ask_hospital (s <= t < h) or ask_appointment (t >= h).  Each marker is a
-per-session ``min`` aggregate (partial aggregation, so a huge session is no
-hotter than a small one after the map side), joined back on session_id.
+ask_hospital (s <= t < h) or ask_appointment (t >= h).  The messages are read
+once; four flags a turn are written to the shared folder and the rest works on
+those.  Each marker is a per-session ``min`` joined to the turns of its session:
+one row a session on that side, so a task streams a hot session's turns (a few
+bytes each) and never holds them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wardlake.functions import clinical as C
+from wardlake.session import write_table
 
 STATES = ("general", "ask_symptoms", "ask_hospital", "ask_appointment")
 
@@ -30,16 +33,16 @@ def message_features(messages: DataFrame, text: str = "message") -> DataFrame:
 
 def session_states(messages: DataFrame, session: str = "session_id", turn: str = "turn",
                    text: str = "message") -> DataFrame:
-    f = message_features(messages, text)
+    f = write_table(message_features(messages, text).select(
+        session, turn, "is_health", "is_list", "has_signal",
+        F.col("hospital_name").isNotNull().alias("names_hospital")), "session-turns")
     t = F.col(turn)
-    hc = f.groupBy(session).agg(F.min(F.when(F.col("is_health"), t)).alias("hc"))
-    f = f.join(hc, session)
-    s = f.groupBy(session).agg(F.min(F.when(
-        (t >= F.col("hc")) & ~F.col("is_list") & ((t > F.col("hc")) | F.col("has_signal")), t)).alias("s"))
-    f = f.join(s, session)
-    h = f.groupBy(session).agg(F.min(F.when(
-        (t > F.col("s")) & ~F.col("is_list") & F.col("hospital_name").isNotNull(), t)).alias("h"))
-    f = f.join(h, session)
+    turn_on = lambda marks, cond, name: f.join(marks, session).groupBy(session, *marks.columns[1:]).agg(
+        F.min(F.when(cond & ~F.col("is_list"), t)).alias(name))
+    marks = f.groupBy(session).agg(F.min(F.when(F.col("is_health"), t)).alias("hc"))
+    marks = turn_on(marks, (t > F.col("hc")) | ((t == F.col("hc")) & F.col("has_signal")), "s")
+    marks = turn_on(marks, (t > F.col("s")) & F.col("names_hospital"), "h")
+    f = f.join(marks, session)
     state = (F.when(F.col("hc").isNull() | (t < F.col("hc")), STATES[0])
              .when(F.col("s").isNull() | (t < F.col("s")), STATES[1])
              .when(F.col("h").isNull() | (t < F.col("h")), STATES[2])

@@ -6,36 +6,37 @@ corpus order).  Scores are ranked after rounding to 1e-9 so that exact
 duplicates, whose float sums may differ in the last bit depending on
 summation order, keep the corpus order.
 
+Documents stay where they are: query blocks of bounded size are broadcast and
+scored inside each document's partition (``blocks.top_k``).  No (query, document)
+pair and no token is shuffled; only k rows per query and task reach the exchange.
+
 * ``overlap_topk``: size of the intersection of distinct whitespace tokens.
-  An equi-join on token between query tokens and document tokens, so only
-  (query, doc) pairs that share a token are ever formed; partial counts are
-  combined map-side before the shuffle on (query, doc).
 * ``tfidf_topk``: TF-IDF cosine where, as in the original service, the query
   itself is one more document of the corpus when the IDF is fitted.  Only
   the query's own terms change weight, so each document's base norm is
   computed once and adjusted per (query, doc) by the query terms it holds.
   Documents with score 0 still fill the top k (in corpus order).
-* ``cosine_topk``: exact cosine over embedding vectors.  The query batch is
-  bounded (checked) and inlined into one projection over the corpus scan, so
-  the corpus is read once and never shuffled before the partial top k.
+* ``cosine_topk``: exact cosine over embedding vectors.
+
+Query ids and document ids are unique; null and blank texts have no tokens; vectors
+are all of one length.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake import constants as K
 from wardlake.functions.text import whitespace_tokens, word_tokens
-from wardlake.session import ensure_checkpoint_dir
+from wardlake.operators.blocks import RANK_DIGITS, dense, in_blocks, step_for, term_matrix, top_k
+from wardlake.session import ensure_checkpoint_dir, write_table
 from wardlake.sources.tables import spread
 
-RANK_DIGITS = 9
-MAX_INLINE_QUERIES = 256
-MAX_INLINE_BATCH = 10 * MAX_INLINE_QUERIES
-
 
 def _rank(df: DataFrame, qid: str, did: str, k: int) -> DataFrame:
     w = Window.partitionBy(qid).orderBy(F.desc(F.round("score", RANK_DIGITS)), F.asc(did))
@@ -44,13 +45,37 @@ def _rank(df: DataFrame, qid: str, did: str, k: int) -> DataFrame:
 
 # --- J1 -----------------------------------------------------------------------------
 
+def _vocabulary(block, field: str = "terms") -> tuple[dict[str, int], list[list[str]]]:
+    lists = [r[field] for r in block]
+    return {t: i for i, t in enumerate(dict.fromkeys(t for ts in lists for t in ts))}, lists
+
+
+def _overlap_blocks(rows, qid: str):
+    for block in in_blocks(rows, lambda r: r["terms"]):
+        index, lists = _vocabulary(block)
+        at = [(index[t], j) for j, ts in enumerate(lists) for t in ts]
+        yield [r[qid] for r in block], (list(index), np.array(at, np.int64).reshape(-1, 2))
+
+
+def _overlap_scorer(payload):
+    words, at = payload
+    queries = int(at[:, 1].max()) + 1 if len(at) else 0
+    vocabulary = pa.array(words, pa.string())
+    weights = dense((at[:, 0], at[:, 1], 1.0), (len(words), queries))
+
+    def score(part):
+        shared = term_matrix(part.column(1), vocabulary) @ weights
+        return np.where(shared > 0, shared, -np.inf)
+    return step_for(len(words), queries), score
+
+
 def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = K.OVERLAP_TOP_K, qid: str = "item_id",
                  did: str = "doc_id", text: str = "text") -> DataFrame:
     """(qid, rank, did, score): top k documents per query with score > 0."""
-    qt = queries.select(qid, F.explode(whitespace_tokens(F.col(text))).alias("token"))
-    dt = spread(corpus.select(did, text)).select(did, F.explode(whitespace_tokens(F.col(text))).alias("token"))
-    scores = dt.join(qt, "token").groupBy(qid, did).agg(F.count(F.lit(1)).alias("score"))
-    return _rank(scores, qid, did, k).select(qid, "rank", did, "score")
+    asked = queries.select(qid, whitespace_tokens(F.col(text)).alias("terms")).filter(F.size("terms") > 0)
+    docs = spread(corpus.select(did, text)).select(did, whitespace_tokens(F.col(text)).alias("terms"))
+    best = top_k(docs, queries, qid, did, k, _overlap_blocks(asked.toLocalIterator(), qid), _overlap_scorer)
+    return _rank(best, qid, did, k).select(qid, "rank", did, F.col("score").cast("long").alias("score"))
 
 
 def kb_overlap(text: Column, sentences: list[str] = K.KB_SENTENCES, k: int = K.OVERLAP_TOP_K) -> Column:
@@ -82,35 +107,74 @@ def kb_overlap(text: Column, sentences: list[str] = K.KB_SENTENCES, k: int = K.O
 
 @dataclass
 class TfidfIndex:
-    """The query-independent half of TF-IDF search over one corpus: per
-    (document, term) counts, document frequencies and each document's base
-    squared norm, materialised once in the shared checkpoint dir and then
-    searched by any number of query batches."""
+    """The query-independent half of TF-IDF search over one corpus, written as Parquet
+    in the shared checkpoint dir and searched by any number of query batches."""
 
     corpus: DataFrame
     did: str
     n_docs: int
-    d_terms: DataFrame   # (did, term, tf)
+    docs: DataFrame      # (did, terms, tfs, n0): one row per document, n0 its base squared norm
     dfreq: DataFrame     # (term, df)
-    d_norm0: DataFrame   # (did, n0)
+
+
+def _count_terms(batches):
+    """(did, tokens) -> (did, distinct terms, their counts), whole batches at a time."""
+    for batch in batches:
+        tokens = batch.column(1)
+        flat = tokens.flatten().dictionary_encode()
+        words = max(len(flat.dictionary), 1)
+        row = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        cell, counts = np.unique(row * words + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        ends = pa.array(np.searchsorted(cell, np.arange(len(tokens) + 1) * words), pa.int32())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.ListArray.from_arrays(ends, flat.dictionary.take(pa.array(cell % words))),
+             pa.ListArray.from_arrays(ends, pa.array(counts, pa.float64()))], names=["did", "terms", "tfs"])
+
+
+def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    kind = df.schema[key].dataType.simpleString()
+    counted = df.select(F.col(key).alias("did"), word_tokens(F.col(text)).alias("tokens")).mapInArrow(
+        _count_terms, f"did {kind}, terms array<string>, tfs array<double>")
+    return counted.withColumnRenamed("did", key)
 
 
 def build_tfidf_index(corpus: DataFrame, did: str = "doc_id", text: str = "text") -> TfidfIndex:
-    spark = corpus.sparkSession
-    ensure_checkpoint_dir(spark)
     # Corpus size: one count action (served from Parquet metadata), used as a literal.
     n = corpus.select(did).count()
-    n2 = F.lit(float(n + 2))
-    d_terms = (spread(corpus.select(did, text)).select(did, F.explode(word_tokens(F.col(text))).alias("term"))
-               .groupBy(did, "term").agg(F.count(F.lit(1)).cast("double").alias("tf"))
-               .checkpoint(eager=True))
-    dfreq = d_terms.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).checkpoint(eager=True)
-    idf0 = F.log(n2 / (1 + F.col("df"))) + 1
+    counted = write_table(_term_counts(spread(corpus.select(did, text)), did, text), "tfidf-counts")
+    dfreq = write_table(counted.select(F.explode("terms").alias("term")).groupBy("term")
+                        .agg(F.count(F.lit(1)).cast("double").alias("df")), "tfidf-df")
+    idf0 = F.log(F.lit(float(n + 2)) / (1 + F.col("df"))) + 1
     # base squared norm of every document (IDF fitted without any query term)
-    d_norm0 = (d_terms.join(dfreq, "term")
-               .groupBy(did).agg(F.sum(F.col("tf") * F.col("tf") * idf0 * idf0).alias("n0"))
-               .checkpoint(eager=True))
-    return TfidfIndex(corpus, did, n, d_terms, dfreq, d_norm0)
+    cells = counted.select(did, F.explode(F.arrays_zip("terms", "tfs")).alias("c")).select(
+        did, F.col("c.terms").alias("term"), F.col("c.tfs").alias("tf"))
+    norms = cells.join(dfreq, "term").groupBy(did).agg(F.sum(F.col("tf") * F.col("tf") * idf0 * idf0).alias("n0"))
+    docs = write_table(counted.join(norms, did), "tfidf-docs")
+    return TfidfIndex(corpus, did, n, docs, dfreq)
+
+
+def _tfidf_blocks(rows, qid: str):
+    for block in in_blocks(rows, lambda r: r["terms"]):
+        index, lists = _vocabulary(block)
+        cells = [(index[t], j, w, shift) for j, r in enumerate(block)
+                 for t, w, shift in zip(r["terms"], r["weights"], r["shifts"], strict=True)]
+        yield [r[qid] for r in block], (list(index), np.array(cells, float).reshape(-1, 4),
+                                        np.sqrt(np.array([r["qn"] for r in block])))
+
+
+def _tfidf_scorer(payload):
+    words, cells, norms = payload
+    vocabulary = pa.array(words, pa.string())
+    at = cells[:, 0].astype(np.int64), cells[:, 1].astype(np.int64)
+    weights = dense((*at, cells[:, 2]), (len(words), len(norms)))
+    shifts = dense((*at, cells[:, 3]), (len(words), len(norms)))
+
+    def score(part):
+        tf = term_matrix(part.column(1), vocabulary, part.column(2).flatten().to_numpy())
+        dot = tf @ weights
+        size = part.column(3).to_numpy()[:, None] + (tf * tf) @ shifts
+        return np.where(dot > 0, dot / (norms * np.sqrt(np.where(dot > 0, size, 1.0))), -np.inf)
+    return step_for(len(words), len(norms)), score
 
 
 def tfidf_search(index: TfidfIndex, queries: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "item_id",
@@ -120,21 +184,19 @@ def tfidf_search(index: TfidfIndex, queries: DataFrame, k: int = K.RETRIEVAL_TOP
     did = index.did
     n2 = F.lit(float(index.n_docs + 2))
     idf0 = F.log(n2 / (1 + F.col("df"))) + 1
-    q_terms = (queries.select(qid, F.explode(word_tokens(F.col(text))).alias("term"))
-               .groupBy(qid, "term").agg(F.count(F.lit(1)).cast("double").alias("tfq")))
-    qx = (q_terms.join(index.dfreq, "term", "left")
-          .select(qid, "term", "tfq",
-                  (F.log(n2 / (2 + F.coalesce(F.col("df"), F.lit(0.0)))) + 1).alias("idfq"),
-                  F.when(F.col("df").isNotNull(), idf0).alias("idf0")))
-    q_norm = qx.groupBy(qid).agg(F.sum(F.col("tfq") * F.col("tfq") * F.col("idfq") * F.col("idfq")).alias("qn"))
-
-    pairs = (index.d_terms.join(qx.filter(F.col("idf0").isNotNull()), "term")
-             .groupBy(qid, did).agg(
-                 F.sum(F.col("tfq") * F.col("tf") * F.col("idfq") * F.col("idfq")).alias("dot"),
-                 F.sum(F.col("tf") * F.col("tf") * (F.col("idfq") * F.col("idfq") - F.col("idf0") * F.col("idf0")))
-                 .alias("delta")))
-    scored = (pairs.join(q_norm, qid).join(index.d_norm0, did)
-              .select(qid, did, (F.col("dot") / (F.sqrt("qn") * F.sqrt(F.col("n0") + F.col("delta")))).alias("score")))
+    q_terms = (_term_counts(queries, qid, text).select(qid, F.explode(F.arrays_zip("terms", "tfs")).alias("c"))
+               .select(qid, F.col("c.terms").alias("term"), F.col("c.tfs").alias("tfq")))
+    idfq = F.log(n2 / (2 + F.coalesce(F.col("df"), F.lit(0.0)))) + 1
+    # A query is one text: its term list is bounded by it.
+    known = lambda c: F.collect_list(F.when(F.col("df").isNotNull(), c))
+    asked = (q_terms.join(index.dfreq, "term", "left")
+             .select(qid, "term", "df", (F.col("tfq") * idfq * idfq).alias("w"),
+                     (idfq * idfq - F.coalesce(idf0, F.lit(0.0)) * F.coalesce(idf0, F.lit(0.0))).alias("s"), "tfq")
+             .groupBy(qid).agg(known(F.struct("term", "w", "s")).alias("t"), F.sum(F.col("tfq") * F.col("w")).alias("qn"))
+             .filter(F.size("t") > 0)
+             .select(qid, F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), F.col("t.s").alias("shifts"), "qn"))
+    docs = index.docs.select(did, "terms", "tfs", "n0")
+    scored = top_k(docs, queries, qid, did, k, _tfidf_blocks(asked.toLocalIterator(), qid), _tfidf_scorer)
     best = _rank(scored, qid, did, k).select(qid, did, "score")
 
     # Zero-score fill: the first k documents in corpus order, for every query.
@@ -164,59 +226,30 @@ def centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") ->
             .select(key, F.transform("dims", lambda d: d["x"]).alias(vec)))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+def _vector_blocks(rows, qid: str, vec: str):
+    for block in in_blocks(rows, lambda r: range(len(r[vec]))):
+        yield [r[qid] for r in block], np.array([r[vec] for r in block], float)
+
+
+def _vector_scorer(queries: np.ndarray):
+    lengths = np.sqrt((queries * queries).sum(axis=1))
+
+    def score(part):
+        docs = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+        size = np.sqrt((docs * docs).sum(axis=1))[:, None] * lengths
+        return np.where(size > 0, (docs @ queries.T) / np.where(size > 0, size, 1.0), 0.0)
+    return step_for(*queries.shape), score
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "label",
                 did: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """(qid, rank, did, score) by exact cosine similarity, n = min(k, corpus size).
-
-    A query batch of up to MAX_INLINE_BATCH rows (checked with a bounded
-    count) is inlined in chunks of MAX_INLINE_QUERIES: each chunk is one
-    map-only projection over the corpus scan.  A larger batch goes through
-    ``cosine_topk_blocked`` (an equi-join on query blocks), equally exact.
-    """
-    rows = queries.select(qid, vec).limit(MAX_INLINE_BATCH + 1).collect()
-    if len(rows) > MAX_INLINE_BATCH:
-        return cosine_topk_blocked(queries, corpus, k, qid, did, vec)
-    cvec = F.transform(F.col(vec), lambda x: x.cast("double"))
-    cnorm = F.sqrt(_dot(cvec, cvec))
-    base = corpus.select(did, cvec.alias("v"), cnorm.alias("vn"))
-    out = None
-    for start in range(0, len(rows), MAX_INLINE_QUERIES):
-        chunk = rows[start:start + MAX_INLINE_QUERIES]
-        lit_q = F.array(*[F.struct(F.lit(r[0]).alias("q"),
-                                   F.array(*[F.lit(float(x)) for x in r[1]]).alias("qv"),
-                                   F.lit(sum(float(x) ** 2 for x in r[1]) ** 0.5).alias("qn")) for r in chunk])
-        scored = base.select(did, F.explode(F.transform(lit_q, lambda qq: F.struct(
-            qq["q"].alias(qid),
-            (_dot(qq["qv"], F.col("v")) / (qq["qn"] * F.col("vn"))).alias("score")))).alias("s")
-        ).select(F.col(f"s.{qid}").alias(qid), did, "s.score")
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
-        return corpus.sparkSession.createDataFrame([], f"{qid} string, rank int, {did} bigint, score double")
-    return _rank(out, qid, did, k).select(qid, "rank", did, "score")
-
-
-def cosine_topk_blocked(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "label",
-                        did: str = "vec_id", vec: str = "embedding", block_size: int = MAX_INLINE_QUERIES) -> DataFrame:
-    """Exact cosine top k for a query batch of any size, without the driver.
-
-    Queries are hashed into B = ceil(Q / block_size) blocks and every corpus
-    row is replicated once per block, so the equi-join on the block id forms
-    each (query, document) pair exactly once, spread over B join keys; the
-    partial top k per query runs before the final shuffle.
-    """
-    n_q = queries.select(qid).distinct().count()
-    blocks = max(1, -(-n_q // block_size))
-    dbl = lambda c: F.transform(F.col(c), lambda x: x.cast("double"))
-    q = queries.select(qid, dbl(vec).alias("qv"), F.pmod(F.xxhash64(qid), F.lit(blocks)).alias("_b"))
-    q = q.withColumn("qn", F.sqrt(_dot(F.col("qv"), F.col("qv"))))
-    d = corpus.select(did, dbl(vec).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
-    d = d.withColumn("vn", F.sqrt(_dot(F.col("v"), F.col("v"))))
-    scored = q.join(d, "_b").select(qid, did, (_dot(F.col("qv"), F.col("v")) / (F.col("qn") * F.col("vn"))).alias("score"))
-    return _rank(scored, qid, did, k).select(qid, "rank", did, "score")
+    A null vector takes no part; one of length zero scores 0."""
+    as_double = F.col(vec).cast("array<double>").alias(vec)
+    asked = queries.select(qid, as_double).filter(F.col(vec).isNotNull())
+    docs = corpus.select(did, as_double).filter(F.col(vec).isNotNull())
+    best = top_k(docs, queries, qid, did, k, _vector_blocks(asked.toLocalIterator(), qid, vec), _vector_scorer)
+    return _rank(best, qid, did, k).select(qid, "rank", did, "score")
 
 
 # --- J4 / J5 / A7 --------------------------------------------------------------------

@@ -11,7 +11,7 @@ the shuffle join.  So a broadcast never rests on a guess about data size.
 "First"/"best" picks are ``min``/``max`` of a struct whose leading fields
 are the ordering key: a hash aggregate with map-side partial aggregation, so
 a hot key (one slot wanted by a third of all requests) is reduced to one row
-per map task before the shuffle.
+per map task before the shuffle and before it meets a join.
 """
 
 from __future__ import annotations
@@ -158,27 +158,29 @@ def book(requests: DataFrame, slots: DataFrame, doctors: DataFrame) -> dict[str,
     wins it; every other request (a loser, or one for a closed or unknown
     slot) is rejected.  Returns ``accepted``, ``rejected`` and ``slots_after``
     (the slot table with won slots closed).
+
+    Requests are reduced to the earliest of each slot before any join (partial
+    aggregation, so a hot slot leaves a map task as one row).  ``rejected``
+    compares requests with winners on (slot, request), which no slot makes hot.
     """
-    o = open_slots(slots, doctors)
-    # One aggregation per open slot that has requests: the earliest request
-    # wins; the slot's details are functionally dependent on slot_id, so they
-    # ride along as grouping keys instead of being joined back afterwards.
-    detail = ["slot_id", "doctor_name", "hospital", "specialty", "date", "time"]
-    winners = (requests.join(o, "slot_id")
-               .groupBy(*detail)
-               .agg(F.min(F.struct("requested_at", "request_id", "patient_id")).alias("w"))
-               .select(*detail, F.col("w.request_id").alias("request_id"), F.col("w.patient_id").alias("patient_id")))
-    accepted = winners.select(
-        "request_id", "slot_id", "patient_id", "doctor_name", "hospital", "specialty",
+    first = (requests.filter(F.col("slot_id").isNotNull()).groupBy("slot_id")
+             .agg(F.min(F.struct("requested_at", "request_id", "patient_id")).alias("w")))
+    staff = doctors.select(F.col("id").alias("doctor_id"), F.col("name").alias("doctor_name"), "hospital", "specialty")
+    wanted = slots.filter(F.col("available") == 1).join(first.withColumnRenamed("slot_id", "id"), "id")
+    accepted = wanted.join(staff, "doctor_id").select(
+        F.col("w.request_id").alias("request_id"), F.col("id").alias("slot_id"), F.col("w.patient_id").alias("patient_id"),
+        "doctor_id", "doctor_name", "hospital", "specialty",
         F.col("date").alias("appointment_date"), F.col("time").alias("appointment_time"),
-        F.lit("Scheduled").alias("urgency"), F.lit("Confirmed").alias("status"))
-    rejected = (requests.join(winners.select("slot_id", "request_id"), ["slot_id", "request_id"], "left_anti")
+        F.lit("Scheduled").alias("urgency"), F.lit("Confirmed").alias("status"),
+        F.col("w.requested_at").alias("created_at"))
+    rejected = (requests.join(accepted.select("slot_id", "request_id"), ["slot_id", "request_id"], "left_anti")
                 .select("request_id", "slot_id", F.lit("failed").alias("status"),
                         F.lit("Slot not available or does not exist").alias("message")))
-    taken = winners.select(F.col("slot_id").alias("id"), F.lit(True).alias("taken"))
-    slots_after = (slots.join(taken, "id", "left")
-                   .select(*[F.when(F.col("taken"), F.lit(0)).otherwise(F.col("available")).cast("int").alias("available")
-                             if c == "available" else F.col(c) for c in slots.columns]))
+    taken = (slots.join(first.select(F.col("slot_id").alias("id"), F.lit(True).alias("_wanted")), "id", "left")
+             .join(doctors.select(F.col("id").alias("doctor_id"), F.lit(True).alias("_known")).distinct(), "doctor_id", "left"))
+    won = (F.col("available") == 1) & F.col("_wanted") & F.col("_known")
+    slots_after = taken.select(*[F.when(won, F.lit(0)).otherwise(F.col("available")).cast("int").alias("available")
+                                 if c == "available" else F.col(c) for c in slots.columns])
     return {"accepted": accepted, "rejected": rejected, "slots_after": slots_after}
 
 

@@ -9,7 +9,7 @@ from wardlake import constants as K
 from wardlake.functions.text import sql_whitespace_tokens, sql_word_tokens
 from wardlake.operators import retrieval as RT
 from wardlake.plans.registry import register
-from wardlake.sources.tables import table
+from wardlake.sources.tables import data_version, table
 
 K3 = K.RETRIEVAL_TOP_K
 
@@ -17,12 +17,13 @@ _INDEXES: dict = {}
 
 
 def corpus_index(spark, sf) -> RT.TfidfIndex:
-    """The TF-IDF index of the document corpus, built once per session and
-    dataset and searched by every TF-IDF query (as the guideline index is
+    """The TF-IDF index of the document corpus, built once per session and state
+    of the files and searched by every TF-IDF query (as the guideline index is
     built once and queried per request)."""
-    key = (spark.sparkContext.applicationId, sf)
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, sf, data_version(docs))
     if key not in _INDEXES:
-        _INDEXES[key] = RT.build_tfidf_index(table(spark, sf, "documents"))
+        _INDEXES[key] = RT.build_tfidf_index(docs)
     return _INDEXES[key]
 
 
@@ -78,15 +79,38 @@ def tfidf_topk(spark, sf):
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"))
 
 
-@register("retrieve_fallback", lambda: ("""SELECT item_id, rank, doc_id, round(score, 3) AS score, 'tfidf' AS method
-    FROM t_rank""", tfidf_ctes("SELECT item_id, text FROM benchmark", "item_id")))
+#: The view behind ``retrieve_fallback``: an item's vector is the embedding numbered
+#: 25 times its id, where there is one; a document's is the embedding of its id.
+ITEM_VECTOR_STEP = 25
+
+
+def _fallback_sql() -> tuple[str, dict]:
+    return ("""SELECT item_id, rank, doc_id, round(score, 3) AS score, 'vector' AS method FROM v_rank
+        UNION ALL SELECT item_id, rank, doc_id, round(score, 3) AS score, 'tfidf' AS method FROM t_rank
+        WHERE item_id NOT IN (SELECT item_id FROM v_rank)""", {
+        **tfidf_ctes("SELECT item_id, text FROM benchmark", "item_id"),
+        "v_q": f"""SELECT item_id, CAST(embedding AS DOUBLE[]) AS qv FROM benchmark
+            JOIN embeddings ON vec_id = item_id * {ITEM_VECTOR_STEP}""",
+        "v_d": "SELECT doc_id, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON vec_id = doc_id",
+        "v_s": """SELECT item_id, doc_id, list_dot_product(qv, v)
+            / (sqrt(list_dot_product(qv, qv)) * sqrt(list_dot_product(v, v))) AS score FROM v_q CROSS JOIN v_d""",
+        "v_rank": f"""SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, {RT.RANK_DIGITS}) DESC, doc_id) AS rank
+            FROM v_s) x WHERE rank <= {K3}"""})
+
+
+@register("retrieve_fallback", _fallback_sql)
 def retrieve_fallback(spark, sf):
-    """Per query: vector results if it has an embedding (benchmark items do
-    not), else TF-IDF, else token overlap."""
+    """Per query: vector results if it has an embedding, else TF-IDF, else token overlap."""
     q, d = table(spark, sf, "benchmark"), table(spark, sf, "documents")
+    vectors = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    q = q.join(vectors, vectors["vec_id"] == q["item_id"] * ITEM_VECTOR_STEP, "left").select("item_id", "text", "embedding")
+    doc_vectors = d.select("doc_id").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id")
     idx = corpus_index(spark, sf)
-    r = RT.retrieve_with_fallback(q, [("tfidf", lambda qs: RT.tfidf_search(idx, qs, K3)),
-                                      ("overlap", lambda qs: RT.overlap_topk(qs, d, K3))])
+    r = RT.retrieve_with_fallback(q, [
+        ("vector", lambda qs: RT.cosine_topk(qs, doc_vectors, K3, "item_id", "doc_id")),
+        ("tfidf", lambda qs: RT.tfidf_search(idx, qs, K3)),
+        ("overlap", lambda qs: RT.overlap_topk(qs, d, K3).withColumn("score", F.col("score").cast("double")))])
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"), "method")
 
 
@@ -95,19 +119,26 @@ def _rag_query_text(symptoms, history):
                        F.split(F.coalesce(history, F.lit("")), ", ", -1))
 
 
-@register("rag_explanations", lambda: (f"""SELECT q.query, coalesce(e.explanation, '{K.NO_GUIDELINE}') AS explanation
-    FROM (SELECT DISTINCT query FROM rq) q LEFT JOIN (
-      SELECT query, string_agg('From ' || d.source || ': ' || substr(d.text, 1, {K.RETRIEVAL_TEXT_CHARS}), ' ' ORDER BY rank)
-        AS explanation FROM t_rank JOIN documents d USING (doc_id) GROUP BY query) e USING (query)""", {
-    "rq": """SELECT array_to_string(list_concat(string_split(coalesce(symptoms, ''), ', '),
-                                               string_split(coalesce(history, ''), ', ')), ' ') AS query FROM cases_v""",
-    **tfidf_ctes("SELECT DISTINCT query, query AS text FROM rq", "query")}))
-def rag_explanations(spark, sf):
-    """One explanation per distinct case query text (symptoms + history).
-    Distinct query texts are retrieved once and can be joined back to cases."""
+def _explained_ctes() -> dict[str, str]:
+    return {
+        "rq": """SELECT case_id, array_to_string(list_concat(string_split(coalesce(symptoms, ''), ', '),
+                   string_split(coalesce(history, ''), ', ')), ' ') AS query FROM cases_v""",
+        **tfidf_ctes("SELECT DISTINCT query, query AS text FROM rq", "query"),
+        "explained": f"""SELECT q.query, coalesce(e.explanation, '{K.NO_GUIDELINE}') AS explanation
+            FROM (SELECT DISTINCT query FROM rq) q LEFT JOIN (
+              SELECT query, string_agg('From ' || d.source || ': ' || substr(d.text, 1, {K.RETRIEVAL_TEXT_CHARS}), ' '
+                ORDER BY rank) AS explanation FROM t_rank JOIN documents d USING (doc_id) GROUP BY query) e USING (query)"""}
+
+
+def _case_queries(spark, sf):
     from wardlake.sources import fixtures as V
-    c = V.cases_v(spark, sf)
-    qs = c.select(_rag_query_text(F.col("symptoms"), F.col("history")).alias("query")).distinct()
+    return V.cases_v(spark, sf).select("case_id", _rag_query_text(F.col("symptoms"), F.col("history")).alias("query"))
+
+
+@register("rag_explanations", lambda: ("SELECT query, explanation FROM explained", _explained_ctes()))
+def rag_explanations(spark, sf):
+    """One explanation per distinct case query text (symptoms + history)."""
+    qs = _case_queries(spark, sf).select("query").distinct()
     docs = table(spark, sf, "documents")
     res = RT.tfidf_search(corpus_index(spark, sf), qs.withColumn("text", F.col("query")), K3, qid="query")
     ex = RT.explanations(res, docs, "query")
@@ -115,6 +146,12 @@ def rag_explanations(spark, sf):
         "query", F.coalesce("explanation", F.lit(K.NO_GUIDELINE)).alias("explanation"))
 
 
+@register("case_explanations", lambda: ("SELECT case_id, explanation FROM rq JOIN explained USING (query)", _explained_ctes()))
+def case_explanations(spark, sf):
+    """J5 per case: each distinct query text is searched once and joined back to its cases."""
+    return _case_queries(spark, sf).join(rag_explanations(spark, sf), "query").select("case_id", "explanation")
+
+
 def _cos_sql() -> tuple[str, dict]:
     return (f"""SELECT label, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 3) AS score FROM (
         SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, {RT.RANK_DIGITS}) DESC, vec_id) AS rank

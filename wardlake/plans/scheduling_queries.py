@@ -145,14 +145,15 @@ def pick_slot_fallback(spark, sf):
 
 _BOOK_CTES = {
     "open_s": _OPEN,
-    "winners": """SELECT slot_id, request_id, patient_id FROM (
+    "winners": """SELECT slot_id, request_id, patient_id, requested_at FROM (
         SELECT r.*, row_number() OVER (PARTITION BY r.slot_id ORDER BY r.requested_at, r.request_id) AS rn
         FROM requests_v r JOIN open_s o ON r.slot_id = o.slot_id) x WHERE rn = 1""",
 }
 
 
-@register("book_slots", ("""SELECT w.request_id, w.slot_id, w.patient_id, o.doctor_name, o.hospital, o.specialty,
-    o.date AS appointment_date, o.time AS appointment_time, 'Scheduled' AS urgency, 'Confirmed' AS status
+@register("book_slots", ("""SELECT w.request_id, w.slot_id, w.patient_id, o.doctor_id, o.doctor_name, o.hospital,
+    o.specialty, o.date AS appointment_date, o.time AS appointment_time, 'Scheduled' AS urgency, 'Confirmed' AS status,
+    w.requested_at AS created_at
     FROM winners w JOIN open_s o ON w.slot_id = o.slot_id""", _BOOK_CTES))
 def book_slots(spark, sf):
     return S.book(V.requests_v(spark, sf), V.slots_v(spark, sf), V.doctors_v(spark, sf))["accepted"]
