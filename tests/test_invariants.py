@@ -114,6 +114,16 @@ def test_inline_rule_matcher_equals_qgram_join(spark):
     assert sorted(rows(inline)) == sorted(rows(joined))
 
 
+def test_rule_answers_of_a_table_equal_those_of_a_list(spark):
+    c = V.cases_v(spark, SF_SMALL)
+    st, ht = M.case_texts(F.col("symptoms"), F.col("history"))
+    names = ["case_id", "n_rules", "recommended_specialty", "priority", "risk_score", "confidence", "explanation",
+             "posterior_risk", "risk_percentage"]
+    listed = M.with_rule_scores(c, st, ht).select(*names)
+    joined = M.rule_scores_join(c, "case_id", st, ht, M.rules_frame(spark)).select(*names)
+    assert sorted(rows(listed)) == sorted(rows(joined))
+
+
 def test_session_replay_equals_turn_by_turn(spark):
     m = V.messages_v(spark, SF_SMALL)
     f = CH.message_features(m).collect()

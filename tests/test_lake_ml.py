@@ -118,7 +118,11 @@ def test_weighted_risk_and_boosted(spark):
     from wardlake.plans.ml_queries import model_inputs
     data = model_inputs(spark, SF_SMALL).withColumn("label", F.col("risk").cast("double"))
     m = ML.boosted_model(data, ML.FEATURES, "label", max_iter=3)
-    assert m.transform(data).select("prediction").distinct().count() >= 1
+    scored = ML.boosted_probabilities(m, data).select("label", "probability").collect()
+    assert all(len(r.probability) == 3 and abs(sum(r.probability) - 1) < 1e-9 for r in scored)
+    right = sum(r.probability.index(max(r.probability)) == r.label for r in scored)
+    largest = max(sum(r.label == c for r in scored) for c in (0.0, 1.0, 2.0))
+    assert right > largest  # better than always naming the commonest class
 
 
 def test_seed_if_empty_and_upload_validation(spark):

@@ -17,15 +17,6 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Guard: generated expressions are meant for dictionaries of bounded size.
-MAX_INLINE_PHRASES = 2000
-
-
-def _check(n: int) -> None:
-    if n > MAX_INLINE_PHRASES:
-        raise ValueError(f"{n} phrases exceed the inline limit {MAX_INLINE_PHRASES}; use a join-based matcher")
-
-
 def lower_join(*cols: Column | str, sep: str = " ") -> Column:
     """lower(c1 + sep + c2 ...) with nulls treated as ''."""
     parts = [F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in cols]
@@ -34,7 +25,6 @@ def lower_join(*cols: Column | str, sep: str = " ") -> Column:
 
 def any_contains(text: Column, phrases: Iterable[str]) -> Column:
     phrases = list(phrases)
-    _check(len(phrases))
     cond = F.lit(False)
     for p in phrases:
         cond = cond | text.contains(p)
@@ -43,7 +33,6 @@ def any_contains(text: Column, phrases: Iterable[str]) -> Column:
 
 def first_match(text: Column, rules: Sequence[tuple[Sequence[str], object]], default: Column) -> Column:
     """Value of the first rule whose phrases occur in ``text``; else ``default``."""
-    _check(sum(len(p) for p, _ in rules))
     expr = None
     for phrases, value in rules:
         cond = any_contains(text, phrases)
@@ -53,7 +42,6 @@ def first_match(text: Column, rules: Sequence[tuple[Sequence[str], object]], def
 
 def points(text: Column, table: Sequence[tuple[Sequence[str], int]]) -> Column:
     """Sum of the points of every rule with at least one phrase present."""
-    _check(sum(len(p) for p, _ in table))
     total = F.lit(0)
     for phrases, pts in table:
         total = total + F.when(any_contains(text, phrases), F.lit(pts)).otherwise(F.lit(0))
@@ -62,7 +50,6 @@ def points(text: Column, table: Sequence[tuple[Sequence[str], int]]) -> Column:
 
 def found(text: Column, phrases: Sequence[str]) -> Column:
     """array<string> of the phrases present, in list order."""
-    _check(len(phrases))
     return F.filter(
         F.array(*[F.when(text.contains(p), F.lit(p)) for p in phrases]),
         lambda x: x.isNotNull(),

@@ -2,8 +2,7 @@
 (C5, C6, D15-D20, D17, H15, H17-H19, H31, G-4).
 
 A case matches a rule when the rule keyword is a substring of the case text.
-The rule table is a small dimension, so the default matcher turns it into one
-boolean column per rule.  All per-case answers are then plain CASE
+A rule list kept in code becomes one boolean column per rule.  All per-case answers are then plain CASE
 arithmetic over those flags, inside whole-stage codegen:
 - score, count and the Bayesian product are sums and products of CASE terms;
 - the priority is a greatest() of ranks;
@@ -13,9 +12,9 @@ arithmetic over those flags, inside whole-stage codegen:
 The job is map-only (no join, no shuffle), whatever the number of cases or
 the skew of their content.
 
-For a rule table too large to inline (above ``MAX_INLINE_RULES``, checked
-with a bounded count) ``match_rules_join`` gives the exact same matches with
-an equi-join on q-grams: every occurrence of a keyword starts with the
+Rules given as a DataFrame, of any number, never reach the driver:
+``match_rules_join`` gives the exact same matches with
+an equi-join on q-grams, and ``rule_scores_join`` the same answers: every occurrence of a keyword starts with the
 keyword's first q characters, so joining the text's q-grams against keyword
 prefixes finds every candidate, and ``contains`` confirms it.
 """
@@ -32,8 +31,6 @@ from wardlake import constants as K
 from wardlake.functions import clinical as C
 from wardlake.functions.rules import q as sql_q
 
-MAX_INLINE_RULES = 2000
-
 RULE_SCHEMA = T.StructType([
     T.StructField("id", T.IntegerType(), False),
     T.StructField("keyword", T.StringType(), False),
@@ -56,18 +53,6 @@ def rules_projection(rules: DataFrame) -> DataFrame:
     return rules.select(*[c for c in rules.columns if c != "id"])
 
 
-def _rule_rows(rules) -> list[tuple]:
-    """Rule rows from a list or a (size-checked) DataFrame, in id order."""
-    if isinstance(rules, DataFrame):
-        n = rules.limit(MAX_INLINE_RULES + 1).count()
-        if n > MAX_INLINE_RULES:
-            raise ValueError("rule table too large to inline; use match_rules_join")
-        rows = [tuple(r) for r in rules.select(*RULE_SCHEMA.fieldNames()).orderBy("id").collect()]
-    else:
-        rows = sorted(rules, key=lambda r: r[0])
-    return rows
-
-
 def case_texts(symptoms: Column, history: Column) -> tuple[Column, Column]:
     """Texts the rule agent reads: the ', '-lists joined by spaces, lowered;
     blank symptoms count as 'general', blank history as ''."""
@@ -94,7 +79,7 @@ def with_rule_flags(df: DataFrame, symptom_text: Column, history_text: Column,
     """Add one boolean column per rule (keyword found in the text its
     category reads).  The two texts are computed once; every flag is read by
     the score columns, so Catalyst keeps them as one projection."""
-    rows = _rule_rows(rules)
+    rows = sorted(rules, key=lambda r: r[0])
     d = df.select("*", symptom_text.alias("_st"), history_text.alias("_ht"))
     d = d.select("*", *[(F.col("_st") if cat == "symptom" else F.col("_ht")).contains(kw.lower()).alias(f"_rule_{rid}")
                         for rid, kw, cat, *_ in rows])
@@ -158,23 +143,49 @@ def rule_score_columns(flags: list[tuple[tuple, Column]]) -> dict[str, Column]:
     prod10 = F.lit(1.0)  # tenths: exact below 2^53, no overflow above, any multiplier
     for r, f in flags:
         prod10 = prod10 * F.when(f, F.lit(round(r[6] * 10.0, 9))).otherwise(F.lit(1.0))
+    return _answers(has, n, score, _argmax(groups), prio, prod10,
+                    F.concat_ws(" | ", *[F.when(f, F.lit(r[7])) for r, f in flags]))
+
+
+def _answers(has: Column, n: Column, score: Column, specialty: Column, priority: Column, prod10: Column,
+             explanation: Column) -> dict[str, Column]:
     posterior = F.least(prod10 / F.pow(F.lit(10.0), n + 1), F.lit(K.BAYES_CAP))
     pct = F.least(prod10 / F.pow(F.lit(10.0), n - 1), F.lit(K.BAYES_CAP * 100))
     return {
         "n_rules": n,
-        "recommended_specialty": F.when(has, _argmax(groups)).otherwise(F.lit(K.NO_RULE_DEFAULT[0])),
-        "priority": F.when(has, prio).otherwise(F.lit(K.NO_RULE_DEFAULT[1])),
+        "recommended_specialty": F.when(has, specialty).otherwise(F.lit(K.NO_RULE_DEFAULT[0])),
+        "priority": F.when(has, priority).otherwise(F.lit(K.NO_RULE_DEFAULT[1])),
         "risk_score": F.when(has, score).otherwise(F.lit(K.NO_RULE_DEFAULT[2])),
         "confidence": F.when(has, F.least(score / 100.0, F.lit(K.RULE_CONFIDENCE_CAP)))
                        .otherwise(F.lit(K.NO_RULE_DEFAULT[3])),
-        "explanation": F.when(has, F.concat_ws(" | ", *[F.when(f, F.lit(r[7])) for r, f in flags]))
-                        .otherwise(F.lit(K.NO_RULE_EXPLANATION)),
+        "explanation": F.when(has, explanation).otherwise(F.lit(K.NO_RULE_EXPLANATION)),
         # Bayesian-style update: prior 0.10 times every matched multiplier, capped.
         "posterior_risk": F.round(F.when(has, posterior).otherwise(F.lit(K.BAYES_PRIOR)), 2),
         "risk_percentage": F.round(F.when(has, pct).otherwise(F.lit(K.BAYES_PRIOR * 100)), 2),
     }
 
 
+def rule_scores_join(cases: DataFrame, key: str, symptom_text: Column, history_text: Column,
+                     rules: DataFrame) -> DataFrame:
+    """``cases`` plus the rule answers, for a rule table of any size: the matches of
+    ``match_rules_join`` summed per (case, specialty) and then per case."""
+    ranks = F.create_map(*[F.lit(x) for pair in K.PRIORITY_RANK.items() for x in pair])
+    names = F.create_map(*[F.lit(x) for name, rank in K.PRIORITY_RANK.items() for x in (rank, name)])
+    per_specialty = match_rules_join(cases, key, symptom_text, history_text, rules).groupBy(key, "specialty").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("points").alias("s"), F.min("rule_id").alias("f"),
+        F.max(ranks[F.col("priority")]).alias("r"), F.product(F.round(F.col("multiplier") * 10.0, 9)).alias("p"),
+        F.collect_list(F.struct("rule_id", "explanation")).alias("e"))
+    per_case = per_specialty.groupBy(key).agg(
+        F.sum("n").alias("_n"), F.sum("s").alias("_s"), F.max("r").alias("_r"), F.product("p").alias("_p"),
+        F.max(F.struct("s", (-F.col("f")).alias("f"), "specialty"))["specialty"].alias("_spec"),
+        F.array_sort(F.flatten(F.collect_list("e"))).alias("_e"))
+    j = cases.join(per_case, key, "left")
+    n = F.coalesce(F.col("_n"), F.lit(0)).cast("int")
+    answers = _answers(F.col("_n").isNotNull(), n, F.col("_s").cast("int"), F.col("_spec"), names[F.col("_r")], F.col("_p"),
+                       F.array_join(F.transform("_e", lambda x: x["explanation"]), " | "))
+    return j.select(*cases.columns, *[v.alias(k) for k, v in answers.items()])
+
+
 def with_rule_scores(df: DataFrame, symptom_text: Column, history_text: Column, rules=K.HEALTH_RULES,
                      keep_flags: bool = False) -> DataFrame:
     """``df`` plus the rule answers (n_rules, recommended_specialty, priority,

@@ -127,22 +127,41 @@ def weighted_risk(prob: Column, classes: list[str] = K.ML_CLASSES) -> dict[str,
     }
 
 
-def standardize(df: DataFrame, cols: list[str], key: str) -> DataFrame:
+def standardize(df: DataFrame, cols: list[str], key: str, fit_on: DataFrame | None = None,
+                keep: list[str] | None = None) -> DataFrame:
     """I8: (x - mean) / population std per column (std 0 -> 1, as the
-    original scaler).  The 2 x len(cols) statistics are one global aggregate
-    (partial per partition), read as literals: no join with a one-row table."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
+    original scaler), with the statistics of ``fit_on`` (``df`` by default) and
+    the columns ``keep`` carried along.  The 2 x len(cols) statistics are one
+    global aggregate (partial per partition), read as literals: no join with a
+    one-row table."""
+    stats = (df if fit_on is None else fit_on).agg(
+        *[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).first()
     out = []
     for c in cols:
         m, s = stats[f"m_{c}"], stats[f"s_{c}"]
         s = 1.0 if not s else s
         out.append(((F.col(c) - F.lit(m)) / F.lit(s)).alias(c))
-    return df.select(key, *out)
+    return df.select(key, *(keep or []), *out)
 
 
 def boosted_model(df: DataFrame, features: list[str], label: str = "label", max_iter: int = 100) -> PipelineModel:
     """Three risk classes with gradient-boosted trees.  Spark's GBT is
-    binary, so one-vs-rest over 100-tree, depth-4 binary GBTs."""
+    binary, so one-vs-rest over 100-tree, depth-4 binary GBTs, fitted side by side."""
     gbt = GBTClassifier(maxIter=max_iter, maxDepth=4, seed=K.RF_SEED)
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"),
-                            OneVsRest(classifier=gbt, labelCol=label, featuresCol="features")]).fit(df)
+                            OneVsRest(classifier=gbt, labelCol=label, featuresCol="features",
+                                      parallelism=len(K.ML_CLASSES))]).fit(df)
+
+
+def boosted_probabilities(model: PipelineModel, df: DataFrame, name: str = "probability") -> DataFrame:
+    """``df`` plus the class probabilities: each one-vs-rest probability over their sum."""
+    assembler, one_vs_rest = model.stages
+    scored = assembler.transform(df)
+    parts = []
+    for i, part in enumerate(one_vs_rest.models):
+        part = part.copy()
+        part.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}")
+        scored = part.transform(scored)
+        parts.append(F.element_at(vector_to_array(f"_p{i}"), 2))
+    total = sum(parts[1:], parts[0])
+    return scored.select(*df.columns, F.array(*[p / total for p in parts]).alias(name))

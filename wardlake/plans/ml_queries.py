@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from wardlake import constants as K
 from wardlake.functions import clinical as C
 from wardlake.operators import ml as ML
 from wardlake.plans.registry import register
 from wardlake.sources import fixtures as V
+from wardlake.sources.tables import data_version, table
 
 _FEATS13 = C.FEATURE_NAMES
 
@@ -80,52 +82,62 @@ def standardize(spark, sf):
 _MODELS: dict = {}
 
 
-def risk_model(spark, sf):
-    """The random-forest risk model for this dataset, fitted once per
-    session and dataset (a fitted model is reused, never refitted per query)."""
-    key = (spark.sparkContext.applicationId, sf)
+def _fitted(spark, sf, kind: str, fit):
+    """A model fitted once per session and state of the files that it learns from."""
+    key = (spark.sparkContext.applicationId, sf, kind, data_version(table(spark, sf, "events")))
     if key not in _MODELS:
-        _MODELS[key] = ML.train_risk_model(model_inputs(spark, sf), "risk", ML.FEATURES, split_key="case_id")
+        _MODELS[key] = fit()
     return _MODELS[key]
 
 
+def risk_model(spark, sf):
+    """The random-forest risk model of all cases' 80 % split."""
+    return _fitted(spark, sf, "forest", lambda: ML.train_risk_model(
+        model_inputs(spark, sf), "risk", ML.FEATURES, split_key="case_id"))
+
+
 @register("ml_predictions")
 def ml_predictions(spark, sf):
-    """Random-forest risk model trained on the 80 % split of all cases and
-    applied to the other 20 %: label name, probability map, expected risk.
+    """Random-forest risk model trained on the 80 % split of all cases and
+    applied to the other 20 %: the inputs, label, class probabilities and expected risk.
     (A fitted model, so there is no SQL twin; the driver checks row counts.)"""
     data = model_inputs(spark, sf)
     model, _ = risk_model(spark, sf)
-    test = ML.hash_split(data, "case_id").filter(F.col("split") == "test").drop("split")
+    test = ML.hash_split(data.dropna(), "case_id").filter(F.col("split") == "test").drop("split")
+    names = F.create_map(*[F.lit(x) for i, label in K.SPARK_ML_LABELS.items() for x in (label, float(i))])
     return ML.predict_risk(model, test).select(
-        "case_id", "risk", "prediction_label", "risk_score")
+        "case_id", *ML.FEATURES, "risk", names[F.col("prediction_label")].alias("prediction"), "prediction_label",
+        F.map_values("probabilities").alias("probability"), "risk_score")
 
 
 @register("accuracy")
 def accuracy(spark, sf):
     """Rows used and accuracy of the random-forest risk model on its
     held-out 20 % (a fitted model: rows-only check)."""
-    _, metrics = risk_model(spark, sf)
-    # the evaluator already scored the held-out split during training
-    return spark.createDataFrame([(metrics["rows"], metrics["accuracy"])], "rows long, accuracy double")
+    model, _ = risk_model(spark, sf)
+    scored = model.transform(ML.hash_split(model_inputs(spark, sf).dropna(), "case_id"))
+    right = (F.col("prediction") == F.col("risk")).cast("double")
+    return scored.agg(F.count(F.lit(1)).alias("rows"),
+                      F.round(F.avg(F.when(F.col("split") == "test", right)), 3).alias("accuracy"))
+
+
+def _labelled_features(spark, sf):
+    from wardlake.plans.rule_queries import _features_text
+    return ML.hash_split(V.cases_v(spark, sf).select(
+        "case_id", *C.risk_feature_columns(_features_text(), "age", "bp", "heart_rate", "cholesterol"),
+        C.risk_label(C.risk_score(F.col("symptoms"), F.col("age"))).cast("double").alias("label")), "case_id")
 
 
 @register("weighted_risk")
 def weighted_risk(spark, sf):
-    """Three-class risk model on the 13 risk features (labels by
-    the 0-100 rule score: >=70 High, >=40 Medium, else Low), standardised
-    with the population std; per held-out case the predicted class,
+    """Boosted three-class risk model on the 13 risk features (labels by
+    the 0-100 rule score: >=70 High, >=40 Medium, else Low), standardised with
+    the statistics of the training rows; per held-out case the predicted class,
     confidence, uncertainty and weighted risk percentage."""
-    from pyspark.ml.functions import vector_to_array
-
-    from wardlake.plans.rule_queries import _features_text
-    c = V.cases_v(spark, sf)
-    f = c.select("case_id", *C.risk_feature_columns(_features_text(), "age", "bp", "heart_rate", "cholesterol"),
-                 C.risk_label(C.risk_score(F.col("symptoms"), F.col("age"))).cast("double").alias("label"))
-    z = ML.standardize(f, _FEATS13, "case_id").join(f.select("case_id", "label"), "case_id")
-    model, _ = ML.train_risk_model(z, "label", _FEATS13, split_key="case_id")
-    test = ML.hash_split(z, "case_id").filter(F.col("split") == "test")
-    p = model.transform(test).withColumn("p", vector_to_array("probability"))
-    p = p.withColumn("p", F.concat("p", F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), 3 - F.size("p")))))
-    w = ML.weighted_risk(F.col("p"))
-    return p.select("case_id", *[v.alias(k) for k, v in w.items()])
+    f = _labelled_features(spark, sf)
+    train = f.filter(F.col("split") == "train")
+    z = ML.standardize(f, _FEATS13, "case_id", fit_on=train, keep=["label", "split"])
+    model = _fitted(spark, sf, "boosted", lambda: ML.boosted_model(z.filter(F.col("split") == "train"), _FEATS13))
+    test = z.filter(F.col("split") == "test").select("case_id", *_FEATS13)
+    w = ML.weighted_risk(F.col("probability"))
+    return ML.boosted_probabilities(model, test).select("case_id", *[v.alias(k) for k, v in w.items()])
