@@ -119,15 +119,20 @@ def xai_items(symptoms, age=None, items=K.CHAT_XAI_ITEMS) -> Column:
     return F.filter(F.array(*entries), lambda x: x.isNotNull())
 
 
-def sql_xai_items_rows(symptoms: str, age: str | None, items, key: str, source: str) -> str:
-    """Rows (key, item_ord, name, points) of the explanation list, as SQL."""
+def sql_xai_items(symptoms: str, age: str | None = None, items=K.CHAT_XAI_ITEMS) -> str:
+    """The explanation list, as SQL."""
     text = f"lower(coalesce({symptoms}, ''))"
     a = f"coalesce({age}, {K.DEFAULT_AGE})" if age else str(K.DEFAULT_AGE)
     entries = [f"CASE WHEN {R.sql_any_contains(text, p)} THEN {{'name': {q(n)}, 'points': {pts}}} END"
                for p, n, pts in items]
     entries.append(f"CASE WHEN {a} >= {K.RISK_AGE_CUT} THEN {{'name': 'Age (' || CAST({a} AS VARCHAR) || ')', "
                    f"'points': {K.XAI_AGE_POINTS}}} END")
-    arr = f"list_filter([{', '.join(entries)}], lambda x: x IS NOT NULL)"
+    return f"list_filter([{', '.join(entries)}], lambda x: x IS NOT NULL)"
+
+
+def sql_xai_items_rows(symptoms: str, age: str | None, items, key: str, source: str) -> str:
+    """Rows (key, item_ord, name, points) of the explanation list, as SQL."""
+    arr = sql_xai_items(symptoms, age, items)
     return (f"SELECT {key}, CAST(i AS INTEGER) AS item_ord, arr[i].name AS name, CAST(arr[i].points AS INTEGER) AS points "
             f"FROM (SELECT {key}, {arr} AS arr FROM {source}) s, range(1, len(arr) + 1) r(i)")
 

@@ -101,6 +101,14 @@ def dedupe_votes(votes: DataFrame) -> DataFrame:
     return v.groupBy("case_id", "model").agg(F.max_by(row, rank).alias("_row")).select("_row.*")
 
 
+def tallies(votes: DataFrame) -> DataFrame:
+    """(case_id, field, value, votes), for the fields urgency and specialty."""
+    ballots = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in ("urgency", "specialty")]))
+    return (dedupe_votes(votes).select("case_id", ballots.alias("b"))
+            .groupBy("case_id", F.col("b.field").alias("field"), F.col("b.value").alias("value"))
+            .agg(F.count(F.lit(1)).alias("votes")))
+
+
 def _per_case(votes: DataFrame, extra: list[str]) -> DataFrame:
     """(case_id, vs): the case's votes in model order.  After de-duplication
     a case holds at most one vote per model, so the list is bounded by the

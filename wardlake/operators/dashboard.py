@@ -63,19 +63,17 @@ TOTAL_METRICS = ("patients", "doctors", "appointments", "reports", "emergency_re
 
 
 def totals(patients: DataFrame, doctors: DataFrame, appointments: DataFrame, reports: DataFrame) -> DataFrame:
-    """One row of table counts.  Each table is reduced to a global count
-    (partial counts per partition, one row per table shuffled); the five
-    (metric, value) rows are pivoted into one row, so no join is needed."""
-    def metric(df: DataFrame, name: str, cond=None) -> DataFrame:
-        value = F.count(F.lit(1)) if cond is None else F.count_if(cond)
-        return df.agg(value.alias("value")).select(F.lit(name).alias("metric"), "value")
-
-    long = (metric(patients, "patients")
-            .unionByName(metric(doctors, "doctors"))
-            .unionByName(metric(appointments, "appointments"))
-            .unionByName(metric(reports, "reports"))
-            .unionByName(metric(reports, "emergency_reports", F.col("priority") == "Emergency")))
-    return long.groupBy().pivot("metric", list(TOTAL_METRICS)).agg(F.first("value")).select(*TOTAL_METRICS)
+    """One row of table counts.  Each table is scanned once and reduced to one row of
+    counts (partial counts per partition); a last aggregate lays the rows side by side."""
+    every = F.count(F.lit(1))
+
+    def counts(df: DataFrame, **values) -> DataFrame:
+        return df.agg(*[values.get(m, F.lit(0).cast("long")).alias(m) for m in TOTAL_METRICS])
+
+    rows = (counts(patients, patients=every).unionByName(counts(doctors, doctors=every))
+            .unionByName(counts(appointments, appointments=every))
+            .unionByName(counts(reports, reports=every, emergency_reports=F.count_if(F.col("priority") == "Emergency"))))
+    return rows.agg(*[F.sum(m).alias(m) for m in TOTAL_METRICS])
 
 
 def dashboard_bundle(reports: DataFrame, appointments: DataFrame, patients: DataFrame,

@@ -54,7 +54,8 @@ def available_doctors(doctors: DataFrame, specialty: str | None = None) -> DataF
     d = doctors.filter(F.col("available"))
     if specialty is not None:
         d = d.filter(F.col("specialty") == specialty)
-    return d.select("id", "name", "hospital", "specialty", "experience")
+    times = ["available_time"] if "available_time" in doctors.columns else []
+    return d.select("id", "name", "hospital", "specialty", "experience", *times)
 
 
 def best_doctor(doctors: DataFrame) -> DataFrame:

@@ -79,16 +79,19 @@ def _kb_sql(text: str) -> str:
 
 
 @register("case_analysis", lambda: f"""SELECT case_id, risk_score, {C.sql_risk_priority('risk_score')} AS priority,
-    recommended_specialty, {C.sql_risk_recommendation('risk_score')} AS recommendation, rag_medical_context
+    recommended_specialty, {C.sql_risk_recommendation('risk_score')} AS recommendation, rag_medical_context,
+    array_to_string(list_transform(xai, lambda x: x.name || ': ' || x.points), ', ') AS xai_details
     FROM (SELECT case_id, {C.sql_risk_score('symptoms')} AS risk_score,
-                 {C.sql_choose_specialty('symptoms')} AS recommended_specialty,
+                 {C.sql_choose_specialty('symptoms')} AS recommended_specialty, {C.sql_xai_items('symptoms')} AS xai,
                  {_kb_sql('symptoms')} AS rag_medical_context FROM cases_v) x""")
 def case_analysis(spark, sf):
-    """H7: chat analysis of the symptom message (default age), with the
-    three best-overlapping knowledge sentences."""
+    """H7: chat analysis of the symptom message (default age), with its
+    scored findings and the three best-overlapping knowledge sentences."""
     c = V.cases_v(spark, sf)
     score = C.risk_score(F.col("symptoms"))
     return c.select("case_id", score.alias("risk_score"), C.risk_priority(score).alias("priority"),
                     C.choose_specialty(F.col("symptoms")).alias("recommended_specialty"),
                     C.risk_recommendation(score).alias("recommendation"),
-                    RT.kb_overlap(F.col("symptoms")).alias("rag_medical_context"))
+                    RT.kb_overlap(F.col("symptoms")).alias("rag_medical_context"),
+                    F.array_join(F.transform(C.xai_items(F.col("symptoms")), lambda x: F.concat(
+                        x["name"], F.lit(": "), x["points"].cast("string"))), ", ").alias("xai_details"))

@@ -48,6 +48,12 @@ def vote_consensus(spark, sf):
     return CS.consensus(V.votes_v(spark, sf))
 
 
+@register("vote_tallies", lambda: ("""SELECT case_id, 'urgency' AS field, urgency AS value, n AS votes FROM uv
+    UNION ALL SELECT case_id, 'specialty', specialty, n FROM sv""", _vote_ctes("votes_v")))
+def vote_tallies(spark, sf):
+    return CS.tallies(V.votes_v(spark, sf))
+
+
 @register("vote_members", lambda: ("""SELECT case_id,
     string_agg(CASE WHEN (any_both AND both_) OR (NOT any_both AND on_u) THEN upper(model) END, ', ' ORDER BY model_ord)
       AS consensus_models,

@@ -104,6 +104,15 @@ def kg_matches(spark, sf):
             .select("case_id", "edge_ord", "symptom", "specialty", "weight", "risk"))
 
 
+@register("kg_specialty_scores", lambda: ("SELECT case_id, specialty, CAST(sum(weight) AS BIGINT) AS score FROM kg_hits GROUP BY 1, 2",
+                                          _kg_ctes()))
+def kg_specialty_scores(spark, sf):
+    """Summed edge weight of every (case, specialty) that a matched symptom leads to."""
+    c = V.cases_v(spark, sf)
+    hits = M.kg_match_rows(c, "case_id", M.kg_text(F.col("symptoms"), F.col("history")))
+    return hits.groupBy("case_id", "specialty").agg(F.sum("weight").alias("score"))
+
+
 @register("kg_scores", lambda: ("SELECT case_id, kg_specialty, kg_risk_score FROM kg_case", _kg_ctes()))
 def kg_scores(spark, sf):
     return kg_cases(spark, sf).select("case_id", "kg_specialty", "kg_risk_score")

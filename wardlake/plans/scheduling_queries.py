@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from wardlake import constants as K
 from wardlake.functions import clinical as C
+from wardlake.functions import timefn as T
 from wardlake.functions.rules import q
 from wardlake.operators import scheduling as S
 from wardlake.plans.registry import register
@@ -38,6 +39,35 @@ def find_doctors(spark, sf):
     return S.available_doctors(V.doctors_v(spark, sf))
 
 
+_TIMES = ("09:30 AM", "10:00 AM", "11:30 AM", "02:00 PM")
+
+
+@register("find_specialists", f"""SELECT id, name, hospital, specialty, experience, available_time FROM (
+    SELECT *, [{', '.join(q(t) for t in _TIMES)}][id % {len(_TIMES)} + 1] AS available_time FROM doctors_v) d
+    WHERE available AND specialty = 'Cardiology'""")
+def find_specialists(spark, sf):
+    """Doctors of exactly one specialty, with the time they are available."""
+    time = F.element_at(F.array(*[F.lit(t) for t in _TIMES]), (F.col("id") % len(_TIMES) + 1).cast("int"))
+    return S.available_doctors(V.doctors_v(spark, sf).withColumn("available_time", time), "Cardiology")
+
+
+@register("search_slots", ("""SELECT slot_id, doctor_name, hospital, specialty, date, time FROM open_s
+    WHERE hospital ILIKE '%PLANO%' AND specialty ILIKE 'c_rdio%'""", {"open_s": _OPEN}))
+def search_slots(spark, sf):
+    """Open slots by hospital and specialty patterns, whatever the case."""
+    return S.open_slots(V.slots_v(spark, sf), V.doctors_v(spark, sf), "%PLANO%", "c_rdio%")
+
+
+@register("slot_text_parts", f"""SELECT id, CAST(date AS VARCHAR) AS date,
+    CASE WHEN available = 1 THEN time ELSE '{K.DEFAULT_SLOT_TIME}' END AS time FROM slots_v""")
+def slot_text_parts(spark, sf):
+    """Date and time from one text; a closed slot's text has no time here."""
+    s = V.slots_v(spark, sf)
+    text = F.when(F.col("available") == 1, F.concat_ws(" ", "date", "time")).otherwise(F.col("date"))
+    date, time = T.split_date_time(text)
+    return s.select("id", date.alias("date"), time.alias("time"))
+
+
 @register("best_doctor", """SELECT specialty, doctor_id, doctor_name, experience FROM (
     SELECT specialty, id AS doctor_id, name AS doctor_name, experience,
            row_number() OVER (PARTITION BY specialty ORDER BY experience DESC, id ASC) AS rn
