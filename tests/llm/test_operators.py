@@ -209,6 +209,25 @@ def test_near_dedup_large_nodes(spark):
         assert brute.ordered(got.collect()) == want
 
 
+def test_near_dedup_keeps_links_in_deep_nodes(spark):
+    """Pairs just above the threshold among texts that share a passage: their nodes are large
+    for three rounds, and no link is lost."""
+    shared, docs = [f"b{i}" for i in range(84)], []
+    for i in range(200):
+        own = [f"o{i}x{j}" for j in range(16)]
+        other = list(own)
+        for j in (1, 4, 7, 10, 13):
+            other[j] = f"c{i}x{j}"
+        docs += [(2 * i, " ".join(shared + own)), (2 * i + 1, " ".join(shared + other))]
+    want = brute.ordered(brute.near_components(docs))
+    linked = sum(not r[3] for r in want)
+    assert linked == 200
+    got = minhash_dedup.groups(spark.createDataFrame(docs, "doc_id long, text string"), 2, small=2, rounds=3)
+    got = got.selectExpr("doc_id", "n_shingles", "component_id", "doc_id = component_id").collect()
+    assert brute.ordered(got) == want
+    assert all(minhash_dedup.missed(0.8, rounds) < 6e-5 for rounds in range(4))
+
+
 def test_keep_one(odd):
     kept = minhash_dedup.keep_one(odd).collect()
     ids = sorted((r["doc_id"] or 0) for r in kept)
