@@ -274,6 +274,22 @@ def test_license_scan(spark, odd):
     assert named[19] == "MIT-statement" and named[7] == ""
 
 
+def licenses_in(text):
+    data = text.encode()
+    return license_scan.Scanner(license_scan.TEMPLATES)(data, np.array([0, len(data)]))[0]
+
+
+def test_license_text_with_words_put_in():
+    words = license_scan.TEMPLATES["MIT"].split()
+    for k in (13, 60):
+        found = licenses_in(" ".join(words[:80] + [f"x{i}" for i in range(k)] + words[80:]))
+        assert [(x["license"], x["coverage"]) for x in found] == [("MIT", 1)]
+    found = licenses_in(" ".join(words[:80] + words[96:]))
+    assert [x["license"] for x in found] == ["MIT"] and found[0]["coverage"] > 0.88
+    found = licenses_in("Released under the MIT License. " * 3)
+    assert [(x["license"], x["first"]) for x in found] == [("MIT-statement", 0), ("MIT-statement", 5), ("MIT-statement", 10)]
+
+
 def test_license_scan_small_table(spark):
     wanted = {k: v.lower().rstrip(".") for k, v in license_scan.TEMPLATES.items() if k.endswith("statement")}
     got = {r["doc_id"]: r["licenses"].split(",") for r in queries.QUERIES["op8_license_scan"](spark, SF_MID).collect()}

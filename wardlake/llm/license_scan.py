@@ -7,11 +7,12 @@ template the least is kept, so a run of GRAM + WINNOW - 1 shared words always sh
 The inverted index from fingerprints to (template, place) is broadcast; templates of more
 than MAX_TEMPLATE_BYTES in all are refused.  Documents are not shuffled.
 
-Fingerprints of a document near one diagonal (place in the document less place in the
-template, within BAND) are one candidate; the whole template is aligned with the words
-around it in that band.  Coverage is the share of the template's words that the alignment
-matches; a match has at least ``coverage``.  Of overlapping matches of one template the
-best, then the first, is reported.
+A template is aligned with the words around the fingerprints shared with it, three times
+its length to each side, if they have enough of its words at all.  The alignment chains
+parts over words put in: a part of w words over fewer than 3 w.  Coverage is the share of
+the template's words that it matches; a match has at least ``coverage``.  Of overlapping
+matches of one template the best, then the first, is reported; the rest of the text is
+aligned anew.
 
 Defined cases: null and blank texts have no matches; a template of fewer than GRAM words
 is one fingerprint; templates without words, or null, are never found; repeated templates
@@ -80,49 +81,55 @@ def winnowed(marks: np.ndarray, window: int = WINNOW) -> list[int]:
     """Places of the least (the last of equals) of each window."""
     if len(marks) <= window:
         return [len(marks) - 1 - int(np.argmin(marks[::-1]))] if len(marks) else []
-    return sorted({i + window - 1 - int(np.argmin(marks[i:i + window][::-1])) for i in range(len(marks) - window + 1)})
-
-
-def aligned(template: list[int], words: list[int], diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(matched words of the template, first and last place in the document + 1) of the best
-    alignment of the whole template within ``band`` of the diagonal; 2 for a match, -1 for
-    a word changed, left out or put in."""
-    width = 2 * band + 1
-    low = diagonal - band  # the document's place for template place t and column c is t + low + c
-    nothing = (-10 ** 9, 0, 0, 0)
-    above = [(0, 0, low + c, low + c) for c in range(width)]  # score, matched, begin, end
-    for t, word in enumerate(template):
-        now: list[tuple[int, int, int, int]] = []
-        for c in range(width):
-            at = t + low + c
-            if 0 <= at < len(words):
-                s, m, b, _ = above[c]
-                b = b if m else at
-                best = (s + 2, m + 1, b, at + 1) if words[at] == word else (s - 1, m, b, above[c][3])
-            else:
-                best = nothing
-            if c + 1 < width:  # the template's word is left out
-                s, m, b, e = above[c + 1]
-                best = max(best, (s - 1, m, b, e))
-            if c:  # the document has a word more
-                s, m, b, e = now[c - 1]
-                best = max(best, (s - 1, m, b, e))
-            now.append(best)
-        above = now
-    _, m, b, e = max(above, key=lambda x: (x[0], -x[2]))
-    return m, b, e
+    least = np.lib.stride_tricks.sliding_window_view(marks, window)[:, ::-1].argmin(axis=1)
+    return np.unique(np.arange(window - 1, len(marks)) - least).tolist()
+
+
+#: A state of the alignment in 64 bits: score, matched words, place of the first of them.
+_BEGIN, _MATCHED = 22, 17
+_ONE = np.int64(1 << _BEGIN + _MATCHED)
+_MATCH = 2 * _ONE + np.int64(1 << _BEGIN)
+_REGION = 1 << 21
+
+
+def aligned(template: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each end in the document: score, matched words of the template and place of the first
+    of them, of the best alignment of the whole template; 2 for a match, -1 for a word changed,
+    left out or put in."""
+    places = np.arange(len(words) + 1, dtype=np.int64)
+    ramp, now = places * _ONE, places
+    for word in template:
+        after = now - _ONE  # the template's word is left out
+        np.maximum(after[1:], now[:-1] + np.where(words == word, _MATCH, -_ONE), out=after[1:])
+        after += ramp  # the document has words more
+        np.maximum.accumulate(after, out=after)
+        now = after - ramp
+    return now >> _BEGIN + _MATCHED, now >> _BEGIN & (1 << _MATCHED) - 1, now & (1 << _BEGIN) - 1
+
+
+def shared(bag: tuple[np.ndarray, np.ndarray], words: np.ndarray) -> int:
+    """The words of a template (different ones, their counts) that a text has at all: no alignment matches more."""
+    some, counts = np.unique(words, return_counts=True)
+    if not len(some):
+        return 0
+    at = np.minimum(np.searchsorted(some, bag[0]), len(some) - 1)
+    return int(np.minimum(bag[1], counts[at])[some[at] == bag[0]].sum())
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float = COVERAGE):
         self.names = sorted(templates)
         self.coverage = coverage
-        self.words: list[list[int]] = []
+        self.words: list[np.ndarray] = []
+        self.bags: list[tuple[np.ndarray, np.ndarray]] = []
         self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}  # gram length, fingerprint, places
         for k, name in enumerate(self.names):
             data = templates[name].encode()
             _, words = hashed_words(data, np.array([0, len(data)]))
-            self.words.append(words.tolist())
+            if len(words) >> _MATCHED:
+                raise ValueError(f"template {name} of {len(words)} words; at most {(1 << _MATCHED) - 1} are aligned")
+            self.words.append(words)
+            self.bags.append(np.unique(words, return_counts=True))
             length = min(GRAM, len(words))
             if length:
                 marks = grams(words, length)
@@ -146,21 +153,42 @@ class Scanner:
                     seeds.setdefault((r, k), []).append(i - int(first[r]) - place)
         out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
         for (r, k), diagonals in seeds.items():
-            text = words[first[r]:first[r + 1]].tolist()
-            found, last = [], None
-            for diagonal in sorted(set(diagonals)):
-                if last is not None and diagonal - last <= BAND:
-                    continue
-                last = diagonal
-                m, b, e = aligned(self.words[k], text, diagonal + BAND // 2)
-                if m and m >= self.coverage * len(self.words[k]):
-                    found.append((-m, b, e))
-            taken: list[tuple[int, int]] = []
-            for m, b, e in sorted(found):
-                if all(e <= x or b >= y for x, y in taken):
-                    taken.append((b, e))
-                    out[r].append({"license": self.names[k], "first": b, "end": e, "coverage": -m / len(self.words[k])})
-        return [sorted(x, key=lambda s: (s["first"], s["license"])) for x in out]
+            text = words[first[r]:first[r + 1]]
+            if len(text) >= self.coverage * len(self.words[k]):
+                out[r].extend(self.matches(k, text, sorted(set(diagonals))))
+        return [sorted(({c: x[c] for c in ("license", "first", "end", "coverage")} for x in found), key=lambda x: (x["first"], x["license"])) for found in out]
+
+    def matches(self, k: int, text: np.ndarray, diagonals: list[int]):
+        """Matches of one template that do not overlap, the best first."""
+        template, n = self.words[k], len(self.words[k])
+        need, reach = max(1, self.coverage * n), max(3 * n, BAND + BAND // 2)
+        regions: list[tuple[int, int]] = []
+        for d in diagonals:
+            lo, hi = max(0, d - reach), min(len(text), d + n + reach)
+            if regions and lo <= regions[-1][1]:
+                regions[-1] = regions[-1][0], hi
+            else:
+                regions.append((lo, hi))
+        regions = [(at, min(hi, at + _REGION + 8 * n)) for lo, hi in regions for at in range(lo, hi, _REGION)]
+        taken = np.zeros(len(text), bool)
+        while regions:
+            lo, hi = regions.pop()
+            if hi - lo < need or shared(self.bags[k], text[lo:hi]) < need:
+                continue
+            score, matched, begin = aligned(template, text[lo:hi])
+            ends = np.flatnonzero(matched >= need)
+            ends = ends[(ends == 0) | (score[ends] != score[ends - 1] - 1) | (begin[ends] != begin[ends - 1])
+                        | (matched[ends] != matched[ends - 1])]  # not one with more words put in after its last
+            cuts = [lo]
+            for e in ends[np.lexsort((ends, -matched[ends], -score[ends]))].tolist():
+                a, z = lo + int(begin[e]), lo + e
+                if not taken[a:z].any():
+                    taken[a:z] = True
+                    cuts += [a, z]
+                    yield {"license": self.names[k], "first": a, "end": z, "coverage": int(matched[e]) / n, "score": int(score[e])}
+            if len(cuts) > 1:
+                cuts = [*sorted(cuts), hi]
+                regions += zip(cuts[::2], cuts[1::2], strict=True)
 
 
 _MATCHES = "matches array<struct<license:string,first:bigint,end:bigint,coverage:double>>"
