@@ -279,6 +279,18 @@ def licenses_in(text):
     return license_scan.Scanner(license_scan.TEMPLATES)(data, np.array([0, len(data)]))[0]
 
 
+def test_license_texts_and_neighbours():
+    assert sum(len(t.encode()) for t in license_scan.TEMPLATES.values()) < license_scan.MAX_TEMPLATE_BYTES
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    for name, text in license_scan.TEMPLATES.items():  # each is found as itself, and nothing else beside it
+        data = f"Some words. {text} Some more.".encode()
+        found = scanner(data, np.array([0, len(data)]))[0]
+        assert [(x["license"], x["coverage"]) for x in found] == [(name, 1)], name
+    for text, name in (("Licensed under CC BY 4.0.", "CC-BY-4.0"), ("Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0"),
+                       ("This work is licensed under the GNU General Public License, version 2", "GPL-2.0")):
+        assert [x["license"] for x in licenses_in(text)] == [f"{name}-statement"]
+
+
 def test_license_text_with_words_put_in():
     words = license_scan.TEMPLATES["MIT"].split()
     for k in (13, 60):

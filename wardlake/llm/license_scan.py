@@ -12,7 +12,8 @@ its length to each side, if they have enough of its words at all.  The alignment
 parts over words put in: a part of w words over fewer than 3 w.  Coverage is the share of
 the template's words that it matches; a match has at least ``coverage``.  Of overlapping
 matches of one template the best, then the first, is reported; the rest of the text is
-aligned anew.
+aligned anew.  A match of which over half lies in better ones (by the alignment's score) of
+other templates is not reported; equally good ones all are.
 
 Defined cases: null and blank texts have no matches; a template of fewer than GRAM words
 is one fingerprint; templates without words, or null, are never found; repeated templates
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardlake.llm.common import annotate, mixed, powers, prefix_sums, runs
+from wardlake.llm.license_texts import LONG, SHORT
 
 GRAM = 3
 WINNOW = 2
@@ -48,6 +50,8 @@ TEMPLATES = {
     "CC-BY-NC-4.0-statement": "Licensed under CC BY-NC 4.0.",
     "GPL-3.0-statement": "This work is licensed under the GNU General Public License, version 3.",
     "MIT-statement": "Released under the MIT License.",
+    **SHORT,
+    **LONG,
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without "
@@ -156,7 +160,7 @@ class Scanner:
             text = words[first[r]:first[r + 1]]
             if len(text) >= self.coverage * len(self.words[k]):
                 out[r].extend(self.matches(k, text, sorted(set(diagonals))))
-        return [sorted(({c: x[c] for c in ("license", "first", "end", "coverage")} for x in found), key=lambda x: (x["first"], x["license"])) for found in out]
+        return [best(x) for x in out]
 
     def matches(self, k: int, text: np.ndarray, diagonals: list[int]):
         """Matches of one template that do not overlap, the best first."""
@@ -191,6 +195,18 @@ class Scanner:
                 regions += zip(cuts[::2], cuts[1::2], strict=True)
 
 
+def best(found: list[dict]) -> list[dict]:
+    """Without the matches that have over half of their words in better ones of other templates."""
+    over = np.zeros(max((x["end"] for x in found), default=0), np.int64)
+    out = []
+    for x in sorted(found, key=lambda x: -x["score"]):
+        place = over[x["first"]:x["end"]]
+        if 2 * int((place > x["score"]).sum()) <= len(place):
+            np.maximum(place, x["score"], out=place)
+            out.append({c: x[c] for c in ("license", "first", "end", "coverage")})
+    return sorted(out, key=lambda x: (x["first"], x["license"]))
+
+
 _MATCHES = "matches array<struct<license:string,first:bigint,end:bigint,coverage:double>>"
 
 
