@@ -249,6 +249,17 @@ def test_line_dedup_odd_rows(odd):
     assert got[17] == (4, 1, 1) and got[1] == got[2] == got[3] == (0, 0, 0)
 
 
+def test_line_dedup_texts(spark):
+    docs = [(1, "one line here\n\nlast\none line here"), (2, "one line hare\n \nother\nlast\n"), (3, None), (4, "other"), (None, "new\nother")]
+    df = spark.createDataFrame([(t, d, "s") for d, t in docs], "text string, doc_id long, source string")
+    got = line_dedup.dedup(df)
+    assert got.columns == df.columns
+    want = {1: "one line here\n\nlast", 2: " \nother\n", 3: None, 4: "", None: "new"}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == want
+    hashes = {r["doc_id"]: r["kept_sha256"] for r in line_dedup.result(df).collect()}
+    assert hashes == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in want.items()}
+
+
 def test_edit_distance():
     rng = np.random.default_rng(8)
     for _ in range(2000):

@@ -58,7 +58,7 @@ def op6(spark, sf_dir):
 
 @_register("op7_line_dedup")
 def op7(spark, sf_dir):
-    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+    return line_dedup.result(_table(spark, sf_dir, "documents"))
 
 
 @_register("op8_license_scan")
