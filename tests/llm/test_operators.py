@@ -260,6 +260,29 @@ def test_line_dedup_texts(spark):
     assert hashes == {d: hashlib.sha256((t or "").encode()).hexdigest() for d, t in want.items()}
 
 
+def test_line_dedup_edits_by_length(spark):
+    rng = np.random.default_rng(77)
+    bases = ["".join(rng.choice(list("abé"), n)) for n in (12, 30, 38, 39, 40, 41, 42, 70, 300)]
+    lines = [f"{'long boilerplate ' * 9}Page {n} of 30" for n in (12, 47)]
+    for base in bases:
+        lines.append(base)
+        for k in (1, 1, 2, 2, 2, 3):
+            new = list(base)
+            for _ in range(k):
+                at = int(rng.integers(len(new)))
+                new[at:at + int(rng.integers(2))] = ["x"] * int(rng.integers(2))
+            lines.append("".join(new))
+    limit = lambda n: int(line_dedup.limits(np.array(n), None))
+    want, seen = [], []
+    for i, x in enumerate(lines):
+        near = x not in seen and any(brute.distance(x, y) <= limit(min(len(x), len(y))) for y in seen if abs(len(x) - len(y)) <= 3)
+        want.append((i, 1, int(x in seen), int(near)))
+        seen.append(x)
+    assert want[1] == (1, 1, 0, 1) and limit(300) == 2
+    got = line_dedup.digest(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert brute.ordered(got.collect()) == brute.ordered(want)
+
+
 def test_edit_distance():
     rng = np.random.default_rng(8)
     for _ in range(2000):

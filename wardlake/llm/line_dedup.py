@@ -34,7 +34,7 @@ from wardlake.llm.common import SPACES, mixed, powers, prefix_sums, runs, stage,
 
 #: Edits by length: one for so many characters of the shorter line, and the most.
 CHARS_PER_EDIT = 20
-MOST_EDITS = 1
+MOST_EDITS = 2
 _LINE_FEED = 10
 _BLANK = np.array([ord(c) for c in SPACES], np.uint32)
 
