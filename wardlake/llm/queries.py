@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardlake.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing, suffix_dedup, token_counts, token_output
+from wardlake.llm import (decontaminate, exact_dedup, hard_negatives, language_id, license_scan, line_dedup, minhash_dedup, mixing,
+                          suffix_dedup, token_counts, token_output, top_k)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -74,3 +75,13 @@ def op9(spark, sf_dir):
 @_register("op10_token_output")
 def op10(spark, sf_dir):
     return token_output.output(_table(spark, sf_dir, "documents"))
+
+
+@_register("op11_hard_negatives", hard_negatives.SQL)
+def op11(spark, sf_dir):
+    return hard_negatives.digest(_table(spark, sf_dir, "embeddings"))
+
+
+@_register("op13_top_k", top_k.SQL)
+def op13(spark, sf_dir):
+    return top_k.digest(_table(spark, sf_dir, "embeddings"))
