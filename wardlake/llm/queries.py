@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wardlake.llm import (decontaminate, exact_dedup, hard_negatives, language_id, license_scan, line_dedup, minhash_dedup, mixing,
-                          suffix_dedup, token_counts, token_output, top_k)
+                          spelling, suffix_dedup, token_counts, token_output, top_k)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -82,6 +82,11 @@ def op11(spark, sf_dir):
     return hard_negatives.digest(_table(spark, sf_dir, "embeddings"))
 
 
+@_register("op12_spelling", spelling.SQL)
+def op12(spark, sf_dir):
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 @_register("op13_top_k", top_k.SQL)
 def op13(spark, sf_dir):
     return top_k.digest(_table(spark, sf_dir, "embeddings"))
