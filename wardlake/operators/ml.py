@@ -127,6 +127,16 @@ def weighted_risk(prob: Column, classes: list[str] = K.ML_CLASSES) -> dict[str,
     }
 
 
+def sql_weighted_risk(low: str, medium: str, high: str, classes: list[str] = K.ML_CLASSES) -> dict[str, str]:
+    most = f"greatest({low}, {medium}, {high})"
+    return {
+        "ml_risk_prediction": f"CASE {most} WHEN {low} THEN '{classes[0]}' WHEN {medium} THEN '{classes[1]}' ELSE '{classes[2]}' END",
+        "confidence": f"round({most}, 3)",
+        "uncertainty": f"round(1 - round({most}, 3), 3)",
+        "risk_percentage": f"least(round({high} * 100 + {medium} * 50, 1), 99.0)",
+    }
+
+
 def standardize(df: DataFrame, cols: list[str], key: str, fit_on: DataFrame | None = None,
                 keep: list[str] | None = None) -> DataFrame:
     """I8: (x - mean) / population std per column (std 0 -> 1, as the

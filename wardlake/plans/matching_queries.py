@@ -11,8 +11,10 @@ from wardlake import constants as K
 from wardlake.functions import clinical as C
 from wardlake.functions import timefn as T
 from wardlake.operators import matching as M
+from wardlake.plans import ml_queries as MQ
 from wardlake.plans.registry import register
 from wardlake.sources import fixtures as V
+from wardlake.sources.tables import spread
 
 
 def scored_cases(spark, sf) -> DataFrame:
@@ -125,15 +127,17 @@ def kg_relationships(spark, sf):
 
 # --- combined risk stages ---------------------------------------------------------------
 
-def risk_cases(spark, sf) -> DataFrame:
-    """Crew risk stage per case: fallback ML score, Bayesian risk, combined
-    risk and level, appointment urgency, uncertainty."""
-    c = scored_cases(spark, sf)
-    ml = C.fallback_risk_pct(F.col("symptoms"))
-    c = c.withColumn("ml_risk_pct", ml)
-    combined = F.round(F.greatest(F.col("ml_risk_pct").cast("double"), F.col("risk_percentage")), 1)
+def risk_stage(c: DataFrame, model=None) -> DataFrame:
+    """The risk stage per case: the model's risk percentage and confidence where there is a
+    model and the case has its features, else the keyword score and a fixed confidence; Bayesian risk,
+    combined risk and level, appointment urgency, uncertainty.  ``c``: cases with rule scores."""
+    c = MQ.with_ml_risk(c, model)
+    c = c.withColumns({
+        "ml_risk_pct": F.coalesce("ml_risk_pct", C.fallback_risk_pct(F.col("symptoms")).cast("double")),
+        "ml_confidence": F.coalesce("ml_confidence", F.lit(K.FALLBACK_ML_CONFIDENCE))})
+    combined = F.round(F.greatest(F.col("ml_risk_pct"), F.col("risk_percentage")), 1)
     avg = (F.col("risk_percentage") + F.col("ml_risk_pct")) / 2
-    conf = (F.col("confidence") + (1 - F.col("posterior_risk")) + F.lit(K.FALLBACK_ML_CONFIDENCE)) / 3
+    conf = (F.col("confidence") + (1 - F.col("posterior_risk")) + F.col("ml_confidence")) / 3
     return c.select(
         "*", combined.alias("combined_risk"), C.risk_level(combined).alias("risk_level"),
         avg.alias("avg_risk"), C.appointment_urgency(avg).alias("appointment_urgency"),
@@ -141,12 +145,20 @@ def risk_cases(spark, sf) -> DataFrame:
     )
 
 
+def risk_cases(spark, sf) -> DataFrame:
+    """The risk stage over all cases, with the boosted risk model."""
+    c = spread(V.cases_v(spark, sf))
+    return risk_stage(M.with_rule_scores(c, *M.case_texts(F.col("symptoms"), F.col("history"))), MQ.risk_booster(spark, sf))
+
+
 def _risk_ctes() -> dict[str, str]:
-    ctes = _rule_ctes()
-    ctes["risk_case"] = f"""SELECT *, round(greatest(CAST(ml_risk_pct AS DOUBLE), risk_percentage), 1) AS combined_risk,
+    ctes = _rule_ctes() | MQ.ml_risk_ctes()
+    ctes["risk_case"] = f"""SELECT *, round(greatest(ml_risk_pct, risk_percentage), 1) AS combined_risk,
         (risk_percentage + ml_risk_pct) / 2 AS avg_risk,
-        (confidence + (1 - posterior_risk) + {K.FALLBACK_ML_CONFIDENCE}) / 3 AS combined_confidence
-        FROM (SELECT *, {C.sql_fallback_risk_pct('symptoms')} AS ml_risk_pct FROM rule_case) x"""
+        (confidence + (1 - posterior_risk) + ml_confidence) / 3 AS combined_confidence
+        FROM (SELECT r.* , coalesce(m.ml_risk_pct, {C.sql_fallback_risk_pct('r.symptoms')}) AS ml_risk_pct,
+                coalesce(m.ml_confidence, {K.FALLBACK_ML_CONFIDENCE}) AS ml_confidence
+              FROM rule_case r LEFT JOIN ml_risk m USING (case_id)) x"""
     return ctes
 
 
@@ -164,7 +176,7 @@ def urgency_bands(spark, sf):
 
 
 @register("uncertainty", lambda: (f"""SELECT case_id, confidence AS xai_confidence,
-    1 - posterior_risk AS bayesian_confidence, CAST({K.FALLBACK_ML_CONFIDENCE} AS DOUBLE) AS ml_confidence, combined_confidence,
+    1 - posterior_risk AS bayesian_confidence, ml_confidence, combined_confidence,
     {C.sql_uncertainty_level('combined_confidence')} AS uncertainty_level,
     {C.sql_treatment_recommendation('combined_confidence')} AS treatment_recommendation FROM risk_case""", _risk_ctes()))
 def uncertainty(spark, sf):
@@ -172,7 +184,7 @@ def uncertainty(spark, sf):
     cc = F.col("combined_confidence")
     return r.select("case_id", F.col("confidence").alias("xai_confidence"),
                     (1 - F.col("posterior_risk")).alias("bayesian_confidence"),
-                    F.lit(K.FALLBACK_ML_CONFIDENCE).alias("ml_confidence"), "combined_confidence",
+                    "ml_confidence", "combined_confidence",
                     C.uncertainty_level(cc).alias("uncertainty_level"),
                     C.treatment_recommendation(cc).alias("treatment_recommendation"))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import functions as F
 
 from wardlake import constants as K
 from wardlake.functions import clinical as C
+from wardlake.operators import boosting as BO
 from wardlake.operators import ml as ML
 from wardlake.plans.registry import register
 from wardlake.sources import fixtures as V
-from wardlake.sources.tables import data_version, table
+from wardlake.sources.tables import data_version, spread, table
 
 _FEATS13 = C.FEATURE_NAMES
 
@@ -121,23 +125,71 @@ def accuracy(spark, sf):
                       F.round(F.avg(F.when(F.col("split") == "test", right)), 3).alias("accuracy"))
 
 
-def _labelled_features(spark, sf):
+def case_features(c) -> dict:
+    """The 13 risk features of cases as expressions over ``cases_v``."""
     from wardlake.plans.rule_queries import _features_text
-    return ML.hash_split(V.cases_v(spark, sf).select(
-        "case_id", *C.risk_feature_columns(_features_text(), "age", "bp", "heart_rate", "cholesterol"),
-        C.risk_label(C.risk_score(F.col("symptoms"), F.col("age"))).cast("double").alias("label")), "case_id")
+    return dict(zip(_FEATS13, C.risk_feature_columns(_features_text(), "age", "bp", "heart_rate", "cholesterol"), strict=True))
+
+
+def _labelled_features(spark, sf):
+    c = V.cases_v(spark, sf)
+    return ML.hash_split(c.select("case_id", *case_features(c).values(), C.risk_label(
+        C.risk_score(F.col("symptoms"), F.col("age"))).cast("double").alias("label")), "case_id")
 
 
-@register("weighted_risk")
+def risk_booster(spark, sf) -> BO.Booster:
+    """The boosted three-class risk model, fitted on the 80 % split of all cases (labels by the 0-100 rule
+    score: >=70 High, >=40 Medium, else Low).  Trees need no standardised inputs."""
+    return _fitted(spark, sf, "booster", lambda: BO.fit(
+        _labelled_features(spark, sf).filter(F.col("split") == "train"), _FEATS13, "label"))
+
+
+def with_ml_risk(c, model: BO.Booster | None):
+    """Cases with the model's prediction: ml_risk_prediction, ml_confidence, ml_uncertainty, ml_risk_pct; null where a
+    feature is missing, or without a model."""
+    names = {"ml_risk_prediction": "ml_risk_prediction", "confidence": "ml_confidence", "uncertainty": "ml_uncertainty",
+             "risk_percentage": "ml_risk_pct"}
+    if model is None:
+        return c.withColumns({n: F.lit(None).cast("string" if n == "ml_risk_prediction" else "double") for n in names.values()})
+    features = case_features(c)
+    known = reduce(and_, [F.col(x).isNotNull() for x in ("age", "bp", "heart_rate", "cholesterol")])
+    scored = BO.with_probabilities(c, model, "_probability", features)
+    w = ML.weighted_risk(F.col("_probability"))
+    return scored.withColumns({n: F.when(known, w[k]) for k, n in names.items()}).drop("_probability")
+
+
+def ml_risk_ctes() -> dict[str, str]:
+    """``ml_risk``: the same model, fitted and applied in SQL."""
+    from wardlake.plans.rule_queries import _sql_features_text
+    feats = C.sql_risk_feature_columns(_sql_features_text(), "age", "bp", "heart_rate", "cholesterol")
+    w = ML.sql_weighted_risk("p0", "p1", "p2")
+    return {
+        "model_rows": f"""SELECT case_id AS id, {', '.join(feats)}, {C.sql_risk_label(C.sql_risk_score('symptoms', 'age'))} AS label,
+            {ML.sql_split_bucket('case_id')} < {round(K.SPLIT_TRAIN_FRACTION * 100)} AS train FROM cases_v""",
+        **BO.sql_fit("model_rows", _FEATS13),
+        "ml_risk": f"""SELECT id AS case_id, {w['ml_risk_prediction']} AS ml_risk_prediction, {w['confidence']} AS ml_confidence,
+            {w['uncertainty']} AS ml_uncertainty, {w['risk_percentage']} AS ml_risk_pct FROM boosted""",
+    }
+
+
+@register("weighted_risk", lambda: (f"""SELECT case_id, ml_risk_prediction, ml_confidence AS confidence, ml_uncertainty AS uncertainty,
+    ml_risk_pct AS risk_percentage FROM ml_risk WHERE {ML.sql_split_bucket('case_id')} >= {round(K.SPLIT_TRAIN_FRACTION * 100)}""", ml_risk_ctes()))
 def weighted_risk(spark, sf):
-    """Boosted three-class risk model on the 13 risk features (labels by
-    the 0-100 rule score: >=70 High, >=40 Medium, else Low), standardised with
-    the statistics of the training rows; per held-out case the predicted class,
-    confidence, uncertainty and weighted risk percentage."""
-    f = _labelled_features(spark, sf)
-    train = f.filter(F.col("split") == "train")
-    z = ML.standardize(f, _FEATS13, "case_id", fit_on=train, keep=["label", "split"])
-    model = _fitted(spark, sf, "boosted", lambda: ML.boosted_model(z.filter(F.col("split") == "train"), _FEATS13))
-    test = z.filter(F.col("split") == "test").select("case_id", *_FEATS13)
-    w = ML.weighted_risk(F.col("probability"))
-    return ML.boosted_probabilities(model, test).select("case_id", *[v.alias(k) for k, v in w.items()])
+    """The boosted risk model on the cases held out: predicted class, confidence,
+    uncertainty and weighted risk percentage.  Its SQL twin fits and applies the same trees."""
+    c = ML.hash_split(spread(V.cases_v(spark, sf)), "case_id").filter(F.col("split") == "test")
+    return with_ml_risk(c, risk_booster(spark, sf)).select(
+        "case_id", "ml_risk_prediction", F.col("ml_confidence").alias("confidence"),
+        F.col("ml_uncertainty").alias("uncertainty"), F.col("ml_risk_pct").alias("risk_percentage"))
+
+
+@register("risk_model_accuracy", lambda: ("""SELECT train AS learned, CAST(count(*) AS BIGINT) AS n,
+    CAST(count(*) FILTER (ml_risk_prediction = ['Low', 'Medium', 'High'][label + 1]) AS BIGINT) AS n_right
+    FROM ml_risk JOIN model_rows ON id = case_id GROUP BY 1""", ml_risk_ctes()))
+def risk_model_accuracy(spark, sf):
+    """I4 for the boosted model: cases and right predictions, learned from and held out."""
+    c = ML.hash_split(spread(V.cases_v(spark, sf)), "case_id")
+    label = F.element_at(F.array(*[F.lit(x) for x in K.ML_CLASSES]), C.risk_label(C.risk_score(F.col("symptoms"), F.col("age"))) + 1)
+    right = (F.col("ml_risk_prediction") == label).cast("long")
+    return (with_ml_risk(c, risk_booster(spark, sf)).groupBy((F.col("split") == "train").alias("learned"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(right).alias("n_right")))

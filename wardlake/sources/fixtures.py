@@ -352,4 +352,4 @@ def with_views(sql: str, extra: dict[str, str] | None = None) -> str:
                 needed.add(name)
                 frontier.append(defs[name])
     ctes = [f"{n} AS ({defs[n]})" for n in order if n in needed]
-    return ("WITH " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\n" + sql) if ctes else sql
