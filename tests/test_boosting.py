@@ -101,6 +101,7 @@ def test_risk_stage_falls_back_where_there_is_no_model(spark):
     train = scored.crossJoin(spark.range(30)).select(*MQ.MQ.case_features(scored).values(), (F.col("case_id") != 3).cast("double").alias("label")).dropna()
     model = B.fit(train.withColumn("label", F.col("label") * 2), MQ.MQ.C.FEATURE_NAMES, "label")
     plain = {r["case_id"]: r for r in MQ.risk_stage(scored).collect()}
+    assert [plain[i]["ml_risk_prediction"] for i in (1, 2, 3)] == ["High", "High", "Low"]
     assert [(plain[i]["ml_risk_pct"], plain[i]["ml_confidence"]) for i in (1, 2, 3)] == [(65.0, 0.7), (65.0, 0.7), (0.0, 0.7)]
     by_model = {r["case_id"]: r for r in MQ.risk_stage(scored, model).collect()}
     assert by_model[2]["ml_risk_pct"] == 65.0 and by_model[2]["ml_confidence"] == 0.7

@@ -271,3 +271,4 @@ SLOT_MINUTES = 30
 DEFAULT_SLOT_TIME = "10:00 AM"
 
 # --- end of FIXED VALUES ----------------------------------------------------
+DISCLAIMER = "This is not a medical diagnosis. For emergencies, call 911 immediately."

@@ -274,13 +274,29 @@ def retrieve_with_fallback(queries: DataFrame, methods, qid: str = "item_id") ->
     return out
 
 
+def case_query(symptoms: Column, history: Column) -> Column:
+    """The text that a case is searched by: its listed symptoms and history, joined by blanks."""
+    parts = lambda c: F.split(F.coalesce(c, F.lit("")), ", ", -1)
+    return F.concat_ws(" ", parts(symptoms), parts(history))
+
+
 def explanations(results: DataFrame, docs: DataFrame, qid: str, did: str = "doc_id",
                  chars: int = K.RETRIEVAL_TEXT_CHARS) -> DataFrame:
     """J5: 'From {source}: {text}' joined in rank order per query."""
-    j = results.join(docs.select(did, "source", F.substring("text", 1, chars).alias("snippet")), did)
-    part = F.concat(F.lit("From "), F.col("source"), F.lit(": "), F.col("snippet"))
-    agg = j.groupBy(qid).agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p")))).alias("parts"))
-    return agg.select(qid, F.array_join(F.transform("parts", lambda x: x["p"]), " ").alias("explanation"))
+    return guidelines(results, docs, qid, did, chars).select(qid, "explanation")
+
+
+def guidelines(results: DataFrame, docs: DataFrame, qid: str, did: str = "doc_id", chars: int = K.RETRIEVAL_TEXT_CHARS,
+               snippet: int = K.RAG_SNIPPET_CHARS) -> DataFrame:
+    """Per query, of its results in rank order: the ``explanation`` (J5), and ``context``, the first
+    ``snippet`` characters of each text (B14)."""
+    texts = docs.select(did, "source", F.substring("text", 1, chars).alias("long"), F.substring("text", 1, snippet).alias("short"))
+    part = F.concat(F.lit("From "), F.col("source"), F.lit(": "), F.col("long"))
+    # at most k results a query
+    agg = (results.join(texts, did).groupBy(qid)
+           .agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p"), "short"))).alias("parts")))
+    return agg.select(qid, F.array_join(F.transform("parts", lambda x: x["p"]), " ").alias("explanation"),
+                      F.array_join(F.transform("parts", lambda x: x["short"]), " | ").alias("context"))
 
 
 def new_documents(batch: DataFrame, index: DataFrame, key: str = "source", order: str = "doc_id") -> DataFrame:

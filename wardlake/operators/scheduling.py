@@ -49,6 +49,16 @@ def top_slots(slots: DataFrame, doctors: DataFrame, k: int = 3) -> DataFrame:
     return o.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def slots_by_specialty(slots: DataFrame, doctors: DataFrame, k: int = 3) -> DataFrame:
+    """The first ``k`` open slots of each specialty (whatever its case) in one row: ``s`` (lower case), ``offers``
+    (array of structs in slot order)."""
+    o = open_slots(slots, doctors).withColumn("s", F.lower("specialty"))
+    w = Window.partitionBy("s").orderBy("slot_id")
+    top = o.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return top.groupBy("s").agg(F.array_sort(F.collect_list(F.struct(
+        "slot_id", "doctor_name", "specialty", "hospital", "date", "time"))).alias("offers"))
+
+
 def available_doctors(doctors: DataFrame, specialty: str | None = None) -> DataFrame:
     """Doctors of exactly ``specialty`` that are available."""
     d = doctors.filter(F.col("available"))

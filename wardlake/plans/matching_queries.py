@@ -134,7 +134,8 @@ def risk_stage(c: DataFrame, model=None) -> DataFrame:
     c = MQ.with_ml_risk(c, model)
     c = c.withColumns({
         "ml_risk_pct": F.coalesce("ml_risk_pct", C.fallback_risk_pct(F.col("symptoms")).cast("double")),
-        "ml_confidence": F.coalesce("ml_confidence", F.lit(K.FALLBACK_ML_CONFIDENCE))})
+        "ml_confidence": F.coalesce("ml_confidence", F.lit(K.FALLBACK_ML_CONFIDENCE)),
+        "ml_risk_prediction": F.coalesce("ml_risk_prediction", C.risk_level(C.fallback_risk_pct(F.col("symptoms"))))})
     combined = F.round(F.greatest(F.col("ml_risk_pct"), F.col("risk_percentage")), 1)
     avg = (F.col("risk_percentage") + F.col("ml_risk_pct")) / 2
     conf = (F.col("confidence") + (1 - F.col("posterior_risk")) + F.col("ml_confidence")) / 3
@@ -157,7 +158,8 @@ def _risk_ctes() -> dict[str, str]:
         (risk_percentage + ml_risk_pct) / 2 AS avg_risk,
         (confidence + (1 - posterior_risk) + ml_confidence) / 3 AS combined_confidence
         FROM (SELECT r.* , coalesce(m.ml_risk_pct, {C.sql_fallback_risk_pct('r.symptoms')}) AS ml_risk_pct,
-                coalesce(m.ml_confidence, {K.FALLBACK_ML_CONFIDENCE}) AS ml_confidence
+                coalesce(m.ml_confidence, {K.FALLBACK_ML_CONFIDENCE}) AS ml_confidence,
+                coalesce(m.ml_risk_prediction, {C.sql_risk_level(C.sql_fallback_risk_pct('r.symptoms'))}) AS ml_risk_prediction
               FROM rule_case r LEFT JOIN ml_risk m USING (case_id)) x"""
     return ctes
 

@@ -145,17 +145,19 @@ def risk_booster(spark, sf) -> BO.Booster:
 
 
 def with_ml_risk(c, model: BO.Booster | None):
-    """Cases with the model's prediction: ml_risk_prediction, ml_confidence, ml_uncertainty, ml_risk_pct; null where a
+    """Cases with the model's prediction: ml_probabilities, ml_risk_prediction, ml_confidence, ml_uncertainty, ml_risk_pct; null where a
     feature is missing, or without a model."""
     names = {"ml_risk_prediction": "ml_risk_prediction", "confidence": "ml_confidence", "uncertainty": "ml_uncertainty",
              "risk_percentage": "ml_risk_pct"}
     if model is None:
-        return c.withColumns({n: F.lit(None).cast("string" if n == "ml_risk_prediction" else "double") for n in names.values()})
+        none = {n: F.lit(None).cast("string" if n == "ml_risk_prediction" else "double") for n in names.values()}
+        return c.withColumns({"ml_probabilities": F.lit(None).cast("array<double>")} | none)
     features = case_features(c)
     known = reduce(and_, [F.col(x).isNotNull() for x in ("age", "bp", "heart_rate", "cholesterol")])
-    scored = BO.with_probabilities(c, model, "_probability", features)
-    w = ML.weighted_risk(F.col("_probability"))
-    return scored.withColumns({n: F.when(known, w[k]) for k, n in names.items()}).drop("_probability")
+    scored = BO.with_probabilities(c, model, "ml_probabilities", features)
+    w = ML.weighted_risk(F.col("ml_probabilities"))
+    found = {n: F.when(known, w[k]) for k, n in names.items()}
+    return scored.withColumns(found).withColumn("ml_probabilities", F.when(known, F.col("ml_probabilities")))
 
 
 def ml_risk_ctes() -> dict[str, str]:

@@ -114,11 +114,6 @@ def retrieve_fallback(spark, sf):
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"), "method")
 
 
-def _rag_query_text(symptoms, history):
-    return F.concat_ws(" ", F.split(F.coalesce(symptoms, F.lit("")), ", ", -1),
-                       F.split(F.coalesce(history, F.lit("")), ", ", -1))
-
-
 def _explained_ctes() -> dict[str, str]:
     return {
         "rq": """SELECT case_id, array_to_string(list_concat(string_split(coalesce(symptoms, ''), ', '),
@@ -132,7 +127,21 @@ def _explained_ctes() -> dict[str, str]:
 
 def _case_queries(spark, sf):
     from wardlake.sources import fixtures as V
-    return V.cases_v(spark, sf).select("case_id", _rag_query_text(F.col("symptoms"), F.col("history")).alias("query"))
+    return V.cases_v(spark, sf).select("case_id", RT.case_query(F.col("symptoms"), F.col("history")).alias("query"))
+
+
+def guideline_ctes() -> dict[str, str]:
+    """``rq`` (case_id, query) and ``guidelines`` (query, explanation, context)."""
+    return {**_explained_ctes(), "guidelines": f"""SELECT query, string_agg('From ' || d.source || ': ' || substr(d.text, 1, {K.RETRIEVAL_TEXT_CHARS}), ' '
+        ORDER BY rank) AS explanation, string_agg(substr(d.text, 1, {K.RAG_SNIPPET_CHARS}), ' | ' ORDER BY rank) AS context
+        FROM t_rank JOIN documents d USING (doc_id) GROUP BY query"""}
+
+
+def case_guidelines(spark, sf):
+    """(query, rag_explanation, context) of every distinct case text: each is searched once."""
+    qs = _case_queries(spark, sf).select("query").distinct()
+    res = RT.tfidf_search(corpus_index(spark, sf), qs.withColumn("text", F.col("query")), K3, qid="query")
+    return RT.guidelines(res, table(spark, sf, "documents"), "query").withColumnRenamed("explanation", "rag_explanation")
 
 
 @register("rag_explanations", lambda: ("SELECT query, explanation FROM explained", _explained_ctes()))

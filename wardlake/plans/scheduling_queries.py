@@ -15,6 +15,10 @@ from wardlake.sources import fixtures as V
 _OPEN = """SELECT s.id AS slot_id, d.name AS doctor_name, d.hospital, d.specialty, s.date, s.time, d.id AS doctor_id
     FROM slots_v s JOIN doctors_v d ON s.doctor_id = d.id WHERE s.available = 1"""
 
+_FIRSTS = """SELECT h, s, slot_id, doctor_name, specialty, date, time FROM (
+    SELECT lower(hospital) AS h, lower(specialty) AS s, *, row_number() OVER (
+      PARTITION BY lower(hospital), lower(specialty) ORDER BY slot_id) AS rn FROM open_s) x WHERE rn = 1"""
+
 
 @register("available_slots", ("SELECT slot_id, doctor_name, hospital, specialty, date, time FROM open_s",
                               {"open_s": _OPEN}))
@@ -164,9 +168,7 @@ def alternative_hospitals(spark, sf):
     LEFT JOIN firsts f ON f.h = lower(c.hospital) AND f.s = 'general physician'""", {
     "open_s": _OPEN,
     "ckeys": _sql_case_keys(),
-    "firsts": """SELECT h, s, slot_id, doctor_name, specialty, date, time FROM (
-        SELECT lower(hospital) AS h, lower(specialty) AS s, *, row_number() OVER (
-          PARTITION BY lower(hospital), lower(specialty) ORDER BY slot_id) AS rn FROM open_s) x WHERE rn = 1"""}))
+    "firsts": _FIRSTS}))
 def pick_slot_fallback(spark, sf):
     keys = _case_keys(spark, sf).select("case_id", "hospital", "specialty")
     r = S.first_slot_with_fallback(keys, V.slots_v(spark, sf), V.doctors_v(spark, sf))
