@@ -175,3 +175,12 @@ def test_time_and_images(spark):
     sc = spark.createDataFrame([(0.55, 0.30, 0.15)], "n double, a double, i double")
     mx, dec = C.class_decision(F.col("n"), F.col("a"), F.col("i"))
     assert sc.select(dec).first()[0] == "inconclusive"
+
+
+def test_reply_titles_blanks_and_thoughts(spark):
+    r = spark.createDataFrame([("<think> two signs\n</think>\u00a0urgency: sOON!\n\u2003Specialty: 3d imaging\nCome in this week, please.", "Urgent", "Neurology"),
+                               ("<think></think>Specialty: o'neil x-ray", "Urgent", "Neurology")], "raw string, bu string, bs string")
+    p = CS.parse_replies(r, "raw", "bu", "bs").collect()
+    assert [(x.urgency, x.specialty, x.explanation, x.think) for x in p] == [
+        ("Soon", "3D Imaging", "Come in this week, please.", "<think>\ntwo signs\n</think>"),
+        ("Urgent", "Oneil Xray", "Specialty: o'neil x-ray", None)]

@@ -67,4 +67,4 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_model_based():
-    assert set(QUERIES) - set(ORACLE) <= {"ml_predictions", "accuracy"}
+    assert set(QUERIES) - set(ORACLE) <= {"ml_predictions", "accuracy", "near_vectors"}

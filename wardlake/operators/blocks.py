@@ -1,24 +1,31 @@
 """Exact top k of many queries against a corpus that is never shuffled.
 
-Queries are read in blocks of bounded size and each block is broadcast.  A task
-scores its own documents against a block with matrix products over Arrow batches
-and keeps only the best k per query, so at most k rows per query and task leave it.
-More queries mean more blocks, each one more scan of the corpus; nothing else changes.
+Queries are written as a table of numbered blocks in the shared folder; neither the driver nor a broadcast
+holds them.  A task reads its documents once, in slabs of bounded size, takes each slab past every
+block, with matrix products over Arrow batches, and keeps only the best k per query and slab.
+More queries mean more blocks; the corpus is scanned once, and a block is read once a slab.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import math
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from wardlake.session import scratch_dir
+
 #: Cells of the largest matrix that a task holds (8 bytes each).
 CELLS = 1 << 22
+#: Bytes of documents that a task holds.
+SLAB_BYTES = 1 << 26
 RANK_DIGITS = 9
 
 
@@ -45,54 +52,104 @@ class Best:
         self.floor[rows[0][last]] = rows[1][last]
 
 
-def top_k(corpus: DataFrame, queries: DataFrame, qid: str, did: str, k: int,
-          blocks: Iterable[tuple[list, dict]], scorer: Callable) -> DataFrame:
-    """(qid, did, score): the best k per query and task, for every block.
-
-    ``blocks`` yields (query ids, payload); ``scorer(payload)`` gives the number of
-    documents to score at once and a function (record batch) -> scores.  Column 0
-    of ``corpus`` is the document id.
+def block_count(n: int, values: int, shared_width: bool) -> int:
+    """Blocks for which a block's rows times its distinct values stay near CELLS: the rows have all
+    their values in common (vectors), or at worst none (terms)."""
+    return max(1, math.ceil(values / CELLS if shared_width else math.sqrt(n * values / CELLS)))
+
+
+def write_blocks(asked: DataFrame, qid: str, width: str, shared_width: bool) -> tuple[str, int]:
+    """Write the queries by block number; the folder and the number of blocks (0: no queries).  Only two
+    counts come to the driver."""
+    n, values = asked.agg(F.count(F.lit(1)), F.sum(F.size(width))).first()
+    if not n:
+        return "", 0
+    blocks = block_count(n, values or 0, shared_width)
+    folder = f"{scratch_dir(asked.sparkSession, 'query-blocks')}-{uuid.uuid4().hex}"
+    (asked.withColumn("block", F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+     .write.partitionBy("block").parquet(folder))
+    return folder, blocks
+
+
+def read_block(folder: str, number: int) -> pa.Table | None:
+    """One block, read by a task from the shared folder; None where no query fell into it."""
+    import pyarrow.dataset as ds
+    from pyarrow.fs import FileSystem, FileType
+
+    uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
+    files, path = FileSystem.from_uri(uri)
+    at = f"{path}/block={number}"
+    if files.get_file_info(at).type == FileType.NotFound:
+        return None
+    return ds.dataset(at, filesystem=files, format="parquet").to_table()
+
+
+def slabs(batches, limit: int) -> Iterator[pa.Table]:
+    """Record batches in tables of at least ``limit`` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def top_k(corpus: DataFrame, asked: DataFrame, qid: str, did: str, k: int, width: str, scorer: Callable,
+          shared_width: bool = False) -> DataFrame:
+    """(qid, did, score): the best k per query and slab of documents.
+
+    ``asked`` has one row per query and ``width``, a list whose distinct values make the columns of a
+    block.  ``scorer(block)`` gives the number of documents to score at once and a function (documents)
+    -> scores.  Column 0 of ``corpus`` is the document id.
     """
     spark = corpus.sparkSession
-    schema = T.StructType([T.StructField(qid, queries.schema[qid].dataType), T.StructField(did, corpus.schema[did].dataType),
+    schema = T.StructType([T.StructField(qid, asked.schema[qid].dataType), T.StructField(did, corpus.schema[did].dataType),
                            T.StructField("score", T.DoubleType())])
     types = [to_arrow_type(f.dataType) for f in schema.fields]
-    out = spark.createDataFrame([], schema)
-    for ids, payload in blocks:
-        shared = spark.sparkContext.broadcast((ids, payload))
-
-        def run(batches, shared=shared):
-            ids, payload = shared.value
-            step, score = scorer(payload)
-            best = Best(len(ids), k)
-            for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    part = batch.slice(at, step)
-                    best.add(score(part), np.asarray(part.column(0).to_pylist()))
-            if best.rows is not None:
-                q, _, scores, docs = best.rows
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in q.tolist()], types[0]), pa.array(docs.tolist(), types[1]),
-                     pa.array(scores, types[2])], names=schema.names)
-
-        out = out.unionByName(corpus.mapInArrow(run, schema))
-    return out
-
-
-def in_blocks(rows: Iterable[Row], width: Callable[[Row], Iterable]) -> Iterator[list[Row]]:
-    """Blocks of rows for which rows times the distinct ``width`` values stays under
-    CELLS (a wider single row makes a block of its own)."""
-    block: list[Row] = []
-    seen: set = set()
-    for r in rows:
-        new = set(width(r)) - seen
-        if block and (len(seen) + len(new)) * (len(block) + 1) > CELLS:
-            yield block
-            block, seen, new = [], set(), set(width(r))
-        block.append(r)
-        seen |= new
-    if block:
-        yield block
+    folder, blocks = write_blocks(asked, qid, width, shared_width)
+    if not blocks:
+        return spark.createDataFrame([], schema)
+    names, limit = schema.names, SLAB_BYTES
+
+    def run(batches):
+        ready: dict[int, tuple] = {}
+        for slab in slabs(batches, limit):
+            docs = slab.combine_chunks().to_batches()
+            for number in range(blocks):
+                if number not in ready:
+                    ready.clear()  # one block at a time
+                    block = read_block(folder, number)
+                    ready[number] = None if block is None else (block.column(qid).to_pylist(), *scorer(block))
+                if ready[number] is None:
+                    continue
+                ids, step, score = ready[number]
+                best = Best(len(ids), k)
+                for batch in docs:
+                    for at in range(0, batch.num_rows, step):
+                        part = batch.slice(at, step)
+                        best.add(score(part), np.asarray(part.column(0).to_pylist()))
+                if best.rows is not None:
+                    q, _, scores, found = best.rows
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i in q.tolist()], types[0]), pa.array(found.tolist(), types[1]),
+                         pa.array(scores, types[2])], names=names)
+
+    return corpus.mapInArrow(run, schema)
+
+
+def cells_of(block: pa.Table, terms: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct terms of a block, and for each listed term its number and its query's."""
+    lists = block.column(terms).combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    of = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    return coded.dictionary, np.asarray(coded.indices), of
+
+
+def listed(block: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(block.column(name).combine_chunks().flatten())
 
 
 def term_matrix(lists: pa.ListArray, vocabulary: pa.Array, values: np.ndarray | None = None) -> np.ndarray:

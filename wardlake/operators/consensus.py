@@ -14,13 +14,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardlake import constants as K
-from wardlake.functions.clinical import pystrip
+from wardlake.functions.clinical import PY_WHITESPACE, pystrip
 from wardlake.functions.text import WHITESPACE
 
 # keep letters, digits and whitespace (Python isalnum() / isspace())
 _NOT_ALNUM_SPACE = r"[^\p{L}\p{N}" + WHITESPACE[1:-2] + r"\p{Z}]"
 
 
+_BLANKS = PY_WHITESPACE.replace("\n", "")
+
+
+def _title(c: Column) -> Column:
+    """Every run of letters with a capital first ('3d imaging' -> '3D Imaging')."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"\p{L}+|\P{L}+"), 0), F.initcap), "")
+
+
 def _after_colon(line: Column) -> Column:
     return line.substr(F.instr(line, ":") + 1, F.length(line) + 1)
 
@@ -38,8 +46,8 @@ def _first_keyword(text_lower: Column, words: list[str]) -> Column:
 
 
 def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: str) -> DataFrame:
-    """Add urgency, specialty and explanation parsed from the free-text
-    model reply in column ``raw``.
+    """Add urgency, specialty, explanation and think (the reasoning block, null without one)
+    parsed from the free-text model reply in column ``raw``.
 
     The last valid 'urgency:' line and the last non-empty 'specialty:' line
     win; otherwise the first keyword found in the text; otherwise the
@@ -51,15 +59,17 @@ def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: st
     """
     d = df.withColumn("_t0", pystrip(F.coalesce(F.col(raw), F.lit(""))))
     think = F.col("_t0").contains("<think>") & F.col("_t0").contains("</think>")
+    block = pystrip(F.replace(F.element_at(F.split(F.col("_t0"), "</think>", -1), 1), F.lit("<think>"), F.lit("")))
+    d = d.withColumn("think", F.when(think & (block != ""), F.concat(F.lit("<think>\n"), block, F.lit("\n</think>"))))
     d = d.withColumn("_text", F.when(think, pystrip(F.element_at(F.split(F.col("_t0"), "</think>", -1), 2)))
                      .otherwise(F.col("_t0")))
     # Line prefixes, matched on the whole text in UNIX-lines multiline mode
     # (only \n ends a line, as with split('\n')); leading blanks are allowed.
     def prefixed(names: str, value: bool) -> str:
-        return rf"(?dmi)^[^\S\n]*(?:{names}):" + ("(.*)$" if value else "")
+        return rf"(?dmi)^[{_BLANKS}]*(?:{names}):" + ("(.*)$" if value else "")
 
     d = d.withColumn("_uv", F.filter(F.transform(F.regexp_extract_all("_text", F.lit(prefixed("urgency", True)), 1),
-                                                 lambda v: F.initcap(_clean(v))),
+                                                 lambda v: _title(_clean(v))),
                                      lambda v: v.isin(*K.URGENCY_RANK.keys())))
     d = d.withColumn("_sv", F.filter(F.transform(F.regexp_extract_all("_text", F.lit(prefixed("specialty", True)), 1),
                                                  _clean), lambda v: v != ""))
@@ -72,7 +82,7 @@ def parse_replies(df: DataFrame, raw: str, base_urgency: str, base_specialty: st
     lower_text = F.col("_lt")
     d = d.withColumn("urgency", F.coalesce(F.when(F.size("_uv") > 0, F.element_at("_uv", -1)),
                                            _first_keyword(lower_text, K.REPLY_URGENCY_KEYWORDS), F.col(base_urgency)))
-    d = d.withColumn("specialty", F.coalesce(F.when(F.size("_sv") > 0, F.initcap(F.element_at("_sv", -1))),
+    d = d.withColumn("specialty", F.coalesce(F.when(F.size("_sv") > 0, _title(F.element_at("_sv", -1))),
                                              _first_keyword(lower_text, K.REPLY_SPECIALTY_KEYWORDS),
                                              F.col(base_specialty)))
     expl = F.when(F.length("_e0") < 10, F.when(F.length("_text") > 10, F.col("_text")).otherwise(

@@ -6,9 +6,9 @@ corpus order).  Scores are ranked after rounding to 1e-9 so that exact
 duplicates, whose float sums may differ in the last bit depending on
 summation order, keep the corpus order.
 
-Documents stay where they are: query blocks of bounded size are broadcast and
-scored inside each document's partition (``blocks.top_k``).  No (query, document)
-pair and no token is shuffled; only k rows per query and task reach the exchange.
+Documents stay where they are: query blocks of bounded size, a table in the shared folder, are
+read and scored inside each document's partition (``blocks.top_k``).  No (query, document)
+pair and no token is shuffled; only k rows per query and slab of documents reach the exchange.
 
 * ``overlap_topk``: size of the intersection of distinct whitespace tokens.
 * ``tfidf_topk``: TF-IDF cosine where, as in the original service, the query
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from wardlake import constants as K
 from wardlake.functions.text import whitespace_tokens, word_tokens
-from wardlake.operators.blocks import RANK_DIGITS, dense, in_blocks, step_for, term_matrix, top_k
+from wardlake.operators.blocks import RANK_DIGITS, cells_of, dense, listed, step_for, term_matrix, top_k
 from wardlake.session import ensure_checkpoint_dir, write_table
 from wardlake.sources.tables import spread
 
@@ -45,28 +45,14 @@ def _rank(df: DataFrame, qid: str, did: str, k: int) -> DataFrame:
 
 # --- J1 -----------------------------------------------------------------------------
 
-def _vocabulary(block, field: str = "terms") -> tuple[dict[str, int], list[list[str]]]:
-    lists = [r[field] for r in block]
-    return {t: i for i, t in enumerate(dict.fromkeys(t for ts in lists for t in ts))}, lists
-
-
-def _overlap_blocks(rows, qid: str):
-    for block in in_blocks(rows, lambda r: r["terms"]):
-        index, lists = _vocabulary(block)
-        at = [(index[t], j) for j, ts in enumerate(lists) for t in ts]
-        yield [r[qid] for r in block], (list(index), np.array(at, np.int64).reshape(-1, 2))
-
-
-def _overlap_scorer(payload):
-    words, at = payload
-    queries = int(at[:, 1].max()) + 1 if len(at) else 0
-    vocabulary = pa.array(words, pa.string())
-    weights = dense((at[:, 0], at[:, 1], 1.0), (len(words), queries))
+def _overlap_scorer(block: pa.Table):
+    vocabulary, term, query = cells_of(block, "terms")
+    weights = dense((term, query, 1.0), (len(vocabulary), block.num_rows))
 
     def score(part):
         shared = term_matrix(part.column(1), vocabulary) @ weights
         return np.where(shared > 0, shared, -np.inf)
-    return step_for(len(words), queries), score
+    return step_for(len(vocabulary), block.num_rows), score
 
 
 def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = K.OVERLAP_TOP_K, qid: str = "item_id",
@@ -74,7 +60,7 @@ def overlap_topk(queries: DataFrame, corpus: DataFrame, k: int = K.OVERLAP_TOP_K
     """(qid, rank, did, score): top k documents per query with score > 0."""
     asked = queries.select(qid, whitespace_tokens(F.col(text)).alias("terms")).filter(F.size("terms") > 0)
     docs = spread(corpus.select(did, text)).select(did, whitespace_tokens(F.col(text)).alias("terms"))
-    best = top_k(docs, queries, qid, did, k, _overlap_blocks(asked.toLocalIterator(), qid), _overlap_scorer)
+    best = top_k(docs, asked, qid, did, k, "terms", _overlap_scorer)
     return _rank(best, qid, did, k).select(qid, "rank", did, F.col("score").cast("long").alias("score"))
 
 
@@ -153,28 +139,17 @@ def build_tfidf_index(corpus: DataFrame, did: str = "doc_id", text: str = "text"
     return TfidfIndex(corpus, did, n, docs, dfreq)
 
 
-def _tfidf_blocks(rows, qid: str):
-    for block in in_blocks(rows, lambda r: r["terms"]):
-        index, lists = _vocabulary(block)
-        cells = [(index[t], j, w, shift) for j, r in enumerate(block)
-                 for t, w, shift in zip(r["terms"], r["weights"], r["shifts"], strict=True)]
-        yield [r[qid] for r in block], (list(index), np.array(cells, float).reshape(-1, 4),
-                                        np.sqrt(np.array([r["qn"] for r in block])))
-
-
-def _tfidf_scorer(payload):
-    words, cells, norms = payload
-    vocabulary = pa.array(words, pa.string())
-    at = cells[:, 0].astype(np.int64), cells[:, 1].astype(np.int64)
-    weights = dense((*at, cells[:, 2]), (len(words), len(norms)))
-    shifts = dense((*at, cells[:, 3]), (len(words), len(norms)))
+def _tfidf_scorer(block: pa.Table):
+    vocabulary, term, query = cells_of(block, "terms")
+    weights, shifts = (dense((term, query, listed(block, c)), (len(vocabulary), block.num_rows)) for c in ("weights", "shifts"))
+    norms = np.sqrt(np.asarray(block.column("qn")))
 
     def score(part):
         tf = term_matrix(part.column(1), vocabulary, part.column(2).flatten().to_numpy())
         dot = tf @ weights
         size = part.column(3).to_numpy()[:, None] + (tf * tf) @ shifts
         return np.where(dot > 0, dot / (norms * np.sqrt(np.where(dot > 0, size, 1.0))), -np.inf)
-    return step_for(len(words), len(norms)), score
+    return step_for(len(vocabulary), len(norms)), score
 
 
 def tfidf_search(index: TfidfIndex, queries: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "item_id",
@@ -196,7 +171,7 @@ def tfidf_search(index: TfidfIndex, queries: DataFrame, k: int = K.RETRIEVAL_TOP
              .filter(F.size("t") > 0)
              .select(qid, F.col("t.term").alias("terms"), F.col("t.w").alias("weights"), F.col("t.s").alias("shifts"), "qn"))
     docs = index.docs.select(did, "terms", "tfs", "n0")
-    scored = top_k(docs, queries, qid, did, k, _tfidf_blocks(asked.toLocalIterator(), qid), _tfidf_scorer)
+    scored = top_k(docs, asked, qid, did, k, "terms", _tfidf_scorer)
     best = _rank(scored, qid, did, k).select(qid, did, "score")
 
     # Zero-score fill: the first k documents in corpus order, for every query.
@@ -226,19 +201,17 @@ def centroids(vectors: DataFrame, key: str = "label", vec: str = "embedding") ->
             .select(key, F.transform("dims", lambda d: d["x"]).alias(vec)))
 
 
-def _vector_blocks(rows, qid: str, vec: str):
-    for block in in_blocks(rows, lambda r: range(len(r[vec]))):
-        yield [r[qid] for r in block], np.array([r[vec] for r in block], float)
-
+def _vector_scorer(vec: str):
+    def scorer(block: pa.Table):
+        queries = listed(block, vec).reshape(block.num_rows, -1)
+        lengths = np.sqrt((queries * queries).sum(axis=1))
 
-def _vector_scorer(queries: np.ndarray):
-    lengths = np.sqrt((queries * queries).sum(axis=1))
-
-    def score(part):
-        docs = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-        size = np.sqrt((docs * docs).sum(axis=1))[:, None] * lengths
-        return np.where(size > 0, (docs @ queries.T) / np.where(size > 0, size, 1.0), 0.0)
-    return step_for(*queries.shape), score
+        def score(part):
+            docs = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+            size = np.sqrt((docs * docs).sum(axis=1))[:, None] * lengths
+            return np.where(size > 0, (docs @ queries.T) / np.where(size > 0, size, 1.0), 0.0)
+        return step_for(*queries.shape), score
+    return scorer
 
 
 def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_K, qid: str = "label",
@@ -248,7 +221,7 @@ def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_TOP_
     as_double = F.col(vec).cast("array<double>").alias(vec)
     asked = queries.select(qid, as_double).filter(F.col(vec).isNotNull())
     docs = corpus.select(did, as_double).filter(F.col(vec).isNotNull())
-    best = top_k(docs, queries, qid, did, k, _vector_blocks(asked.toLocalIterator(), qid, vec), _vector_scorer)
+    best = top_k(docs, asked, qid, did, k, vec, _vector_scorer(vec), shared_width=True)
     return _rank(best, qid, did, k).select(qid, "rank", did, "score")
 
 

@@ -70,8 +70,10 @@ def _s(x: str) -> str:
     return C.sql_pystrip(x)
 
 
-def _title(x: str) -> str:
-    return f"array_to_string(list_transform(string_split(lower({x}), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')"
+def _title(v: str) -> str:
+    """Character by character: a letter after a letter is small, any other a capital."""
+    return (f"array_to_string(list_transform(range(1, length({v}) + 1), lambda i: CASE WHEN i > 1 AND regexp_matches(substr({v}, CAST(i - 1 AS INTEGER), 1), "
+            f"'\\p{{L}}') THEN lower(substr({v}, CAST(i AS INTEGER), 1)) ELSE upper(substr({v}, CAST(i AS INTEGER), 1)) END), '')")
 
 
 _NOT_ALNUM = r"[^\p{L}\p{N}" + WHITESPACE[1:-2] + r"\p{Z}]"
@@ -98,7 +100,9 @@ def _parse_sql() -> dict[str, str]:
         "p0": f"""SELECT r.case_id, r.model, r.model_ord, {bu} AS bu, {bs} AS bs,
             {_s("coalesce(r.raw_text, '')")} AS t0 FROM replies_v r JOIN cases_v c USING (case_id)""",
         "p1": f"""SELECT *, CASE WHEN contains(t0, '<think>') AND contains(t0, '</think>')
-            THEN {_s("string_split(t0, '</think>')[2]")} ELSE t0 END AS txt FROM p0""",
+            THEN {_s("string_split(t0, '</think>')[2]")} ELSE t0 END AS txt,
+            CASE WHEN contains(t0, '<think>') AND contains(t0, '</think>') THEN
+              nullif({_s("replace(string_split(t0, '</think>')[1], '<think>', '')")}, '') END AS block FROM p0""",
         "p2": f"""SELECT *,
             list_filter(list_transform(list_filter(string_split(txt, chr(10)), lambda l: {kind('urgency:')}),
                         lambda l: {_title(_clean(_after('l')))}), lambda u: u IN ({valid})) AS uvals,
@@ -107,13 +111,13 @@ def _parse_sql() -> dict[str, str]:
             list_filter(string_split(txt, chr(10)), lambda l: NOT ({kind('urgency:')} OR {kind('specialty:')}
                         OR {kind('explanation:')} OR {kind('reasoning:')})) AS kept
             FROM p1""",
-        "p3": f"""SELECT case_id, model, model_ord, txt,
+        "p3": f"""SELECT case_id, model, model_ord, txt, '<think>' || chr(10) || block || chr(10) || '</think>' AS think,
             coalesce(CASE WHEN len(uvals) > 0 THEN uvals[-1] END, {_kw('lower(txt)', K.REPLY_URGENCY_KEYWORDS)}, bu) AS urgency,
             coalesce(CASE WHEN len(svals) > 0 THEN {_title('svals[-1]')} END,
                      {_kw('lower(txt)', K.REPLY_SPECIALTY_KEYWORDS)}, bs) AS specialty,
             CASE WHEN len(kept) > 0 THEN {_s("array_to_string(kept, chr(10))")} ELSE txt END AS expl0
             FROM p2""",
-        "parsed": """SELECT case_id, model, model_ord, urgency, specialty,
+        "parsed": """SELECT case_id, model, model_ord, urgency, specialty, think,
             CASE WHEN length(expl0) < 10 THEN (CASE WHEN length(txt) > 10 THEN txt
                  ELSE 'Referral to ' || specialty || ' under urgency category ' || urgency || '.' END)
             ELSE expl0 END AS explanation FROM p3""",
@@ -126,12 +130,12 @@ def parsed_replies(spark, sf):
     bu, bs = C.clinical_baseline(F.col("symptoms"))
     j = r.join(c.select("case_id", bu.alias("base_urgency"), bs.alias("base_specialty")), "case_id")
     p = CS.parse_replies(j, "raw_text", "base_urgency", "base_specialty")
-    return p.select("case_id", "model", "model_ord", "urgency", "specialty", "explanation")
+    return p.select("case_id", "model", "model_ord", "urgency", "specialty", "explanation", "think")
 
 
-@register("parse_replies", lambda: ("SELECT case_id, model, urgency, specialty, explanation FROM parsed", _parse_sql()))
+@register("parse_replies", lambda: ("SELECT case_id, model, urgency, specialty, explanation, think FROM parsed", _parse_sql()))
 def parse_replies(spark, sf):
-    return parsed_replies(spark, sf).select("case_id", "model", "urgency", "specialty", "explanation")
+    return parsed_replies(spark, sf).select("case_id", "model", "urgency", "specialty", "explanation", "think")
 
 
 @register("reply_consensus", lambda: ("""SELECT d.case_id, d.consensus_urgency, d.consensus_specialty,

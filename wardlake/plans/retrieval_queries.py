@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardlake import constants as K
 from wardlake.functions.text import sql_whitespace_tokens, sql_word_tokens
+from wardlake.operators import ivf
 from wardlake.operators import retrieval as RT
 from wardlake.plans.registry import register
 from wardlake.sources.tables import data_version, table
@@ -184,6 +185,28 @@ def cosine_topk(spark, sf):
     return r.select("label", "rank", "vec_id", F.round("score", 3).alias("score"))
 
 
+#: Queries of the approximate search: every vector whose id is divisible by this, against all.
+SEARCHED, NEAR_K = 100, 10
+
+
+def vector_index(spark, sf) -> ivf.CellIndex:
+    """The cells of all embeddings, built once per session and state of the files."""
+    emb = table(spark, sf, "embeddings")
+    key = (spark.sparkContext.applicationId, sf, "cells", data_version(emb))
+    if key not in _INDEXES:
+        _INDEXES[key] = ivf.build(emb)
+    return _INDEXES[key]
+
+
+@register("near_vectors")
+def near_vectors(spark, sf):
+    """J3, approximate: the 10 nearest vectors by cosine among the cells next to each query.  Which cells is
+    a matter of the fitted index, so there is no SQL twin; recall is tested against ``cosine_topk``."""
+    asked = table(spark, sf, "embeddings").filter(F.col("vec_id") % SEARCHED == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    r = ivf.search(vector_index(spark, sf), asked, NEAR_K, qid="query_id")
+    return r.select("query_id", "rank", "vec_id", F.round("score", 3).alias("score"))
+
+
 @register("index_new_docs", """SELECT d.doc_id, d.source FROM documents d
     WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def index_new_docs(spark, sf):

@@ -206,6 +206,8 @@ def replies_v(spark: SparkSession, sf: str) -> DataFrame:
                                         F.lower(s), nl, F.lit("short")))
            .when(cid % 4 == 2, F.concat(F.lit("This looks "), F.lower(u), F.lit("; refer to "), F.lower(s),
                                         F.lit(" please.")))
+           .when(cid % 8 == 3, F.lit("<think>\n so many signs </think>\u00a0Urgency: sOON.\n\u00a0\u2003specialty: 3d imaging & x-ray's unit\n"
+                                     "Please see them in the next days."))
            .otherwise(F.lit("No idea what this is.")))
     return x.select("case_id", "model", "model_ord", raw.alias("raw_text"))
 
@@ -319,7 +321,9 @@ SELECT case_id, model, model_ord,
             WHEN 0 THEN concat('<think>', 'why', '</think>', chr(10), 'Urgency: ', urgency, chr(10), 'Specialty: ', specialty, chr(10), 'Explanation:', chr(10), 'Please rest and seek care.')
             WHEN 1 THEN concat('urgency: ', upper(urgency), '!', chr(10), 'specialty: ', lower(specialty), chr(10), 'short')
             WHEN 2 THEN concat('This looks ', lower(urgency), '; refer to ', lower(specialty), ' please.')
-            ELSE 'No idea what this is.' END AS raw_text
+            ELSE CASE WHEN case_id % 8 = 3 THEN concat('<think>', chr(10), ' so many signs </think>', chr(160), 'Urgency: sOON.', chr(10), chr(160), chr(8195),
+                   'specialty: 3d imaging & x-ray''s unit', chr(10), 'Please see them in the next days.')
+                 ELSE 'No idea what this is.' END END AS raw_text
 FROM (SELECT event_id AS case_id, model, model_ord,
              CASE (event_id + model_ord) % 4 WHEN 0 THEN 'Emergency' WHEN 1 THEN 'Urgent' WHEN 2 THEN 'Soon' ELSE 'Routine' END AS urgency,
              CASE (event_id + model_ord) % 3 WHEN 0 THEN 'Cardiology' WHEN 1 THEN 'Neurology' ELSE 'General Physician' END AS specialty
