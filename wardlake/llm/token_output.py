@@ -126,7 +126,11 @@ class Tokenize:
         """Where each piece's ids stand in ``first`` and ``length``."""
         if len(self.known) + len(pieces) > CACHED_PIECES:
             self.forget()
-        new = [t for t in pieces if t not in self.known]
+        places = list(map(self.known.get, pieces))
+        unknown = [i for i, place in enumerate(places) if place is None]
+        if not unknown:
+            return np.array(places, np.int64)
+        new = [pieces[i] for i in unknown]
         words = [t for t in new if _is_word(t)] if self.plain_words else []
         if words:
             flat = np.array(self.words.encode_batch_fast(
@@ -139,7 +143,9 @@ class Tokenize:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in rest], add_special_tokens=False)]
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.remember(rest, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())), lengths)
-        return np.array([self.known[t] for t in pieces], np.int64)
+        for i, t in zip(unknown, new, strict=True):
+            places[i] = self.known[t]
+        return np.array(places, np.int64)
 
     def cut(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
         """Starts, ends and rows of the pieces, and the text with its case levelled."""
@@ -247,6 +253,9 @@ def scaled(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Text that is encoded at once: a piece is looked up once for all of it.
+TOKEN_BYTES = 1 << 22
+
 _READY: dict[tuple[str, int], Tokenize] = {}
 
 
@@ -279,7 +288,7 @@ def tokenized(docs: DataFrame, path: str | None = None, end_id: int = END_ID) ->
         shard, place = TaskContext.get().partitionId(), 0
         encode = tokenize(path, end_id)
         for batch in batches:
-            for part, data, offsets in text_slices(batch):
+            for part, data, offsets in text_slices(batch, limit=TOKEN_BYTES):
                 ids, counts = encode(data, offsets)
                 n = len(counts)
                 ends = np.concatenate(([0], np.cumsum(counts) * np.dtype(kind).itemsize)).astype(np.int32)
