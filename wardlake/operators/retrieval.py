@@ -24,6 +24,7 @@ are all of one length.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,18 +126,62 @@ def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def build_tfidf_index(corpus: DataFrame, did: str = "doc_id", text: str = "text") -> TfidfIndex:
-    # Corpus size: one count action (served from Parquet metadata), used as a literal.
-    n = corpus.select(did).count()
     counted = write_table(_term_counts(spread(corpus.select(did, text)), did, text), "tfidf-counts")
-    dfreq = write_table(counted.select(F.explode("terms").alias("term")).groupBy("term")
-                        .agg(F.count(F.lit(1)).cast("double").alias("df")), "tfidf-df")
+    return _index_of(counted, write_table(_document_frequency(counted), "tfidf-df"), did)
+
+
+def _document_frequency(counted: DataFrame) -> DataFrame:
+    return (counted.select(F.explode("terms").alias("term")).groupBy("term")
+            .agg(F.count(F.lit(1)).cast("double").alias("df")))
+
+
+def _index_of(counted: DataFrame, dfreq: DataFrame, did: str) -> TfidfIndex:
+    """The index from each document's term counts and the document frequencies (both written)."""
+    # Corpus size: one count action (served from Parquet metadata), used as a literal.
+    n = counted.count()
     idf0 = F.log(F.lit(float(n + 2)) / (1 + F.col("df"))) + 1
     # base squared norm of every document (IDF fitted without any query term)
     cells = counted.select(did, F.explode(F.arrays_zip("terms", "tfs")).alias("c")).select(
         did, F.col("c.terms").alias("term"), F.col("c.tfs").alias("tf"))
     norms = cells.join(dfreq, "term").groupBy(did).agg(F.sum(F.col("tf") * F.col("tf") * idf0 * idf0).alias("n0"))
     docs = write_table(counted.join(norms, did), "tfidf-docs")
-    return TfidfIndex(corpus, did, n, docs, dfreq)
+    return TfidfIndex(counted, did, n, docs, dfreq)
+
+
+class SegmentedTfidf:
+    """A TF-IDF index that grows (A7, D28): immutable segments under ``folder``, each with the term counts of
+    its documents and their document frequencies.
+
+    ``add`` tokenises and writes only documents whose id no segment holds, so adding a batch again adds nothing; a
+    segment counts once its term counts are written, which is its last step.  ``index`` merges the segments'
+    frequencies and derives the norms, which every new document changes, from the counts: no text is read.
+    One writer at a time.
+    """
+
+    def __init__(self, spark, folder: str, did: str = "doc_id", text: str = "text", kind: str = "bigint"):
+        self.spark, self.folder, self.did, self.text, self.kind = spark, folder, did, text, kind
+        self.segments: list[str] = []
+
+    def _counts(self, names: list[str]) -> DataFrame:
+        schema = f"{self.did} {self.kind}, terms array<string>, tfs array<double>"
+        paths = [f"{self.folder}/counts/{n}" for n in names]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def add(self, batch: DataFrame) -> None:
+        new = batch.select(self.did, self.text).filter(F.col(self.did).isNotNull()).dropDuplicates([self.did])
+        new = new.join(self._counts(self.segments).select(self.did), self.did, "left_anti")
+        name = uuid.uuid4().hex
+        counted = write_table(_term_counts(new, self.did, self.text), "tfidf-counts")
+        if counted.isEmpty():
+            return
+        _document_frequency(counted).write.parquet(f"{self.folder}/terms/{name}")
+        counted.write.parquet(f"{self.folder}/counts/{name}")
+        self.segments.append(name)
+
+    def index(self) -> TfidfIndex:
+        terms = self.spark.read.schema("term string, df double").parquet(*[f"{self.folder}/terms/{n}" for n in self.segments])
+        merged = write_table(terms.groupBy("term").agg(F.sum("df").alias("df")), "tfidf-df")
+        return _index_of(self._counts(self.segments), merged, self.did)
 
 
 def _tfidf_scorer(block: pa.Table):

@@ -3,6 +3,8 @@ document corpus; label centroids are vector queries against all embeddings."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardlake import constants as K
@@ -10,6 +12,7 @@ from wardlake.functions.text import sql_whitespace_tokens, sql_word_tokens
 from wardlake.operators import ivf
 from wardlake.operators import retrieval as RT
 from wardlake.plans.registry import register
+from wardlake.session import scratch_dir
 from wardlake.sources.tables import data_version, table
 
 K3 = K.RETRIEVAL_TOP_K
@@ -80,6 +83,26 @@ def tfidf_topk(spark, sf):
     return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"))
 
 
+#: Documents arrive in this many batches, dealt by id.
+ARRIVALS = 3
+
+
+@register("tfidf_segments", lambda: ("SELECT item_id, rank, doc_id, round(score, 3) AS score FROM t_rank",
+                                     tfidf_ctes("SELECT item_id, text FROM benchmark", "item_id")))
+def tfidf_segments(spark, sf):
+    """All documents, arriving in batches, one of them twice, are indexed segment by segment; the
+    search gives what an index built at once gives."""
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, sf, "segments", data_version(docs))
+    if key not in _INDEXES:
+        grown = RT.SegmentedTfidf(spark, f"{scratch_dir(spark, 'tfidf-segments')}-{uuid.uuid4().hex}")
+        for i in [*range(ARRIVALS), 0]:
+            grown.add(docs.filter(F.pmod("doc_id", F.lit(ARRIVALS)) == i))
+        _INDEXES[key] = grown.index()
+    r = RT.tfidf_search(_INDEXES[key], table(spark, sf, "benchmark"), K3)
+    return r.select("item_id", "rank", "doc_id", F.round("score", 3).alias("score"))
+
+
 #: The view behind ``retrieve_fallback``: an item's vector is the embedding numbered
 #: 25 times its id, where there is one; a document's is the embedding of its id.
 ITEM_VECTOR_STEP = 25
