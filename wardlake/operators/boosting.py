@@ -188,18 +188,24 @@ def fit(df: DataFrame, features: list[str], label: str, setting: Setting | None
     return model
 
 
-def _leaf_column(levels, bins: list[Column], no_split: int) -> Column:
-    """The leaf number of a row as nested conditions."""
-    def below(level: int, node: int) -> Column:
+def _leaf_number(levels, no_split: int) -> str:
+    """The leaf number of a row as nested conditions, in SQL (one text costs one call to the JVM)."""
+    def below(level: int, node: int) -> str:
         if level == len(levels):
-            return F.lit(node)
+            return str(node)
         feature, cut = (int(x[node]) for x in levels[level])
         left = below(level + 1, 2 * node)
-        return left if cut == no_split else F.when(bins[feature] <= cut, left).otherwise(below(level + 1, 2 * node + 1))
+        return left if cut == no_split else f"if(_bins._bin{feature} <= {cut}, {left}, {below(level + 1, 2 * node + 1)})"
 
     return below(0, 0)
 
 
+def _once(df: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with ``value`` worked out once a row: a projection under an ``explode`` of one element, which the
+    optimizer does not merge with what stands above, so that conditions and filters do not copy it."""
+    return df.select(*keep, value.alias(name)).select(*keep, F.explode(F.array(name)).alias(name))
+
+
 def with_probabilities(df: DataFrame, model: Booster, name: str = "probability",
                        inputs: dict[str, Column] | None = None) -> DataFrame:
     """``df`` plus an array with the probability of each class.  ``inputs`` gives the features that are
@@ -208,16 +214,14 @@ def with_probabilities(df: DataFrame, model: Booster, name: str = "probability",
     s = model.setting
     bins = [f"_bin{i}" for i in range(len(model.features))]
     inputs = inputs or {c: F.col(c) for c in model.features}
-    out = df.withColumns({b: bin_column(inputs[c], low, high, s.bins)
-                          for b, c, low, high in zip(bins, model.features, model.low, model.high, strict=True)})
-    leaves = {f"_leaf{t}": _leaf_column(levels, [F.col(b) for b in bins], s.bins) for t, (levels, _) in enumerate(model.trees)}
-    out = out.withColumns(leaves)
+    found = [bin_column(inputs[c], low, high, s.bins).alias(b)
+             for b, c, low, high in zip(bins, model.features, model.low, model.high, strict=True)]
+    out = _once(df, keep, F.struct(*found), "_bins")
+    out = _once(out, keep, F.expr(f"array({', '.join(_leaf_number(levels, s.bins) for levels, _ in model.trees)})"), "_leaves")
 
     def margin(k: int) -> Column:
-        total = F.lit(0.0)
-        for t, (_, values) in enumerate(model.trees):
-            total = total + F.element_at(F.array(*[F.lit(float(v)) for v in values[:, k]]), F.col(f"_leaf{t}") + 1)
-        return total
+        values = [", ".join(f"{float(v)!r}D" for v in values[:, k]) for _, values in model.trees]
+        return F.expr(" + ".join(["0D", *(f"element_at(array({v}), _leaves[{t}] + 1)" for t, v in enumerate(values))]))
 
     out = out.withColumns({f"_f{k}": margin(k) for k in range(s.classes)})
     top = F.greatest(*[F.col(f"_f{k}") for k in range(s.classes)])
@@ -225,9 +229,7 @@ def with_probabilities(df: DataFrame, model: Booster, name: str = "probability",
     total = F.col("_e0")
     for k in range(1, s.classes):
         total = total + F.col(f"_e{k}")
-    # explode: a filter on the result is not pushed into the conditions, which would copy them many times
-    found = F.array(*[F.col(f"_e{k}") / total for k in range(s.classes)])
-    return out.select(*keep, F.explode(F.array(found)).alias(name))
+    return _once(out, keep, F.array(*[F.col(f"_e{k}") / total for k in range(s.classes)]), name)
 
 
 def node_table(spark: SparkSession, model: Booster) -> DataFrame:
