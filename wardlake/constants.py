@@ -251,6 +251,10 @@ RETRIEVAL_TEXT_CHARS = 500
 RAG_SNIPPET_CHARS = 200
 NO_GUIDELINE = "No guideline found."
 
+# Stored chat rows: response fields left out, and the patient of unnamed rows.
+CHAT_DROPPED_FIELDS = ["xai_details", "rag_medical_context", "kg_relationships"]
+DEFAULT_PATIENT = "Patient"
+
 # Image checks.
 IMAGE_MAX_BYTES = 20 * 1024 * 1024
 IMAGE_TYPES = ["image/jpeg", "image/png", "image/jpg", "image/webp"]

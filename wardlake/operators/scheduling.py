@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardlake import constants as K
+from wardlake.session import write_table
 
 
 def _ilike(col: Column, pattern: str | None) -> Column:
@@ -128,7 +129,8 @@ def recommend_hospitals(keys: DataFrame, slots: DataFrame, doctors: DataFrame, k
     as available.  An unknown location has no preference list (global order).
     With ``exclude_col`` the hospital named there is removed (case-insensitive).
     """
-    avail = hospitals_with_specialty(slots, doctors).withColumn("avail", F.lit(True))
+    # written once (a row per hospital and specialty) and read by both joins below
+    avail = write_table(hospitals_with_specialty(slots, doctors).withColumn("avail", F.lit(True)), "open-specialties")
     known = F.array(*[F.struct(F.lit(h).alias("hospital"), F.lit(i).alias("hord")) for i, h in enumerate(K.HOSPITALS)])
     key_cols = ["specialty", "location"] + ([exclude_col] if exclude_col else [])
     ks = keys.select(*key_cols).distinct()

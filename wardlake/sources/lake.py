@@ -1,14 +1,14 @@
 """Lake sources and sinks.
 
 Writes never overwrite a path that the same plan reads: upserts produce a
-new table version at a new path.  Scratch output goes under the shared
+new table version at a new path, or go through ``wardlake.sources.store``.  Scratch output goes under the shared
 ``spark.checkpoint.dir`` (see ``wardlake.session.scratch_dir``), never a
 machine-local temp folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,13 +137,13 @@ def upsert_by_key(base: DataFrame, updates: DataFrame, key: str = "id", order: s
     return kept.unionByName(last)
 
 
-def _dense_index(df: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
+def dense_index(df: DataFrame, order: list[str], name: str, start: int) -> DataFrame:
     """Dense numbering start+1, start+2, ... in ``order`` without a
-    single-partition window.  The range-partitioned sort is tagged with the
-    partition id and ``monotonically_increasing_id`` (sequential inside a
-    partition) and checkpointed to the shared checkpoint dir, so every later
-    read sees the same partitions; per-partition counts (one row per
-    partition) give each partition its offset."""
+    single-partition window over the rows.  The range-partitioned sort is tagged
+    with the partition id and ``monotonically_increasing_id`` (sequential inside
+    a partition) and checkpointed to the shared checkpoint dir, so every later
+    read sees the same partitions; running sums of the per-partition counts (one
+    row per partition) are joined back as offsets."""
     from wardlake.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
@@ -151,23 +151,21 @@ def _dense_index(df: DataFrame, order: list[str], name: str, start: int) -> Data
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mid", F.monotonically_increasing_id())
               .checkpoint(eager=True))
-    counts = sorted((r["_pid"], r["n"]) for r in tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, acc = {}, start
-    for pid, n in counts:
-        offsets[pid] = acc
-        acc += n
-    if not offsets:
-        return tagged.drop("_pid", "_mid").withColumn(name, F.lit(None).cast("long"))
-    omap = F.create_map(*[x for pid, off in offsets.items() for x in (F.lit(pid), F.lit(off))])
+    before = Window.partitionBy(F.lit(0)).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"))
+               .select("_pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before")))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    return tagged.withColumn(name, (F.element_at(omap, F.col("_pid")) + local + 1).cast("long")).drop("_pid", "_mid")
+    return (tagged.join(offsets, "_pid")
+            .withColumn(name, (F.lit(start) + F.col("_before") + local + 1).cast("long"))
+            .drop("_pid", "_mid", "_before"))
 
 
-def upsert_patients(base: DataFrame, updates: DataFrame, order: str | None = None) -> DataFrame:
+def upsert_patients(base: DataFrame, updates: DataFrame, order: str | None = None, last_id: int | None = None) -> DataFrame:
     """A10: match on name.  Existing patients get only the non-empty new
     fields, of several updates the last non-empty one by ``order`` (without it
     the greatest); unknown names are inserted with new ids after the current
-    maximum (in name order).  Output: id, name, location, medical_history, is_new."""
+    maximum of ``base``, or ``last_id`` if given (in name order).  Output: id, name,
+    location, medical_history, is_new."""
     def last(column: str):
         full = C.nonblank(F.col(column)).isNotNull()
         rank = F.struct(F.col(order), F.col(column)) if order else F.col(column)
@@ -181,8 +179,9 @@ def upsert_patients(base: DataFrame, updates: DataFrame, order: str | None = Non
         F.lit(False).alias("is_new"))
     new = u.join(base.select("name"), "name", "left_anti").select(
         "name", F.col("u_loc").alias("location"), F.col("u_hist").alias("medical_history"))
-    max_id = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
-    new = _dense_index(new, ["name"], "id", int(max_id)).select(
+    if last_id is None:
+        last_id = base.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    new = dense_index(new, ["name"], "id", int(last_id)).select(
         "id", "name", "location", "medical_history", F.lit(True).alias("is_new"))
     return matched.unionByName(new)
 
