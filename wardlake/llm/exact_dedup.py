@@ -8,11 +8,11 @@ compares neighbours in full.
 
 A text that holds more than a fraction of a range (found in a sample, so only
 the placement depends on it) would land in one task.  Such texts leave the sort:
-they are reduced to one row per map task and text before the shuffle, and the
-short table of results is joined back to their rows.
+of them only ids, lengths and hashes are shuffled, dealt by all three, and the
+short table of results is joined back to those.
 
 Defined cases: a null text is an empty one and all empty texts are equal; of rows
-that agree in length and doc_id each counts as the row that stays; a null doc_id
+that agree in length and doc_id too, one stays; a null doc_id
 comes after all others; an empty table gives no rows; other columns are not read.
 """
 
@@ -54,33 +54,32 @@ def hot_keys(docs: DataFrame) -> list[str]:
     return [r["key"] for r in found.select("key").collect()]
 
 
-def _decided(rows: DataFrame) -> DataFrame:
-    best = F.col("best")
-    return rows.select(
-        "doc_id", best["doc_id"].alias("keep_id"), "group_size",
-        (F.col("doc_id").eqNullSafe(best["doc_id"]) & (F.col("n_points") == -best["fewer"])).alias("kept"),
-        F.col("sha").alias("text_sha256"))
-
-
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): keep_id, group_size, kept, text_sha256.
     Of equal texts the row with most code points, then the smallest doc_id, stays."""
-    best = F.min(F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
-    size = F.count(F.lit(1))
+    columns = ["doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")]
     rows = _keyed(docs)
     hot = hot_keys(docs)
     cold = rows.filter(~F.col("key").isin(hot)) if hot else rows
     same = Window.partitionBy("key", "norm")
+    first = same.orderBy(F.desc("n_points"), F.asc_nulls_last("doc_id"))
     cold = (cold.repartitionByRange("key")
-            .withColumn("best", best.over(same)).withColumn("group_size", size.over(same))
-            .withColumn("sha", F.sha2(F.col("norm"), 256)))
+            .withColumn("kept", F.row_number().over(first) == 1).withColumn("keep_id", F.first("doc_id").over(first))
+            .withColumn("group_size", F.count(F.lit(1)).over(same))
+            .withColumn("sha", F.sha2(F.col("norm"), 256))).select(*columns)
     if not hot:
-        return _decided(cold)
-    hot_rows = rows.filter(F.col("key").isin(hot)).withColumn("sha", F.sha2(F.col("norm"), 256))
-    totals = (hot_rows.groupBy("key", "norm").agg(best.alias("best"), size.alias("group_size"))
-              .select("key", F.sha2(F.col("norm"), 256).alias("sha"), "best", "group_size"))
-    # as many rows as there are hot keys
-    return _decided(cold).unionByName(_decided(hot_rows.drop("norm").join(F.broadcast(totals), ["key", "sha"])))
+        return cold
+    # rows that repeat a doc_id and length are counted, so that one of them can stay
+    hot_rows = (rows.filter(F.col("key").isin(hot)).withColumn("sha", F.sha2(F.col("norm"), 256))
+                .groupBy("key", "sha", "doc_id", "n_points").agg(F.count(F.lit(1)).alias("copies")))
+    best = F.min(F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+    totals = hot_rows.groupBy("key", "sha").agg(best.alias("best"), F.sum("copies").alias("group_size"))
+    # as many totals as there are hot keys
+    decided = hot_rows.join(F.broadcast(totals), ["key", "sha"])
+    of_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("n_points") == -F.col("best.fewer"))
+    decided = (decided.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
+               .withColumn("kept", of_best & (F.col("copy") == 1)).withColumn("keep_id", F.col("best.doc_id")))
+    return cold.unionByName(decided.select(*columns))
 
 
 SQL = r"""
