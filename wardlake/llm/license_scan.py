@@ -15,6 +15,10 @@ matches of one template the best, then the first, is reported; the rest of the t
 aligned anew.  A match of which over half lies in better ones (by the alignment's score) of
 other templates is not reported; equally good ones all are.
 
+A statement (a template of at most STATEMENT_WORDS words) names its license after the word
+"under", or throughout: those words stand in the document one by one and without others
+between them, and no "not" stands in the match before them or shortly before it.
+
 Defined cases: null and blank texts have no matches; a template of fewer than GRAM words
 is one fingerprint; templates without words, or null, are never found; repeated templates
 with one id count once; an empty table gives no rows.
@@ -34,6 +38,10 @@ GRAM = 3
 WINNOW = 2
 BAND = 8
 COVERAGE = 0.8
+#: A template of so many words at most is a statement.
+STATEMENT_WORDS = 16
+#: Words before a statement among which a "not" denies it.
+DENIED = 3
 MAX_TEMPLATE_BYTES = 8 << 20
 _IS_WORD = np.array([48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in range(256)])
 _FILTER = np.uint64((1 << 20) - 1)
@@ -126,6 +134,8 @@ class Scanner:
         self.coverage = coverage
         self.words: list[np.ndarray] = []
         self.bags: list[tuple[np.ndarray, np.ndarray]] = []
+        self.named: list[np.ndarray] = []  # the words of a statement that name its license
+        under, self.denial = hashed_words(b"under not", np.array([0, 9]))[1]
         self.index: dict[int, dict[int, list[tuple[int, int]]]] = {}  # gram length, fingerprint, places
         for k, name in enumerate(self.names):
             data = templates[name].encode()
@@ -134,6 +144,8 @@ class Scanner:
                 raise ValueError(f"template {name} of {len(words)} words; at most {(1 << _MATCHED) - 1} are aligned")
             self.words.append(words)
             self.bags.append(np.unique(words, return_counts=True))
+            at = np.flatnonzero(words == under)
+            self.named.append(words[at[0] + 1 if len(at) else 0:] if len(words) <= STATEMENT_WORDS else words[:0])
             length = min(GRAM, len(words))
             if length:
                 marks = grams(words, length)
@@ -162,6 +174,14 @@ class Scanner:
                 out[r].extend(self.matches(k, text, sorted(set(diagonals))))
         return [best(x) for x in out]
 
+    def stated(self, k: int, text: np.ndarray, a: int, z: int) -> bool:
+        """Whether the match text[a:z] holds what a statement must; other templates need nothing more."""
+        named = self.named[k]
+        if not len(named):
+            return True
+        at = z - len(named)
+        return at >= 0 and np.array_equal(text[at:z], named) and self.denial not in text[max(0, a - DENIED):at]
+
     def matches(self, k: int, text: np.ndarray, diagonals: list[int]):
         """Matches of one template that do not overlap, the best first."""
         template, n = self.words[k], len(self.words[k])
@@ -186,7 +206,7 @@ class Scanner:
             cuts = [lo]
             for e in ends[np.lexsort((ends, -matched[ends], -score[ends]))].tolist():
                 a, z = lo + int(begin[e]), lo + e
-                if not taken[a:z].any():
+                if not taken[a:z].any() and self.stated(k, text, a, z):
                     taken[a:z] = True
                     cuts += [a, z]
                     yield {"license": self.names[k], "first": a, "end": z, "coverage": int(matched[e]) / n, "score": int(score[e])}
