@@ -64,6 +64,30 @@ def test_sql_on_odd_rows(spark, odd, tmp_dir, name):
     assert brute.ordered(df.select(*[c[0] for c in cur.description]).collect()) == brute.ordered(cur.fetchall())
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_exact_dedup_repeated_rows(spark, odd, tmp_dir, monkeypatch, hot):
+    """Of rows that repeat doc_id and text one stays, as in the SQL; null ids come last."""
+    twice = odd.select("doc_id", "text")
+    twice = twice.unionByName(twice).unionByName(spark.createDataFrame([(30, "a b"), (30, "a b"), (31, "ab"), (29, "a\tb")], "doc_id long, text string"))
+    twice.write.parquet(f"{tmp_dir}/documents.parquet")
+    docs = docs_of(spark, tmp_dir)
+    if hot:
+        keys = [r["key"] for r in exact_dedup._keyed(docs).select("key").distinct().limit(6).collect()]
+        monkeypatch.setattr(exact_dedup, "hot_keys", lambda docs: keys)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_dir}/documents.parquet/*.parquet')")
+    cur = con.execute(exact_dedup.SQL)
+    found = exact_dedup.exact_dedup(docs).select(*[c[0] for c in cur.description]).collect()
+    assert brute.ordered(found) == brute.ordered(cur.fetchall())
+    assert sum(r["kept"] for r in found) == len({r["text_sha256"] for r in found})
+
+
+def test_language_stage_without_a_model(odd):
+    texts = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = sorted(r["doc_id"] or 0 for r in language_id.known_language(texts).collect())
+    assert kept == sorted(r[0] or 0 for r in brute.odd_rows() if any(c.isalpha() for c in r[1] or ""))
+
+
 def test_empty_tables(spark, odd, bench):
     none = odd.limit(0)
     for found in (decontaminate.digest(none, bench), language_id.digest(none), suffix_dedup.digest(none), exact_dedup.exact_dedup(none),
@@ -336,6 +360,17 @@ def test_license_text_with_words_put_in():
     assert [(x["license"], x["first"]) for x in found] == [("MIT-statement", 0), ("MIT-statement", 5), ("MIT-statement", 10)]
 
 
+def test_license_statements_in_full():
+    for text in ("Released under the Foo License.", "released under the company license terms", "Licensed under CC BY 3.5.",
+                 "This work is not licensed under the MIT License.", "Not released under the MIT License.",
+                 "This work is not licensed under the GNU General Public License, version 3.", "under the License", "MIT License"):
+        assert licenses_in(text) == [], text
+    for text, name in (("It is licensed under the MIT License.", "MIT-statement"), ("RELEASED under the  MIT license", "MIT-statement"),
+                       ("Released under the Foo License. Released under the MIT License.", "MIT-statement"),
+                       ("It is not free. You may use it: licensed under CC BY 3.0.", "CC-BY-3.0-statement")):
+        assert [x["license"] for x in licenses_in(text)] == [name], text
+
+
 def test_license_scan_small_table(spark):
     wanted = {k: v.lower().rstrip(".") for k, v in license_scan.TEMPLATES.items() if k.endswith("statement")}
     got = {r["doc_id"]: r["licenses"].split(",") for r in queries.QUERIES["op8_license_scan"](spark, SF_MID).collect()}

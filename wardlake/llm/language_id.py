@@ -171,8 +171,12 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Dat
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that have a language: all but those of ``und``."""
-    return predict(docs, learn(learning_rows(docs))).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    """The rows of ``docs`` that have a language: all but those of ``und``.  Without learning
+    rows there is no model to reject a text, and all with a letter stay."""
+    model = learn(learning_rows(docs))
+    if not model.languages:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    return predict(docs, model).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
