@@ -24,8 +24,10 @@ from wardlake.session import scratch_dir
 
 #: Cells of the largest matrix that a task holds (8 bytes each).
 CELLS = 1 << 22
+#: Cells of the matrices of one step: a step holds several, and lists of their best cells.
+STEP_CELLS = 1 << 20
 #: Bytes of documents that a task holds.
-SLAB_BYTES = 1 << 26
+SLAB_BYTES = 1 << 25
 RANK_DIGITS = 9
 
 
@@ -40,7 +42,11 @@ class Best:
     def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
         """``scores``: documents x queries, -inf where a document does not count."""
         keys = np.round(scores, RANK_DIGITS)
-        d, q = np.nonzero((keys >= self.floor) & (keys > -np.inf))
+        keys[np.isnan(keys)] = -np.inf
+        floor = self.floor
+        if len(keys) > self.k:  # what lies below the k-th best of these documents cannot stay
+            floor = np.maximum(floor, np.partition(keys, len(keys) - self.k, axis=0)[len(keys) - self.k])
+        d, q = np.nonzero((keys >= floor) & (keys > -np.inf))
         if not len(d):
             return
         new = (q, keys[d, q], scores[d, q], ids[d])
@@ -71,13 +77,19 @@ def write_blocks(asked: DataFrame, qid: str, width: str, shared_width: bool) ->
     return folder, blocks
 
 
+def opened(uri: str):
+    """File system and path of a place in the shared folder, for a task."""
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
 def read_block(folder: str, number: int) -> pa.Table | None:
     """One block, read by a task from the shared folder; None where no query fell into it."""
     import pyarrow.dataset as ds
-    from pyarrow.fs import FileSystem, FileType
+    from pyarrow.fs import FileType
 
-    uri = folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder
-    files, path = FileSystem.from_uri(uri)
+    files, path = opened(folder)
     at = f"{path}/block={number}"
     if files.get_file_info(at).type == FileType.NotFound:
         return None
@@ -117,7 +129,7 @@ def top_k(corpus: DataFrame, asked: DataFrame, qid: str, did: str, k: int, width
     def run(batches):
         ready: dict[int, tuple] = {}
         for slab in slabs(batches, limit):
-            docs = slab.combine_chunks().to_batches()
+            docs = slab.to_batches()
             for number in range(blocks):
                 if number not in ready:
                     ready.clear()  # one block at a time
@@ -171,4 +183,4 @@ def dense(cells: tuple[np.ndarray, np.ndarray, np.ndarray], shape: tuple[int, in
 
 
 def step_for(*widths: int) -> int:
-    return max(1, CELLS // max(*widths, 1))
+    return max(1, min(CELLS, STEP_CELLS) // max(*widths, 1))
