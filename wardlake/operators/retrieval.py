@@ -29,12 +29,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardlake import constants as K
 from wardlake.functions.text import whitespace_tokens, word_tokens
-from wardlake.operators.blocks import RANK_DIGITS, cells_of, dense, listed, step_for, term_matrix, top_k
+from wardlake.operators.blocks import RANK_DIGITS, SLAB_BYTES, cells_of, dense, listed, opened, slabs, step_for, term_matrix, top_k
 from wardlake.session import ensure_checkpoint_dir, write_table
 from wardlake.sources.tables import spread
 
@@ -139,21 +141,58 @@ def _index_of(counted: DataFrame, dfreq: DataFrame, did: str) -> TfidfIndex:
     """The index from each document's term counts and the document frequencies (both written)."""
     # Corpus size: one count action (served from Parquet metadata), used as a literal.
     n = counted.count()
-    idf0 = F.log(F.lit(float(n + 2)) / (1 + F.col("df"))) + 1
-    # base squared norm of every document (IDF fitted without any query term)
-    cells = counted.select(did, F.explode(F.arrays_zip("terms", "tfs")).alias("c")).select(
-        did, F.col("c.terms").alias("term"), F.col("c.tfs").alias("tf"))
-    norms = cells.join(dfreq, "term").groupBy(did).agg(F.sum(F.col("tf") * F.col("tf") * idf0 * idf0).alias("n0"))
-    docs = write_table(counted.join(norms, did), "tfidf-docs")
+    docs = write_table(_with_norms(counted.filter(F.col(did).isNotNull() & (F.size("terms") > 0)), dfreq, n), "tfidf-docs")
+    # rows that repeat an id share one norm, that of all their terms
+    again = write_table(docs.groupBy(did).agg(F.count(F.lit(1)).alias("rows"), F.sum("n0").alias("whole")).filter("rows > 1").drop("rows"),
+                        "tfidf-again")
+    if not again.isEmpty():
+        docs = docs.join(again, did, "left").withColumn("n0", F.coalesce("whole", "n0")).drop("whole")
     return TfidfIndex(counted, did, n, docs, dfreq)
 
 
+def _frequencies(files: list[str]):
+    """The written (term, df) rows, read by a task a piece at a time."""
+    import pyarrow.dataset as ds
+
+    for uri in files:
+        system, path = opened(uri)
+        for piece in ds.dataset(path, filesystem=system, format="parquet").to_batches(columns=["term", "df"], batch_size=1 << 20):
+            if piece.num_rows:
+                yield piece.column(0), piece.column(1).to_numpy()
+
+
+def _with_norms(counted: DataFrame, dfreq: DataFrame, n: int) -> DataFrame:
+    """``counted`` (id, terms, tfs) plus ``n0``, the base squared norm of every document (IDF fitted without
+    any query term).  No term is shuffled: for each slab of documents a task passes the written frequencies
+    once and keeps those of the slab's own terms."""
+    files, limit = dfreq.inputFiles(), SLAB_BYTES
+    schema = T.StructType([*counted.schema.fields, T.StructField("n0", T.DoubleType())])
+
+    def run(batches):
+        for slab in slabs(batches, limit):
+            parts = slab.to_batches()
+            coded = pa.concat_arrays([p.column(1).flatten() for p in parts]).dictionary_encode()
+            df = np.zeros(len(coded.dictionary))
+            for terms, found in _frequencies(files):
+                at = pc.fill_null(pc.index_in(terms, value_set=coded.dictionary), -1).to_numpy()
+                df[at[at >= 0]] = found[at >= 0]
+            weight = (np.log((n + 2) / (1 + df)) + 1)[coded.indices.to_numpy()] * np.concatenate([p.column(2).flatten().to_numpy() for p in parts])
+            sizes = np.concatenate([p.column(1).value_lengths().to_numpy() for p in parts])
+            n0 = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weight * weight, len(sizes))
+            begin = 0
+            for p in parts:
+                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(n0[begin:begin + p.num_rows])], names=schema.names)
+                begin += p.num_rows
+
+    return counted.mapInArrow(run, schema)
+
+
 class SegmentedTfidf:
     """A TF-IDF index that grows (A7, D28): immutable segments under ``folder``, each with the term counts of
     its documents and their document frequencies.
 
-    ``add`` tokenises and writes only documents whose id no segment holds, so adding a batch again adds nothing; a
-    segment counts once its term counts are written, which is its last step.  ``index`` merges the segments'
+    ``add`` tokenises and writes only documents whose id no segment holds, so adding a batch again adds nothing; which
+    these are is found from the ids alone.  A segment counts once both its tables are written.  ``index`` merges the segments'
     frequencies and derives the norms, which every new document changes, from the counts: no text is read.
     One writer at a time.
     """
@@ -168,14 +207,21 @@ class SegmentedTfidf:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def add(self, batch: DataFrame) -> None:
-        new = batch.select(self.did, self.text).filter(F.col(self.did).isNotNull()).dropDuplicates([self.did])
-        new = new.join(self._counts(self.segments).select(self.did), self.did, "left_anti")
-        name = uuid.uuid4().hex
-        counted = write_table(_term_counts(new, self.did, self.text), "tfidf-counts")
-        if counted.isEmpty():
+        new = batch.select(self.did, self.text).filter(F.col(self.did).isNotNull())
+        ids = new.select(self.did)
+        if self.segments:
+            ids = ids.join(self._counts(self.segments).select(self.did), self.did, "left_anti")
+        ids = write_table(ids.groupBy(self.did).agg(F.count(F.lit(1)).alias("rows")), "tfidf-new")
+        fresh, rows = ids.agg(F.count(F.lit(1)), F.sum("rows")).first()
+        if not fresh:
             return
-        _document_frequency(counted).write.parquet(f"{self.folder}/terms/{name}")
-        counted.write.parquet(f"{self.folder}/counts/{name}")
+        if rows < new.count():
+            new = new.join(ids.select(self.did), self.did, "left_semi")
+        if fresh < rows:
+            new = new.dropDuplicates([self.did])
+        name = uuid.uuid4().hex
+        _term_counts(spread(new), self.did, self.text).write.parquet(f"{self.folder}/counts/{name}")
+        _document_frequency(self._counts([name])).write.parquet(f"{self.folder}/terms/{name}")
         self.segments.append(name)
 
     def index(self) -> TfidfIndex:
@@ -310,7 +356,8 @@ def guidelines(results: DataFrame, docs: DataFrame, qid: str, did: str = "doc_id
     ``snippet`` characters of each text (B14)."""
     texts = docs.select(did, "source", F.substring("text", 1, chars).alias("long"), F.substring("text", 1, snippet).alias("short"))
     part = F.concat(F.lit("From "), F.col("source"), F.lit(": "), F.col("long"))
-    # at most k results a query
+    # at most k results a query; written, so that few of them join by their measured size without moving the texts
+    results = write_table(results.select(qid, "rank", did), "retrieved")
     agg = (results.join(texts, did).groupBy(qid)
            .agg(F.array_sort(F.collect_list(F.struct("rank", part.alias("p"), "short"))).alias("parts")))
     return agg.select(qid, F.array_join(F.transform("parts", lambda x: x["p"]), " ").alias("explanation"),

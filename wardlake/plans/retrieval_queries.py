@@ -12,7 +12,7 @@ from wardlake.functions.text import sql_whitespace_tokens, sql_word_tokens
 from wardlake.operators import ivf
 from wardlake.operators import retrieval as RT
 from wardlake.plans.registry import register
-from wardlake.session import scratch_dir
+from wardlake.session import scratch_dir, write_table
 from wardlake.sources.tables import data_version, table
 
 K3 = K.RETRIEVAL_TOP_K
@@ -162,16 +162,18 @@ def guideline_ctes() -> dict[str, str]:
 
 
 def case_guidelines(spark, sf):
-    """(query, rag_explanation, context) of every distinct case text: each is searched once."""
-    qs = _case_queries(spark, sf).select("query").distinct()
+    """(query, rag_explanation, context) of every distinct case text: each is searched once.  Written: cases join
+    them by their measured size."""
+    qs = write_table(_case_queries(spark, sf).select("query").distinct(), "case-queries")
     res = RT.tfidf_search(corpus_index(spark, sf), qs.withColumn("text", F.col("query")), K3, qid="query")
-    return RT.guidelines(res, table(spark, sf, "documents"), "query").withColumnRenamed("explanation", "rag_explanation")
+    found = RT.guidelines(res, table(spark, sf, "documents"), "query").withColumnRenamed("explanation", "rag_explanation")
+    return write_table(found, "case-guidelines")
 
 
 @register("rag_explanations", lambda: ("SELECT query, explanation FROM explained", _explained_ctes()))
 def rag_explanations(spark, sf):
     """One explanation per distinct case query text (symptoms + history)."""
-    qs = _case_queries(spark, sf).select("query").distinct()
+    qs = write_table(_case_queries(spark, sf).select("query").distinct(), "case-queries")
     docs = table(spark, sf, "documents")
     res = RT.tfidf_search(corpus_index(spark, sf), qs.withColumn("text", F.col("query")), K3, qid="query")
     ex = RT.explanations(res, docs, "query")
@@ -182,7 +184,8 @@ def rag_explanations(spark, sf):
 @register("case_explanations", lambda: ("SELECT case_id, explanation FROM rq JOIN explained USING (query)", _explained_ctes()))
 def case_explanations(spark, sf):
     """J5 per case: each distinct query text is searched once and joined back to its cases."""
-    return _case_queries(spark, sf).join(rag_explanations(spark, sf), "query").select("case_id", "explanation")
+    explained = write_table(rag_explanations(spark, sf), "explained")
+    return _case_queries(spark, sf).join(explained, "query").select("case_id", "explanation")
 
 
 def _cos_sql() -> tuple[str, dict]:
