@@ -160,6 +160,28 @@ def test_suffix_dedup_short_matches(spark, chunk):
     assert brute.ordered(got.collect()) == brute.ordered(brute.repeats(docs, 9))
 
 
+def test_suffix_dedup_frequent_key(spark, monkeypatch):
+    docs = [(i, f"start {i * 7919} " + "one line comes again\n" * 40 + f"end {i * 104729}") for i in range(40)]
+    parts, stage = {}, suffix_dedup.stage
+
+    def seen(df, name):
+        at = df.select("key", F.spark_partition_id().alias("part")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("parts"))
+        parts[name] = at.orderBy(F.desc("n")).first()
+        return stage(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stage", seen)
+    conf = {"spark.sql.files.minPartitionNum": "8", "spark.sql.autoBroadcastJoinThreshold": "-1"}  # larger tables join by a shuffle
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), chunk=30).collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert brute.ordered(got) == brute.ordered(brute.repeats(docs, 400))
+    assert parts["shared-anchors"]["n"] > 30 and parts["shared-anchors"]["parts"] > 1
+
+
 def test_suffix_dedup_small_table(spark):
     docs = texts_of(spark, SF_SMALL)
     assert brute.ordered(queries.QUERIES["op3_suffix_dedup"](spark, SF_SMALL).collect()) == brute.ordered(brute.repeats(docs, 400))
